@@ -35,95 +35,103 @@ def _long_enough(length: int) -> Column:
     return F.coalesce(F.col("character_maximum_length") >= length, F.lit(False))
 
 
-def _column_candidate(df: DataFrame, feature: str, reason: Column) -> DataFrame:
-    return df.select(
-        *COLUMN_KEYS,
-        F.lit(feature).alias("feature"),
-        "data_type",
-        F.col("character_maximum_length").alias("max_length"),
-        F.col("column_comment").alias("comment"),
-        reason.alias("reason"),
-    )
-
-
-def _first_names(df: DataFrame, n: int, name: str) -> DataFrame:
-    """The first ``n`` column names of each table, in column order, as an array."""
-    ranked = top_rows(df.select(*COLUMN_KEYS, "ordinal_position"), TABLE_KEYS, _name_order(), n)
+def _first_names(df: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """The first ``n`` column names of each group, in column order, as an array."""
+    ranked = top_rows(df, keys, _name_order(), n)
     ordered = F.array_sort(F.collect_list(F.struct("rank", "column_name")))
-    return ranked.groupBy(*TABLE_KEYS).agg(F.transform(ordered, lambda x: x["column_name"]).alias(name))
+    return ranked.groupBy(*keys).agg(F.transform(ordered, lambda x: x["column_name"]).alias("names"))
 
 
-def llm_candidates(columns: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Text columns that are long, or whose name says they hold prose."""
+def column_candidates(columns: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Text and semi-structured candidates, both found in one pass."""
     is_text = name_matches_any(F.col("data_type"), s.TEXT_TYPE_PARTS)
     is_long = _long_enough(settings.min_text_length)
     named = name_matches_any(F.col("column_name"), settings.text_words)
-    reason = F.concat(
+    nested = F.upper("data_type").isin(*s.SEMI_STRUCTURED_TYPES)
+    feature = F.when(is_text & (is_long | named), "llm").when(nested, "extract")
+    text_reason = F.concat(
         F.lit("Text column ("),
         F.col("data_type"),
         F.lit(") - "),
         F.when(is_long, "long text").otherwise("semantic name"),
     )
-    return _column_candidate(columns.filter(is_text & (is_long | named)), "llm", reason)
+    nested_reason = F.concat(F.lit("Semi-structured "), F.col("data_type"), F.lit(" column"))
+    return (
+        columns.withColumn("feature", feature)
+        .filter(F.col("feature").isNotNull())
+        .select(
+            *COLUMN_KEYS,
+            "feature",
+            "data_type",
+            F.when(F.col("feature") == "llm", F.col("character_maximum_length")).alias("max_length"),
+            F.col("column_comment").alias("comment"),
+            F.when(F.col("feature") == "llm", text_reason).otherwise(nested_reason).alias("reason"),
+        )
+    )
+
+
+def llm_candidates(columns: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Text columns that are long, or whose name says they hold prose."""
+    return column_candidates(columns, settings).filter("feature = 'llm'")
 
 
 def extract_candidates(columns: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Semi-structured columns; the type must match without parameters."""
-    reason = F.concat(F.lit("Semi-structured "), F.col("data_type"), F.lit(" column"))
-    found = columns.filter(F.upper("data_type").isin(*s.SEMI_STRUCTURED_TYPES))
-    return _column_candidate(found, "extract", reason).withColumn(
-        "max_length", F.lit(None).cast("bigint")
+    return column_candidates(columns, settings).filter("feature = 'extract'")
+
+
+def table_candidates(columns: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Forecast and search candidates together.
+
+    A column counts for the role it can play in its table: time, number or text. One aggregation counts
+    the roles of every table and one ranked filter keeps the first names of each.
+    """
+    roles = F.array_compact(
+        F.array(
+            F.when(name_matches_any(F.col("data_type"), s.TIME_TYPE_PARTS), "time"),
+            F.when(name_matches_any(F.col("data_type"), s.FORECAST_NUMERIC_PARTS), "number"),
+            F.when(
+                name_matches_any(F.col("data_type"), s.SEARCH_TYPE_PARTS)
+                & _long_enough(settings.min_search_length),
+                "text",
+            ),
+        )
+    )
+    played = columns.select(*COLUMN_KEYS, "ordinal_position", F.explode(roles).alias("role"))
+    counts = played.groupBy(*TABLE_KEYS).agg(
+        *[F.count_if(F.col("role") == role).alias(role) for role in ("time", "number", "text")]
+    )
+    named = played.filter("role <> 'time'")
+    names = _first_names(named, [*TABLE_KEYS, "role"], settings.names_per_candidate)
+    forecast = (F.col("role") == "number") & (F.col("time") > 0)
+    search = (F.col("role") == "text") & (F.col("text") >= settings.min_search_columns)
+    return names.join(counts, TABLE_KEYS).filter(forecast | search).select(
+        *TABLE_KEYS,
+        F.when(forecast, "forecast").otherwise("search").alias("feature"),
+        F.when(forecast, F.format_string("Has timestamp + %d numeric columns", "number"))
+        .otherwise(F.format_string("%d substantial text columns", "text"))
+        .alias("reason"),
+        F.when(forecast, F.col("names")).alias("numeric_columns"),
+        F.when(search, F.col("names")).alias("text_columns"),
     )
 
 
 def forecast_candidates(columns: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Tables with a time column and at least one numeric column."""
-    is_time = name_matches_any(F.col("data_type"), s.TIME_TYPE_PARTS)
-    is_number = name_matches_any(F.col("data_type"), s.FORECAST_NUMERIC_PARTS)
-    counts = (
-        columns.groupBy(*TABLE_KEYS)
-        .agg(F.bool_or(is_time).alias("has_time"), F.count_if(is_number).alias("numbers"))
-        .filter(F.col("has_time") & (F.col("numbers") >= 1))
-    )
-    names = _first_names(columns.filter(is_number), settings.names_per_candidate, "numeric_columns")
-    reason = F.concat(
-        F.lit("Has timestamp + "), F.col("numbers").cast("string"), F.lit(" numeric columns")
-    )
-    return counts.join(names, TABLE_KEYS).select(
-        *TABLE_KEYS, F.lit("forecast").alias("feature"), reason.alias("reason"), "numeric_columns"
-    )
+    return table_candidates(columns, settings).filter("feature = 'forecast'").drop("text_columns")
 
 
 def search_candidates(columns: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Tables with several substantial text columns."""
-    is_text = name_matches_any(F.col("data_type"), s.SEARCH_TYPE_PARTS)
-    long_text = columns.filter(is_text & _long_enough(settings.min_search_length))
-    reason = F.concat(F.col("texts").cast("string"), F.lit(" substantial text columns"))
-    return _tables_with_texts(long_text, settings, settings.names_per_candidate, reason)
-
-
-def _tables_with_texts(texts: DataFrame, settings: Settings, n: int, reason: Column) -> DataFrame:
-    counts = (
-        texts.groupBy(*TABLE_KEYS)
-        .agg(F.count("*").alias("texts"))
-        .filter(F.col("texts") >= settings.min_search_columns)
-    )
-    return counts.join(_first_names(texts, n, "text_columns"), TABLE_KEYS).select(
-        *TABLE_KEYS, F.lit("search").alias("feature"), reason.alias("reason"), "text_columns"
-    )
+    return table_candidates(columns, settings).filter("feature = 'search'").drop("numeric_columns")
 
 
 def all_candidates(columns: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    parts = [
-        llm_candidates(columns, settings),
-        extract_candidates(columns, settings),
-        forecast_candidates(columns, settings),
-        search_candidates(columns, settings),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part, allowMissingColumns=True)
-    return out.select(CANDIDATE_FIELDS)
+    return (
+        column_candidates(columns, settings)
+        .unionByName(table_candidates(columns, settings), allowMissingColumns=True)
+        .select(CANDIDATE_FIELDS)
+    )
 
 
 def text_rich_columns(columns: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -136,13 +144,27 @@ def text_rich_columns(columns: DataFrame, settings: Settings = DEFAULTS) -> Data
 
 
 def enhanced_llm(rich: DataFrame) -> DataFrame:
-    reason = F.concat(F.lit("Text column '"), F.col("column_name"), F.lit("'"))
-    return _column_candidate(rich, "llm", reason)
+    return rich.select(
+        *COLUMN_KEYS,
+        F.lit("llm").alias("feature"),
+        "data_type",
+        F.col("character_maximum_length").alias("max_length"),
+        F.col("column_comment").alias("comment"),
+        F.format_string("Text column '%s'", "column_name").alias("reason"),
+    )
 
 
 def enhanced_search(rich: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    reason = F.concat(F.col("texts").cast("string"), F.lit(" text columns"))
-    return _tables_with_texts(rich, settings, settings.names_per_rich_candidate, reason)
+    """Tables with several rich text columns."""
+    counts = rich.groupBy(*TABLE_KEYS).agg(F.count("*").alias("texts"))
+    names = _first_names(rich, TABLE_KEYS, settings.names_per_rich_candidate)
+    several = counts.filter(F.col("texts") >= settings.min_search_columns)
+    return several.join(names, TABLE_KEYS).select(
+        *TABLE_KEYS,
+        F.lit("search").alias("feature"),
+        F.format_string("%d text columns", "texts").alias("reason"),
+        F.col("names").alias("text_columns"),
+    )
 
 
 def domain_tables(columns: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from fitgauge.functions import classify
 from fitgauge.functions.names import TABLE_KEYS
-from fitgauge.operators.quantiles import exact_quantiles
+from fitgauge.operators.quantiles import Bracket, grid, literal, settle, sketch, two_level
 from fitgauge.settings import DEFAULTS, Settings
 from fitgauge.sources.tables import choose_sample_size, sample_order, sample_rows
 
@@ -38,116 +38,125 @@ def column_kind(data_type: T.DataType) -> str:
     return "other"
 
 
-def as_text(name: str, kind: str) -> Column:
-    """The column as text: nested values as JSON, other types by cast."""
-    return F.to_json(F.col(name)) if kind == "semi_structured" else F.col(name).cast("string")
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def as_text(name: str, kind: str) -> str:
+    """The column as text, in SQL: nested values as JSON, other types by cast."""
+    col = quoted(name)
+    return f"to_json({col})" if kind == "semi_structured" else f"cast({col} as string)"
 
 
 @dataclass(frozen=True)
 class Measure:
-    """One column and the number measured on it: its value, or the length of its text."""
+    """One column and the number measured on it: its value, or the length of its text.
+
+    Expressions are SQL text. A wide table needs thousands of them, and text is parsed inside Spark
+    while each Column operation is a call from Python to the JVM.
+    """
 
     name: str
     kind: str
     tag: str
 
     @property
-    def value(self) -> Column:
+    def value(self) -> str:
         if self.kind == "numeric":
-            return F.col(self.name).cast("double")
-        return F.length(as_text(self.name, self.kind)).cast("double")
+            return f"cast({quoted(self.name)} as double)"
+        return f"cast(length({as_text(self.name, self.kind)}) as double)"
 
     @property
-    def identity(self) -> Column:
-        """A 64-bit stand-in for the value, null where it is null."""
-        comparable = as_text(self.name, self.kind) if self.kind == "semi_structured" else F.col(self.name)
-        return F.when(F.col(self.name).isNotNull(), F.xxhash64(comparable))
+    def sketch(self) -> str:
+        """Distinct-count sketch over 64-bit hashes, so that every type can be counted."""
+        col = quoted(self.name)
+        comparable = as_text(self.name, self.kind) if self.kind == "semi_structured" else col
+        return f"hll_sketch_agg(if({col} is null, null, xxhash64({comparable})), {{bits}})"
+
+    def base(self) -> list[str]:
+        """Statistics that merge by themselves."""
+        t, v = self.tag, self.value
+        return [
+            f"count({quoted(self.name)}) as {t}_n",
+            f"min({v}) as {t}_min",
+            f"max({v}) as {t}_max",
+            f"sum({v}) as {t}_sum",
+        ]
 
-    def partial(self, settings: Settings, distinct: bool, inline_quantiles: bool) -> list[Column]:
+    def single(self, bits: int | None) -> list[str]:
+        """Everything in one aggregation, for tables that one task can finish."""
         t, v = self.tag, self.value
-        out = [
-            F.count(F.col(self.name)).alias(f"{t}_n"),
-            F.min(v).alias(f"{t}_min"),
-            F.max(v).alias(f"{t}_max"),
-            F.sum(v).alias(f"{t}_sum"),
-            F.var_pop(v).alias(f"{t}_var"),
+        probabilities = ", ".join(f"{q}D" for q in QUANTILES)
+        sketch = "cast(null as bigint)" if bits is None else f"hll_sketch_estimate({self.sketch.format(bits=bits)})"
+        return [
+            *self.base(),
+            f"stddev_samp({v}) as {t}_dev",
+            f"percentile({v}, array({probabilities})) as {t}_q",
+            f"{sketch} as {t}_distinct",
+        ]
+
+    def partial(self, bits: int | None, settings: Settings) -> list[str]:
+        """State of one part of a large table."""
+        t = self.tag
+        seen = [] if bits is None else [f"{self.sketch.format(bits=bits)} as {t}_seen"]
+        return [
+            *self.base(),
+            f"var_pop({self.value}) as {t}_var",
+            f"{sketch(self.value, settings)} as {t}_rank",
+            *seen,
         ]
-        if distinct:
-            out.append(F.hll_sketch_agg(self.identity, settings.sketch_bits).alias(f"{t}_seen"))
-        if inline_quantiles:
-            out.append(F.percentile(v, F.array(*[F.lit(q) for q in QUANTILES])).alias(f"{t}_q"))
-        return out
 
-    def merge(self, distinct: bool, quantiles: Sequence[float | None] | None) -> list[Column]:
+    def merge(self, bits: int | None) -> list[str]:
+        """The whole table's statistics from its parts, and values at evenly spaced ranks."""
         t = self.tag
-        out = [
-            F.sum(f"{t}_n").alias(f"{t}_n"),
-            F.min(f"{t}_min").alias(f"{t}_min"),
-            F.max(f"{t}_max").alias(f"{t}_max"),
-            F.sum(f"{t}_sum").alias(f"{t}_sum"),
-            _merged_moments(t).alias(f"{t}_m"),
+        distinct = "cast(null as bigint)" if bits is None else f"hll_sketch_estimate(hll_union_agg({t}_seen))"
+        return [
+            f"sum({t}_n) as {t}_n",
+            f"min({t}_min) as {t}_min",
+            f"max({t}_max) as {t}_max",
+            f"sum({t}_sum) as {t}_sum",
+            f"{_merged_deviation(t)} as {t}_dev",
+            f"{distinct} as {t}_distinct",
+            f"if(sum({t}_n) > 0, {grid(f'kll_merge_agg_double({t}_rank)')}, null) as {t}_grid",
         ]
-        if distinct:
-            merged = F.hll_sketch_estimate(F.hll_union_agg(f"{t}_seen"))
-            out.append(F.coalesce(merged, F.lit(0)).cast("bigint").alias(f"{t}_distinct"))
-        else:
-            out.append(F.max(F.lit(None).cast("bigint")).alias(f"{t}_distinct"))
-        if quantiles is None:
-            out.append(F.first(f"{t}_q", ignorenulls=True).alias(f"{t}_q"))
-        else:
-            literal = F.array(*[F.lit(q).cast("double") for q in quantiles])
-            out.append(F.max(literal).alias(f"{t}_q"))
-        return out
-
-    def result(self) -> Column:
-        """The column's row of the result."""
+
+    def result(self) -> str:
+        """The column's row of the result, as a struct."""
         t = self.tag
-        n = F.col(f"{t}_n")
-        deviation = F.when(n > 1, F.sqrt(F.col(f"{t}_m")["m2"] / (n - 1)))
-        mean = F.when(n > 0, F.col(f"{t}_sum") / n)
-        stats = [F.col(f"{t}_min"), F.col(f"{t}_max"), mean, F.col(f"{t}_q")[0], F.col(f"{t}_q")[1], deviation]
+        stats = [f"{t}_min", f"{t}_max", f"if({t}_n > 0, {t}_sum / {t}_n, null)", f"{t}_q[0]", f"{t}_q[1]", f"{t}_dev"]
         numeric = self.kind == "numeric"
-        fields: list[Column] = [
-            F.lit(self.name).alias("column_name"),
-            F.lit(self.kind).alias("kind"),
-            F.col("total_rows"),
-            n.alias("non_null_count"),
-            F.when(F.col("total_rows") > 0, F.round((1 - n / F.col("total_rows")) * 100, 2))
-            .otherwise(100.0)
-            .alias("null_percentage"),
-            F.col(f"{t}_distinct").alias("approx_distinct"),
+        label = self.name.replace("\\", "\\\\").replace("'", "\\'")
+        fields = [
+            f"'{label}' as column_name",
+            f"'{self.kind}' as kind",
+            "total_rows",
+            f"{t}_n as non_null_count",
+            f"if(total_rows > 0, round((1 - {t}_n / total_rows) * 100, 2), 100D) as null_percentage",
+            f"cast({t}_distinct as bigint) as approx_distinct",
         ]
-        nothing = F.lit(None).cast("double")
         for name, stat in zip(LENGTH_FIELDS, stats):
             whole = name in ("min_length", "max_length")
-            shown = nothing if numeric else stat if whole else F.round(stat, 2)
-            fields.append((shown.cast("bigint") if whole else shown).alias(name))
+            shown = "null" if numeric else stat if whole else f"round({stat}, 2)"
+            fields.append(f"cast({shown} as {'bigint' if whole else 'double'}) as {name}")
         for name, stat in zip(VALUE_FIELDS, stats):
-            fields.append((stat if numeric else nothing).alias(name))
-        return F.struct(*fields)
+            fields.append(f"cast({stat if numeric else 'null'} as double) as {name}")
+        return f"struct({', '.join(fields)})"
 
 
-def _merged_moments(tag: str) -> Column:
-    """Summed squared deviation of all parts, from each part's count, mean and variance."""
-    parts = F.collect_list(
-        F.struct(
-            F.col(f"{tag}_n").cast("double").alias("n"),
-            (F.col(f"{tag}_sum") / F.col(f"{tag}_n")).alias("mean"),
-            (F.col(f"{tag}_var") * F.col(f"{tag}_n")).alias("m2"),
-        )
+def _merged_deviation(tag: str) -> str:
+    """Sample deviation of all parts, from each part's count, sum and variance."""
+    n = f"{tag}_n"
+    parts = (
+        f"filter(collect_list(struct(cast({n} as double) as n, {tag}_sum / nullif({n}, 0) as mean, "
+        f"{tag}_var * {n} as m2)), p -> p.n > 0)"
     )
-
-    def add(a: Column, b: Column) -> Column:
-        n = a["n"] + b["n"]
-        gap = b["mean"] - a["mean"]
-        return F.struct(
-            n.alias("n"),
-            (a["mean"] + gap * b["n"] / n).alias("mean"),
-            (a["m2"] + b["m2"] + gap * gap * a["n"] * b["n"] / n).alias("m2"),
-        )
-
-    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
-    return F.aggregate(F.filter(parts, lambda p: p["n"] > 0), zero, add)
+    gap = "(b.mean - a.mean)"
+    both = (
+        f"struct(a.n + b.n as n, a.mean + {gap} * b.n / (a.n + b.n) as mean, "
+        f"a.m2 + b.m2 + {gap} * {gap} * a.n * b.n / (a.n + b.n) as m2)"
+    )
+    zero = "struct(0D as n, 0D as mean, 0D as m2)"
+    return f"aggregate({parts}, {zero}, (a, b) -> {both}, s -> if(s.n > 1, sqrt(s.m2 / (s.n - 1)), null))"
 
 
 def profile_table(
@@ -160,26 +169,44 @@ def profile_table(
 ) -> DataFrame:
     """One row of statistics per column.
 
-    Up to ``exact_quantile_rows`` rows everything comes from one scan. Larger tables take the two-level
-    reduction and the bracketed quantiles. Pass ``rows`` when the count is known; otherwise it is read
-    from the file footers.
+    Up to ``exact_quantile_cells`` (rows times columns) everything comes from one scan. Larger tables take
+    the two-level reduction and the bracketed quantiles, a few scans in all. Pass ``rows`` when the count
+    is known; otherwise it is read from the file footers.
     """
     names = list(columns or df.columns)
     types = {f.name: f.dataType for f in df.schema.fields}
     measures = [Measure(n, column_kind(types[n]), f"c{i}") for i, n in enumerate(names)]
-    df = df.select(*names)
-    large = (df.count() if rows is None else rows) > settings.exact_quantile_rows
-    found = (
-        exact_quantiles(df, {m.tag: m.value for m in measures}, QUANTILES, settings) if large else {}
-    )
-    partial = [c for m in measures for c in m.partial(settings, distinct, not large)]
-    bucket = F.pmod(F.spark_partition_id(), F.lit(settings.profile_fan_in)).alias("bucket")
-    parts = (df.groupBy(bucket) if large else df.groupBy()).agg(F.count("*").alias("part_rows"), *partial)
-    merged = parts.agg(
-        F.coalesce(F.sum("part_rows"), F.lit(0)).alias("total_rows"),
-        *[c for m in measures for c in m.merge(distinct, found.get(m.tag) if large else None)],
+    df = df.select(*[quoted(n) for n in names])
+    bits = settings.sketch_bits if distinct else None
+    cells = (df.count() if rows is None else rows) * len(measures)
+    if cells > settings.exact_quantile_cells:
+        wide = _large(df, measures, bits, settings)
+    else:
+        exprs = [x for m in measures for x in m.single(bits)]
+        wide = df.agg(F.count("*").alias("total_rows"), *map(F.expr, exprs))
+    return wide.selectExpr(f"inline(array({', '.join(m.result() for m in measures)}))")
+
+
+def _large(df: DataFrame, measures: list[Measure], bits: int | None, settings: Settings) -> DataFrame:
+    """The wide row of a large table. Its statistics, a few numbers per column, come to the driver,
+    because the scans that find the quantiles depend on them."""
+    partial = ["count(*) as part_rows", *[x for m in measures for x in m.partial(bits, settings)]]
+    merge = ["sum(part_rows) as total_rows", *[x for m in measures for x in m.merge(bits)]]
+    merged = two_level(df, partial, merge, settings)
+    row = merged.first()
+    brackets = {}
+    for m in measures:
+        n = row[f"{m.tag}_n"]
+        for q in QUANTILES if n else ():
+            brackets[m.tag, q] = Bracket(m.value, q * (n - 1), n)
+            brackets[m.tag, q].aim(row[f"{m.tag}_grid"], settings.quantile_margin)
+    found = dict(zip(brackets, settle(df, list(brackets.values()), settings)))
+    names = [f"{m.tag}_q" for m in measures]
+    values = [[found.get((m.tag, q)) for q in QUANTILES] for m in measures]
+    schema = T.StructType(
+        merged.schema.fields + [T.StructField(n, T.ArrayType(T.DoubleType())) for n in names]
     )
-    return merged.select(F.inline(F.array(*[m.result() for m in measures])))
+    return df.sparkSession.createDataFrame([(*row, *values)], schema)
 
 
 def numeric_profile(df: DataFrame, columns: Sequence[str], settings: Settings = DEFAULTS) -> DataFrame:
@@ -195,12 +222,16 @@ def text_profile(df: DataFrame, columns: Sequence[str], settings: Settings = DEF
 
 
 def exact_distinct(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Exact distinct counts, one pruned scan per column: several in one pass would copy each row."""
+    """Exact distinct counts, one pruned scan per column: several in one pass would copy each row.
+
+    Texts are told apart by their SHA-256, so the shuffle moves 32 bytes per distinct value, not the text.
+    """
     kinds = {f.name: column_kind(f.dataType) for f in df.schema.fields}
 
     def one(name: str) -> DataFrame:
-        value = as_text(name, kinds[name]) if kinds[name] == "semi_structured" else F.col(name)
-        counted = df.select(value.alias("v")).agg(F.count_distinct("v").alias("distinct_count"))
+        long = kinds[name] in ("text", "semi_structured")
+        value = f"unhex(sha2({as_text(name, kinds[name])}, 256))" if long else quoted(name)
+        counted = df.select(F.expr(value).alias("v")).agg(F.count_distinct("v").alias("distinct_count"))
         return counted.select(F.lit(name).alias("column_name"), "distinct_count")
 
     return reduce(DataFrame.unionByName, [one(name) for name in columns])
@@ -370,20 +401,32 @@ def json_top_keys(
     )
 
 
+def _children(entry: str) -> str:
+    """Members of an object and elements of an array, each with its path, in SQL."""
+    joined = f"if({entry}.path = '', {{0}}, concat({entry}.path, '.', {{0}}))"
+    members = f"map_entries(try_variant_get({entry}.value, '$', 'map<string,variant>'))"
+    elements = f"try_variant_get({entry}.value, '$', 'array<variant>')"
+    return (
+        f"concat(coalesce(transform({members}, m -> struct({joined.format('m.key')} as path, m.value as value)), array()), "
+        f"coalesce(transform({elements}, x -> struct({joined.format(repr('[]'))} as path, x as value)), array()))"
+    )
+
+
 def json_path_types(df: DataFrame, column: str, depth: int = 3) -> DataFrame:
-    """Paths and types inside a JSON column, with their counts, down to a fixed depth."""
-    level = df.select(F.try_parse_json(column).alias("value"), F.lit("").alias("prefix"))
-    found = []
-    for _ in range(depth):
-        spark = df.sparkSession
-        inner = level.lateralJoin(spark.tvf.variant_explode(F.col("value").outer()).alias("inner"))
-        step = F.coalesce(F.col("inner.key"), F.lit("[]"))
-        level = inner.select(
-            F.col("inner.value").alias("value"),
-            F.when(F.col("prefix") == "", step).otherwise(F.concat_ws(".", "prefix", step)).alias("prefix"),
-        )
-        found.append(level.select(F.col("prefix").alias("path"), json_type(F.col("value")).alias("type")))
-    counted = reduce(DataFrame.unionByName, found).groupBy("path", "type").agg(F.count("*").alias("n"))
+    """Paths and types inside a JSON column, with their counts, down to a fixed depth.
+
+    Every text is parsed once and the column is read once; each level is made from the one above it.
+    """
+    levels = df.select(F.struct(F.lit("").alias("path"), F.try_parse_json(column).alias("value")).alias("root"))
+    levels = levels.select(F.expr(_children("root")).alias("level0"))
+    for i in range(1, depth):
+        below = f"flatten(transform(level{i - 1}, e -> {_children('e')}))"
+        levels = levels.select("*", F.expr(below).alias(f"level{i}"))
+    every = F.concat(*[F.col(f"level{i}") for i in range(depth)])
+    found = levels.select(F.explode(every).alias("entry")).select(
+        F.col("entry.path").alias("path"), json_type(F.col("entry.value")).alias("type")
+    )
+    counted = found.groupBy("path", "type").agg(F.count("*").alias("n"))
     return counted.orderBy(F.col("n").desc(), "path", "type")
 
 

@@ -1,109 +1,122 @@
 """Exact interpolated quantiles of columns too large for one in-memory value map.
 
-Spark's ``percentile`` keeps every distinct value in one task, and ``percentile_approx`` is not exact.
-Here an approximate pass brackets each wanted rank, a counting pass proves the bracket, and the loop
-narrows it until few enough rows remain for ``percentile``. Only counts and bracket ends (four numbers
-per column and quantile) come to the driver; no row is shuffled, dropped or sampled.
+Spark's ``percentile`` keeps every distinct value in one task, and sketches are not exact. Here a sketch
+brackets each wanted rank, the next scan counts the rows below and inside the bracket, which proves it,
+and sketches its inside for a narrower one. Once few enough rows remain, ``percentile`` finishes inside
+the bracket. Only counts and bracket ends come to the driver; no row is shuffled, dropped or sampled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fitgauge.settings import DEFAULTS, Settings
 
 MAX_ROUNDS = 8
+GRID = 200
+
+
+def literal(value: float) -> str:
+    """A double in SQL, without loss and also for values that have no number form."""
+    return f"{value!r}D" if math.isfinite(value) else f"double('{value}')"
+
+
+def two_level(df: DataFrame, partial: Sequence[str], merge: Sequence[str], settings: Settings) -> DataFrame:
+    """One row of ``merge`` over the ``partial`` states of up to ``profile_fan_in`` parts of the rows.
+
+    A global aggregation sends one state per map task to a single reducer; sketches of many columns from
+    very many tasks would queue there. The first level spreads them over reducers.
+    """
+    part = F.expr(f"pmod(spark_partition_id(), {settings.profile_fan_in})").alias("part")
+    return df.groupBy(part).agg(*map(F.expr, partial)).agg(*map(F.expr, merge))
+
+
+def sketch(value: str, settings: Settings) -> str:
+    return f"kll_sketch_agg_double({value}, {settings.quantile_sketch})"
+
+
+def grid(merged: str, steps: int = GRID) -> str:
+    """Values at evenly spaced ranks of a sketch."""
+    ranks = ", ".join(f"{i / steps!r}D" for i in range(steps + 1))
+    return f"kll_sketch_get_quantile_double({merged}, array({ranks}))"
 
 
 @dataclass
 class Bracket:
-    """A wanted position among the sorted values, and a range of values that surely holds it."""
+    """A wanted position among the sorted values, and a range proven to hold it."""
 
-    column: Column
+    column: str
     position: float
+    inside: int
+    below: int = 0
     low: float | None = None
     high: float | None = None
-    below: int = 0
-    inside: int = 0
-    settled: bool = False
-
-    def inner(self) -> Column:
-        """The column where it lies inside the bracket, else null."""
-        if self.low is None:
-            return self.column
-        return F.when(self.column.between(F.lit(self.low), F.lit(self.high)), self.column)
+    guess: tuple[float, float] | None = None
 
+    @property
     def share(self) -> float:
-        """The position as a fraction of the bracket's rows."""
+        """The position as a rank inside the proven range."""
         return (self.position - self.below) / (self.inside - 1) if self.inside > 1 else 0.0
 
-
-def _row(df: DataFrame, exprs: Sequence[Column]) -> list:
-    return list(df.agg(*[e.alias(f"x{i}") for i, e in enumerate(exprs)]).first())
-
-
-def _narrow(df: DataFrame, brackets: list[Bracket], settings: Settings) -> None:
-    """One approximate pass for the new ends, one exact pass to count below and inside them."""
-    margin = 2.0 / settings.quantile_accuracy
-    ends = _row(
-        df,
-        [
-            F.percentile_approx(
-                b.inner(),
-                [max(0.0, b.share() - margin), min(1.0, b.share() + margin)],
-                settings.quantile_accuracy,
-            )
-            for b in brackets
-        ],
-    )
-    counts = _row(
-        df,
-        [
-            F.struct(
-                F.count_if(b.column < F.lit(low)),
-                F.count_if(b.column.between(F.lit(low), F.lit(high))),
-            )
-            for b, (low, high) in zip(brackets, ends)
-        ],
-    )
-    for bracket, (low, high), (below, inside) in zip(brackets, ends, counts):
-        holds = below <= bracket.position and bracket.position <= below + inside - 1
-        if not holds or inside > bracket.inside / 2:
-            # Wrong, or no narrower: many equal values, which ``percentile`` counts as one entry.
-            bracket.settled = True
+    @property
+    def guessed(self) -> str:
+        low, high = map(literal, self.guess)
+        return f"{self.column} between {low} and {high}"
+
+    @property
+    def final(self) -> str:
+        """Interpolated value at the position, from the rows inside the range."""
+        inner = self.column
+        if self.low is not None:
+            inner = f"if({inner} between {literal(self.low)} and {literal(self.high)}, {inner}, null)"
+        return f"percentile({inner}, {literal(self.share)})"
+
+    def aim(self, values: Sequence[float], margin: float) -> None:
+        """Guesses a narrower range from the grid of a sketch of the proven range."""
+        steps = len(values) - 1
+        low = max(0, math.floor((self.share - margin) * steps))
+        high = min(steps, math.ceil((self.share + margin) * steps))
+        self.guess = (values[low], values[high])
+
+    def learn(self, below: int, inside: int, values: Sequence[float] | None, margin: float) -> None:
+        """Takes the guess when the counts prove it, and aims again while that still helps."""
+        holds = below <= self.position <= below + inside - 1
+        # Not much narrower means many equal values, which ``percentile`` keeps as one entry.
+        shrank = inside <= self.inside / 2
         if holds:
-            bracket.low, bracket.high = low, high
-            bracket.below, bracket.inside = below, inside
-
-
-def exact_quantiles(
-    df: DataFrame,
-    values: Mapping[str, Column],
-    probabilities: Sequence[float],
-    settings: Settings = DEFAULTS,
-) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles of each named double column; None where it has no value."""
-    names = list(values)
-    sizes = dict(zip(names, _row(df, [F.count(values[n]) for n in names])))
-    brackets = {
-        (n, p): Bracket(values[n], p * (sizes[n] - 1), inside=sizes[n])
-        for n in names
-        for p in probabilities
-        if sizes[n] > 0
-    }
-    for _ in range(MAX_ROUNDS):
-        wide = [
-            b for b in brackets.values() if not b.settled and b.inside > settings.exact_quantile_rows
+            self.low, self.high = self.guess
+            self.below, self.inside = below, inside
+        self.guess = None
+        if holds and shrank and values is not None:
+            self.aim(values, margin)
+
+
+def _narrow(df: DataFrame, brackets: Sequence[Bracket], settings: Settings) -> None:
+    """One scan: proves each guess and sketches its inside for the next."""
+    partial, merge = [], []
+    for i, b in enumerate(brackets):
+        partial += [
+            f"count_if({b.column} < {literal(b.guess[0])}) as b{i}",
+            f"count_if({b.guessed}) as n{i}",
+            f"{sketch(f'if({b.guessed}, {b.column}, null)', settings)} as s{i}",
         ]
+        inner = grid(f"kll_merge_agg_double(s{i})")
+        merge.append(f"struct(sum(b{i}), sum(n{i}), if(sum(n{i}) > 0, {inner}, null)) as r{i}")
+    for b, (below, inside, values) in zip(brackets, two_level(df, partial, merge, settings).first()):
+        b.learn(below, inside, values, settings.quantile_margin)
+
+
+def settle(df: DataFrame, brackets: Sequence[Bracket], settings: Settings = DEFAULTS) -> list[float]:
+    """The exact value of every bracket."""
+    for _ in range(MAX_ROUNDS):
+        allowed = settings.exact_quantile_cells / max(1, len(brackets))
+        wide = [b for b in brackets if b.guess is not None and b.inside > allowed]
         if not wide:
             break
         _narrow(df, wide, settings)
-    found = {}
-    if brackets:
-        picked = _row(df, [F.percentile(b.inner(), F.lit(b.share())) for b in brackets.values()])
-        found = dict(zip(brackets, picked))
-    return {n: [found.get((n, p)) for p in probabilities] for n in names}
+    return list(df.agg(*[F.expr(b.final) for b in brackets]).first()) if brackets else []

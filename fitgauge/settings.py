@@ -101,9 +101,11 @@ class Settings:
     text_profile_sample: int = 1000
     estimated_profiles: int = 15
     sketch_bits: int = 12
-    exact_quantile_rows: int = 2_000_000
-    quantile_accuracy: int = 1000
-    profile_fan_in: int = 64
+    exact_quantile_cells: int = 20_000_000
+    quantile_sketch: int = 1000
+    quantile_margin: float = 0.01
+    profile_fan_in: int = 256
+    plain_sample_rows: int = 1_000_000
     tables_per_job: int = 32
 
     # classifiers
