@@ -111,7 +111,7 @@ class Measure:
         t = self.tag
         distinct = "cast(null as bigint)" if bits is None else f"hll_sketch_estimate(hll_union_agg({t}_seen))"
         return [
-            f"sum({t}_n) as {t}_n",
+            f"coalesce(sum({t}_n), 0) as {t}_n",
             f"min({t}_min) as {t}_min",
             f"max({t}_max) as {t}_max",
             f"sum({t}_sum) as {t}_sum",
@@ -191,7 +191,7 @@ def _large(df: DataFrame, measures: list[Measure], bits: int | None, settings: S
     """The wide row of a large table. Its statistics, a few numbers per column, come to the driver,
     because the scans that find the quantiles depend on them."""
     partial = ["count(*) as part_rows", *[x for m in measures for x in m.partial(bits, settings)]]
-    merge = ["sum(part_rows) as total_rows", *[x for m in measures for x in m.merge(bits)]]
+    merge = ["coalesce(sum(part_rows), 0) as total_rows", *[x for m in measures for x in m.merge(bits)]]
     merged = two_level(df, partial, merge, settings)
     row = merged.first()
     brackets = {}
@@ -221,20 +221,21 @@ def text_profile(df: DataFrame, columns: Sequence[str], settings: Settings = DEF
     )
 
 
-def exact_distinct(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Exact distinct counts, one pruned scan per column: several in one pass would copy each row.
+def _distinct_count(df: DataFrame, name: str) -> DataFrame:
+    """Exact distinct count of one column, from a scan of that column alone.
 
     Texts are told apart by their SHA-256, so the shuffle moves 32 bytes per distinct value, not the text.
     """
-    kinds = {f.name: column_kind(f.dataType) for f in df.schema.fields}
+    kind = column_kind(df.schema[name].dataType)
+    long = kind in ("text", "semi_structured")
+    value = f"unhex(sha2({as_text(name, kind)}, 256))" if long else quoted(name)
+    return df.select(F.expr(value).alias("v")).agg(F.count_distinct("v").alias("distinct_count"))
 
-    def one(name: str) -> DataFrame:
-        long = kinds[name] in ("text", "semi_structured")
-        value = f"unhex(sha2({as_text(name, kinds[name])}, 256))" if long else quoted(name)
-        counted = df.select(F.expr(value).alias("v")).agg(F.count_distinct("v").alias("distinct_count"))
-        return counted.select(F.lit(name).alias("column_name"), "distinct_count")
 
-    return reduce(DataFrame.unionByName, [one(name) for name in columns])
+def exact_distinct(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Exact distinct counts, one scan per column: several in one scan would copy each row."""
+    parts = [_distinct_count(df, n).select(F.lit(n).alias("column_name"), "distinct_count") for n in columns]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def sparsity_cardinality(
@@ -242,29 +243,28 @@ def sparsity_cardinality(
 ) -> DataFrame:
     """Null share and distinct share with their classes; lengths for text only."""
     base = profile_table(df, columns, settings, distinct=not exact)
+    counted = F.col("approx_distinct")
     if exact:
-        counts = exact_distinct(df, columns).withColumnRenamed("distinct_count", "n_distinct")
-        base = base.join(counts, "column_name")
-    else:
-        base = base.withColumn("n_distinct", F.col("approx_distinct"))
-    nulls = F.when(
-        F.col("total_rows") > 0,
-        (F.col("total_rows") - F.col("non_null_count")) / F.col("total_rows") * 100,
-    ).otherwise(100.0)
-    ratio = F.when(F.col("non_null_count") > 0, F.col("n_distinct") / F.col("non_null_count")).otherwise(0.0)
-    text = F.col("kind").isin("text", "semi_structured")
-    return base.select(
+        found = [F.when(F.col("column_name") == n, _distinct_count(df, n).scalar()) for n in columns]
+        counted = F.coalesce(*found)
+    base = base.withColumn("distinct_count", counted)
+    return base.selectExpr(
+        "*",
+        "if(total_rows > 0, (total_rows - non_null_count) / total_rows * 100, 100D) as nulls",
+        "if(non_null_count > 0, distinct_count / non_null_count, 0D) as ratio",
+        "kind in ('text', 'semi_structured') as has_length",
+    ).select(
         "column_name",
         "kind",
         "total_rows",
         "non_null_count",
-        F.round(nulls, 2).alias("null_percentage"),
-        classify.sparsity_class(nulls, settings).alias("sparsity"),
-        F.col("n_distinct").alias("distinct_count"),
-        F.round(ratio, 4).alias("unique_ratio"),
-        classify.cardinality_class(ratio, settings).alias("cardinality"),
-        F.when(text, F.col("avg_length")).alias("avg_length"),
-        F.when(text, F.col("max_length")).alias("max_length"),
+        F.round("nulls", 2).alias("null_percentage"),
+        classify.sparsity_class(F.col("nulls"), settings).alias("sparsity"),
+        "distinct_count",
+        F.round("ratio", 4).alias("unique_ratio"),
+        classify.cardinality_class(F.col("ratio"), settings).alias("cardinality"),
+        F.when(F.col("has_length"), F.col("avg_length")).alias("avg_length"),
+        F.when(F.col("has_length"), F.col("max_length")).alias("max_length"),
     )
 
 
@@ -342,20 +342,21 @@ def natural_language(
     else:
         values = content_sample(df, column, key, settings)
     spaced = values.agg(
-        F.lit(column).alias("column_name"),
-        F.count("*").alias("checked_values"),
-        F.avg(F.col(column).contains(" ").cast("double")).alias("spaced_share"),
+        F.struct(
+            F.count("*").alias("checked"), F.avg(F.col(column).contains(" ").cast("double")).alias("share")
+        ).alias("spaced")
     )
     long_enough = (F.col("avg_length") >= settings.meaningful_length) & (F.col("checked_values") > 0)
     return (
         content_profile(df, [column], settings)
-        .join(spaced, "column_name")
-        .withColumn("sample_with_spaces_rate", F.when(long_enough, F.round(F.col("spaced_share") * 100, 2)))
+        .withColumn("spaced", spaced.scalar())
+        .withColumn("checked_values", F.col("spaced.checked"))
+        .withColumn("sample_with_spaces_rate", F.when(long_enough, F.round(F.col("spaced.share") * 100, 2)))
         .withColumn(
             "is_natural_language",
-            F.when(long_enough, F.col("spaced_share") >= 0.5).otherwise(F.col("is_natural_language")),
+            F.when(long_enough, F.col("spaced.share") >= 0.5).otherwise(F.col("is_natural_language")),
         )
-        .drop("spaced_share")
+        .drop("spaced")
     )
 
 

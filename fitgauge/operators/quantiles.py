@@ -96,27 +96,27 @@ class Bracket:
             self.aim(values, margin)
 
 
-def _narrow(df: DataFrame, brackets: Sequence[Bracket], settings: Settings) -> None:
-    """One scan: proves each guess and sketches its inside for the next."""
+def _narrow(df: DataFrame, brackets: Sequence[Bracket], settings: Settings, *, again: bool) -> None:
+    """One scan: proves each guess and, to go on ``again``, sketches its inside for the next."""
     partial, merge = [], []
     for i, b in enumerate(brackets):
-        partial += [
-            f"count_if({b.column} < {literal(b.guess[0])}) as b{i}",
-            f"count_if({b.guessed}) as n{i}",
-            f"{sketch(f'if({b.guessed}, {b.column}, null)', settings)} as s{i}",
-        ]
-        inner = grid(f"kll_merge_agg_double(s{i})")
-        merge.append(f"struct(sum(b{i}), sum(n{i}), if(sum(n{i}) > 0, {inner}, null)) as r{i}")
+        partial += [f"count_if({b.column} < {literal(b.guess[0])}) as b{i}", f"count_if({b.guessed}) as n{i}"]
+        inner = "null"
+        if again:
+            partial.append(f"{sketch(f'if({b.guessed}, {b.column}, null)', settings)} as s{i}")
+            inner = f"if(sum(n{i}) > 0, {grid(f'kll_merge_agg_double(s{i})')}, null)"
+        merge.append(f"struct(sum(b{i}), sum(n{i}), {inner}) as r{i}")
     for b, (below, inside, values) in zip(brackets, two_level(df, partial, merge, settings).first()):
         b.learn(below, inside, values, settings.quantile_margin)
 
 
 def settle(df: DataFrame, brackets: Sequence[Bracket], settings: Settings = DEFAULTS) -> list[float]:
     """The exact value of every bracket."""
+    allowed = settings.exact_quantile_cells / max(1, len(brackets))
+    width = 2 * settings.quantile_margin + 2 / GRID
     for _ in range(MAX_ROUNDS):
-        allowed = settings.exact_quantile_cells / max(1, len(brackets))
         wide = [b for b in brackets if b.guess is not None and b.inside > allowed]
         if not wide:
             break
-        _narrow(df, wide, settings)
+        _narrow(df, wide, settings, again=max(b.inside for b in wide) * width > allowed)
     return list(df.agg(*[F.expr(b.final) for b in brackets]).first()) if brackets else []

@@ -101,7 +101,7 @@ class Settings:
     text_profile_sample: int = 1000
     estimated_profiles: int = 15
     sketch_bits: int = 12
-    exact_quantile_cells: int = 20_000_000
+    exact_quantile_cells: int = 8_000_000
     quantile_sketch: int = 1000
     quantile_margin: float = 0.01
     profile_fan_in: int = 256

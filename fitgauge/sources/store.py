@@ -8,6 +8,7 @@ overwrites what it reads and a rerun after a lost executor or driver is safe.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 from datetime import datetime
 
@@ -58,8 +59,7 @@ def work_dir(spark: SparkSession) -> str:
         return tempfile.mkdtemp(prefix="fitgauge-")
     if shared is None:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    run = datetime.now().strftime("%Y%m%d-%H%M%S-%f")
-    return f"{shared.rstrip('/')}/fitgauge-{run}"
+    return f"{shared.rstrip('/')}/fitgauge-{uuid.uuid4().hex}"
 
 
 def _read_or_empty(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet") -> DataFrame:
