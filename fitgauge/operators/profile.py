@@ -99,16 +99,13 @@ class Measure:
         """State of one part of a large table."""
         t = self.tag
         seen = [] if bits is None else [f"{self.sketch.format(bits=bits)} as {t}_seen"]
-        return [
-            *self.base(),
-            f"var_pop({self.value}) as {t}_var",
-            f"{sketch(self.value, settings)} as {t}_rank",
-            *seen,
-        ]
+        rank = [f"{sketch(self.value, settings)} as {t}_rank"] if self.kind == "numeric" else []
+        return [*self.base(), f"var_pop({self.value}) as {t}_var", *seen, *rank]
 
     def merge(self, bits: int | None) -> list[str]:
-        """The whole table's statistics from its parts, and values at evenly spaced ranks."""
+        """The whole table's statistics from its parts; for numbers also values at evenly spaced ranks."""
         t = self.tag
+        ranks = f"if(sum({t}_n) > 0, {grid(f'kll_merge_agg_double({t}_rank)')}, null) as {t}_grid"
         distinct = "cast(null as bigint)" if bits is None else f"hll_sketch_estimate(hll_union_agg({t}_seen))"
         return [
             f"coalesce(sum({t}_n), 0) as {t}_n",
@@ -117,7 +114,7 @@ class Measure:
             f"sum({t}_sum) as {t}_sum",
             f"{_merged_deviation(t)} as {t}_dev",
             f"{distinct} as {t}_distinct",
-            f"if(sum({t}_n) > 0, {grid(f'kll_merge_agg_double({t}_rank)')}, null) as {t}_grid",
+            *([ranks] if self.kind == "numeric" else []),
         ]
 
     def result(self) -> str:
@@ -194,21 +191,46 @@ def _large(df: DataFrame, measures: list[Measure], bits: int | None, settings: S
     merge = ["coalesce(sum(part_rows), 0) as total_rows", *[x for m in measures for x in m.merge(bits)]]
     merged = two_level(df, partial, merge, settings)
     row = merged.first()
-    brackets = {}
+    found, brackets, lengths = {}, {}, []
     for m in measures:
-        n = row[f"{m.tag}_n"]
-        for q in QUANTILES if n else ():
-            brackets[m.tag, q] = Bracket(m.value, q * (n - 1), n)
-            brackets[m.tag, q].aim(row[f"{m.tag}_grid"], settings.quantile_margin)
-    found = dict(zip(brackets, settle(df, list(brackets.values()), settings)))
+        n, low, high = row[f"{m.tag}_n"], row[f"{m.tag}_min"], row[f"{m.tag}_max"]
+        if low == high:
+            found[m.tag] = [low] * len(QUANTILES)
+        elif m.kind != "numeric":
+            lengths.append(m)
+        else:
+            for q in QUANTILES:
+                brackets[m.tag, q] = Bracket(m.value, q * (n - 1), n)
+                brackets[m.tag, q].aim(row[f"{m.tag}_grid"], settings.quantile_margin)
+    for (tag, _), value in zip(brackets, settle(df, list(brackets.values()), settings)):
+        found.setdefault(tag, []).append(value)
+    found |= _length_quantiles(df, lengths)
     names = [f"{m.tag}_q" for m in measures]
-    values = [[found.get((m.tag, q)) for q in QUANTILES] for m in measures]
+    values = [found[m.tag] for m in measures]
     schema = T.StructType(
         merged.schema.fields + [T.StructField(n, T.ArrayType(T.DoubleType())) for n in names]
     )
     return df.sparkSession.createDataFrame([(*row, *values)], schema)
 
 
+def _length_quantiles(df: DataFrame, measures: list[Measure]) -> dict[str, list[float]]:
+    """Quantiles of text lengths, from counts per length. However many rows a table has, a column has few
+    different lengths, so one more scan of each column is enough."""
+    if not measures:
+        return {}
+
+    def histogram(m: Measure) -> DataFrame:
+        counts = df.select(F.expr(m.value).alias("length")).groupBy("length").count()
+        return counts.select(F.lit(m.tag).alias("tag"), "length", "count")
+
+    probabilities = ", ".join(literal(q) for q in QUANTILES)
+    counted = reduce(DataFrame.unionByName, [histogram(m) for m in measures])
+    picked = counted.groupBy("tag").agg(
+        F.expr(f"percentile(length, array({probabilities}), count)").alias("values")
+    )
+    return {r["tag"]: r["values"] for r in picked.collect()}
+
+
 def numeric_profile(df: DataFrame, columns: Sequence[str], settings: Settings = DEFAULTS) -> DataFrame:
     return profile_table(df, columns, settings, distinct=False).select(
         "column_name", "total_rows", "non_null_count", "null_percentage", *VALUE_FIELDS
