@@ -321,11 +321,18 @@ def per_column(tables: dict[str, list[str]], select) -> str:
     )
 
 
+def spaced(col: str) -> str:
+    """Share of longer texts that contain a space; none for dates."""
+    if col in ("o_orderdate", "l_shipdate", "ts"):
+        return "null::double"
+    return settled(f"avg(case when contains({col}, ' ') then 1.0::double else 0.0 end) filter (length({col}) > 20)")
+
+
 def profile_any(col: str) -> str:
     bare, _, number = col.partition(":")
     if number:
-        return f"{counts(bare)}, {NO_LENGTHS}, {number_stats(bare)}"
-    return f"{counts(bare)}, {length_stats(bare)}, {NO_NUMBERS}"
+        return f"{counts(bare)}, null::double as spaced_share, {NO_LENGTHS}, {number_stats(bare)}"
+    return f"{counts(bare)}, {spaced(bare)} as spaced_share, {length_stats(bare)}, {NO_NUMBERS}"
 
 
 def classes(average: str) -> str:
@@ -436,12 +443,13 @@ def lake_candidate(table: str, col: str) -> str:
     """Score parts of a text column without a comment and without a declared length."""
     return f"""select {LAKE}, '{table}' as table_name, '{col}' as column_name, 'llm' as feature,
   0.0::double as null_percentage, {rnd(f"avg(length({col}))", 2)} as avg_length, max(length({col}))::bigint as longest,
+  {spaced(col)} >= 0.5 as has_words,
   4.0::double as business_potential, 2.0::double as metadata_quality, 2.0::double as governance_risk from {table}"""
 
 
 VECTOR = f"""select {LAKE}, 'embeddings' as table_name, 'embedding' as column_name, 'extract' as feature,
   {rnd("(1 - count(embedding) / count(*)) * 100", 2)} as null_percentage, null::double as avg_length,
-  null::bigint as longest, 3.0::double as business_potential, 2.0::double as metadata_quality,
+  null::bigint as longest, null::boolean as has_words, 3.0::double as business_potential, 2.0::double as metadata_quality,
   2.0::double as governance_risk from embeddings"""
 LAKE_SCORED = (
     f"(select *, {null_points('null_percentage')} + {length_points('avg_length')} as data_readiness from ("
@@ -580,7 +588,7 @@ from (select props, unnest(json_keys(props)) as json_key from events) group by 1
     "adaptive_sample": "\nunion all ".join(
         adaptive(t, c) for t, c in (("documents", "text"), ("pages", "html"), ("benchmark", "text"))
     ),
-    "full_scan_top_n": f"""select *, business_potential + data_readiness + metadata_quality + governance_risk as total_score
+    "full_scan_top_n": f"""select * exclude (has_words), business_potential + data_readiness + metadata_quality + governance_risk as total_score
 from {LAKE_SCORED}""",
     "json_extract_text": """select event_id, json_extract_string(props, '$.k') as k from events
 where json_extract_string(props, '$.k') is not null""",
@@ -823,10 +831,26 @@ from candidates""",
   when total_score >= 12 then 'P2' else 'P3' end as priority
 from (select {K5}, {SCORES}, business_potential + data_readiness + metadata_quality + governance_risk as total_score,
   feature <> 'forecast' and data_readiness >= 3.5 and null_percentage <= 50
-    and coalesce(avg_length >= 50, true) as is_confirmed
+    and coalesce(avg_length >= 50 and has_words, true) as is_confirmed
 from (select * from {LAKE_SCORED} union all by name select * from {LAKE_FORECAST}))""",
 }
 
+RUN_RESULTS = {
+    "readiness": "all_readiness", "confirmed": "confirmed_only", "candidates": "confirm",
+}
+RUN_NAMES = (
+    "readiness", "readiness_summary", "top_tables", "missing_comments", "stale_tables", "unsupported_types",
+    "scan_savings", "candidates", "confirmed", "top_candidates", "domain_tables", "document_columns",
+    "pii_columns", "pii_categories", "stage_opportunities", "environment_counts", "enhanced_counts",
+    "quality_overview", "quality_by_feature", "over_provisioned", "high_quality", "reconsider",
+    "score_movers", "score_shift_summary", "priority_counts", "feature_by_tier", "feature_confirmation",
+    "top_opportunities", "schema_profiles", "database_breakdown", "confirmation_rate", "text_quality",
+    "best_text_column",
+)
+SELECTS["catalog_run_results"] = "\nunion all ".join(
+    f"select '{n}' as result, count(*) as rows from ({SELECTS[RUN_RESULTS.get(n, n)]})" for n in RUN_NAMES
+)
+
 
 def oracle_sql() -> dict[str, str]:
     return {key: statement(select) for key, select in SELECTS.items()}

@@ -562,7 +562,7 @@ def _all_columns(d: Data) -> dict[str, list[str]]:
 @query
 def profile_table(d: Data) -> DataFrame:
     whole = tagged(d, _all_columns(d), lambda df, cols: p.profile_table(df, cols, distinct=False))
-    return settle(whole.drop("approx_distinct", "kind"), p.VALUE_FIELDS)
+    return settle(whole.drop("approx_distinct", "kind"), [*p.VALUE_FIELDS, "spaced_share"])
 
 
 @query
@@ -1015,3 +1015,15 @@ def measured_candidates(d: Data) -> DataFrame:
     root = store.work_dir(d.spark)
     done = measured_run.measured_run(d.spark, DATABASE, lake(d), root, AS_OF)
     return done.select(*SCORED, "is_confirmed", "priority")
+
+
+@query
+def catalog_run_results(d: Data) -> DataFrame:
+    """A whole catalog run: the number of rows of each of its results."""
+    views = catalog_run.CatalogViews(d.tables, d.columns, d.constraints, d.storage, d.stages)
+    results = catalog_run.catalog_run(views, d.profiles, AS_OF, store.work_dir(d.spark))
+    counts = [
+        df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("result"), "rows")
+        for name, df in results.items()
+    ]
+    return union(counts)

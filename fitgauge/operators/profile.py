@@ -59,6 +59,12 @@ class Measure:
     name: str
     kind: str
     tag: str
+    min_words_length: int = DEFAULTS.content_min_length
+
+    @property
+    def is_longer(self) -> str:
+        """Whether a text is long enough for its spaces to tell words from codes."""
+        return f"length({quoted(self.name)}) > {self.min_words_length}" if self.kind == "text" else "false"
 
     @property
     def value(self) -> str:
@@ -81,6 +87,8 @@ class Measure:
             f"min({v}) as {t}_min",
             f"max({v}) as {t}_max",
             f"sum({v}) as {t}_sum",
+            f"count_if({self.is_longer}) as {t}_longer",
+            f"count_if({self.is_longer} and contains({as_text(self.name, 'text')}, ' ')) as {t}_spaced",
         ]
 
     def single(self, bits: int | None) -> list[str]:
@@ -112,6 +120,8 @@ class Measure:
             f"min({t}_min) as {t}_min",
             f"max({t}_max) as {t}_max",
             f"sum({t}_sum) as {t}_sum",
+            f"sum({t}_longer) as {t}_longer",
+            f"sum({t}_spaced) as {t}_spaced",
             f"{_merged_deviation(t)} as {t}_dev",
             f"{distinct} as {t}_distinct",
             *([ranks] if self.kind == "numeric" else []),
@@ -130,6 +140,7 @@ class Measure:
             f"{t}_n as non_null_count",
             f"if(total_rows > 0, round((1 - {t}_n / total_rows) * 100, 2), 100D) as null_percentage",
             f"cast({t}_distinct as bigint) as approx_distinct",
+            f"if({t}_longer > 0, {t}_spaced / {t}_longer, null) as spaced_share",
         ]
         for name, stat in zip(LENGTH_FIELDS, stats):
             whole = name in ("min_length", "max_length")
@@ -172,7 +183,7 @@ def profile_table(
     """
     names = list(columns or df.columns)
     types = {f.name: f.dataType for f in df.schema.fields}
-    measures = [Measure(n, column_kind(types[n]), f"c{i}") for i, n in enumerate(names)]
+    measures = [Measure(n, column_kind(types[n]), f"c{i}", settings.content_min_length) for i, n in enumerate(names)]
     df = df.select(*[quoted(n) for n in names])
     bits = settings.sketch_bits if distinct else None
     cells = (df.count() if rows is None else rows) * len(measures)

@@ -36,18 +36,22 @@ def step(
 
 def as_profiles(stored: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Stored statistics in the form the scores read."""
-    average = F.when(F.col("kind") == "text", F.col("avg_length"))
+    text = F.col("kind") == "text"
+    average = F.when(text, F.col("avg_length"))
+    by_length = classify.content_is_natural(average, settings)
+    by_words = F.col("spaced_share") >= 0.5
     return stored.filter("status = 'success'").select(
         *COLUMN_KEYS,
         F.col("total_rows").alias("total_rows_sampled"),
         "non_null_count",
         "null_percentage",
         average.alias("avg_length"),
-        F.when(F.col("kind") == "text", F.col("max_length")).alias("max_length"),
-        F.when(average.isNotNull(), classify.content_is_natural(average, settings)).alias(
-            "is_natural_language"
+        F.when(text, F.col("max_length")).alias("max_length"),
+        F.when(average.isNotNull(), by_length & F.coalesce(by_words, F.lit(True))).alias("is_natural_language"),
+        # A nested type cannot hold a broken structure.
+        F.when((F.col("kind") == "semi_structured") & (F.col("non_null_count") > 0), True).alias(
+            "is_valid_structure"
         ),
-        F.lit(None).cast("boolean").alias("is_valid_structure"),
     )
 
 

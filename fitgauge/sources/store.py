@@ -38,6 +38,7 @@ PROFILE_SCHEMA = T.StructType(
     + [T.StructField("kind", T.StringType())]
     + [T.StructField(n, T.LongType()) for n in ("total_rows", "non_null_count")]
     + [T.StructField("null_percentage", T.DoubleType()), T.StructField("approx_distinct", T.LongType())]
+    + [T.StructField("spaced_share", T.DoubleType())]
     + [
         T.StructField(n, T.LongType() if n in ("min_length", "max_length") else T.DoubleType())
         for n in LENGTH_FIELDS
