@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import datetime
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +29,7 @@ from fitgauge.plans import catalog_run, measured_run
 from fitgauge.plans.text_fitness import text_fitness
 from fitgauge.settings import DEFAULTS, PII_PATTERNS, TEXT_WORDS
 from fitgauge.sources import catalog, crawl, store
-from fitgauge.sources.tables import sample_rows, scan_table
+from fitgauge.sources.tables import row_counts, sample_rows, scan_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -137,8 +137,12 @@ def inputs(d: Data) -> DataFrame:
     )
 
 
-def tagged(d: Data, columns: dict[str, list[str]], profile: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
-    parts = [profile(d.table(t), cols).withColumn("table_name", F.lit(t)) for t, cols in columns.items()]
+def tagged(d: Data, columns: dict[str, list[str]], profile: Callable[..., DataFrame]) -> DataFrame:
+    counts = row_counts({t: d.table(t) for t in columns})
+    parts = [
+        profile(d.table(t), cols, rows=counts[t]).withColumn("table_name", F.lit(t))
+        for t, cols in columns.items()
+    ]
     return union(parts)
 
 
@@ -460,7 +464,7 @@ def text_profile(d: Data) -> DataFrame:
 @query
 def sparsity_cardinality(d: Data) -> DataFrame:
     columns = {t: [*TEXTS.get(t, []), *NUMBERS.get(t, [])] for t in (*TEXTS, "labels")}
-    return tagged(d, columns, lambda df, cols: p.sparsity_cardinality(df, cols, exact=True))
+    return tagged(d, columns, partial(p.sparsity_cardinality, exact=True))
 
 
 @query
@@ -501,7 +505,11 @@ def natural_language(d: Data) -> DataFrame:
 
 @query
 def natural_language_whole(d: Data) -> DataFrame:
-    return tagged(d, {"documents": ["text"], "pages": ["html"]}, lambda df, cols: p.natural_language(df, cols[0]))
+    named = {"documents": "text", "pages": "html"}
+    parts = [
+        p.natural_language(d.table(t), col).withColumn("table_name", F.lit(t)) for t, col in named.items()
+    ]
+    return union(parts)
 
 
 def _text_targets(d: Data) -> dict:
@@ -561,7 +569,7 @@ def _all_columns(d: Data) -> dict[str, list[str]]:
 
 @query
 def profile_table(d: Data) -> DataFrame:
-    whole = tagged(d, _all_columns(d), lambda df, cols: p.profile_table(df, cols, distinct=False))
+    whole = tagged(d, _all_columns(d), partial(p.profile_table, distinct=False))
     return settle(whole.drop("approx_distinct", "kind"), [*p.VALUE_FIELDS, "spaced_share"])
 
 

@@ -49,6 +49,7 @@ def column_candidates(columns: DataFrame, settings: Settings = DEFAULTS) -> Data
     named = name_matches_any(F.col("column_name"), settings.text_words)
     nested = F.upper("data_type").isin(*s.SEMI_STRUCTURED_TYPES)
     feature = F.when(is_text & (is_long | named), "llm").when(nested, "extract")
+    # Wording of the reasons, here and below.
     text_reason = F.concat(
         F.lit("Text column ("),
         F.col("data_type"),

@@ -16,6 +16,7 @@ from fitgauge.operators.profile import profile_table
 from fitgauge.settings import DEFAULTS, Settings
 from fitgauge.sources.catalog import latest_version
 from fitgauge.sources.store import PROFILE_SCHEMA, load_profile_cache, save
+from fitgauge.sources.tables import row_counts
 
 TableKey = tuple[str, str, str]
 Resolve = Callable[[TableKey], DataFrame]
@@ -86,30 +87,6 @@ def error_rows(
     return spark.createDataFrame(rows, PROFILE_SCHEMA)
 
 
-def profile_with_status(
-    spark: SparkSession,
-    key: TableKey,
-    columns: list[str],
-    resolve: Resolve,
-    analysis: str,
-    at: datetime,
-    settings: Settings = DEFAULTS,
-) -> DataFrame:
-    """Profiles of one table's columns; a column or table that is gone gives error rows."""
-    try:
-        df = resolve(key)
-    except PySparkException as error:
-        return error_rows(spark, key, columns, f"table not found: {error.getCondition()}", analysis, at)
-    present = [c for c in columns if c in df.columns]
-    gone = [c for c in columns if c not in df.columns]
-    parts = []
-    if present:
-        parts.append(_stored_form(profile_table(df, present, settings), key, analysis, at))
-    if gone:
-        parts.append(error_rows(spark, key, gone, "column not found", analysis, at))
-    return reduce(DataFrame.unionByName, parts)
-
-
 def profile_tables(
     spark: SparkSession,
     wanted: Iterable[tuple[TableKey, list[str]]],
@@ -118,9 +95,33 @@ def profile_tables(
     at: datetime,
     settings: Settings = DEFAULTS,
 ) -> DataFrame:
-    """Profiles of a few tables as one DataFrame; their scans run side by side in one job."""
-    parts = [profile_with_status(spark, key, cols, resolve, analysis, at, settings) for key, cols in wanted]
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], PROFILE_SCHEMA)
+    """Profiles of a few tables as one DataFrame, whose scans run side by side in one job.
+
+    A table or column that is gone gives error rows.
+    """
+    names: dict[TableKey, list[str]] = {}
+    for key, columns in wanted:
+        names.setdefault(key, []).extend(columns)
+    found, parts = {}, [spark.createDataFrame([], PROFILE_SCHEMA)]
+
+    def failed(key: TableKey, columns: list[str], message: str) -> None:
+        parts.append(error_rows(spark, key, columns, message, analysis, at))
+
+    for key, columns in names.items():
+        try:
+            found[key] = resolve(key)
+        except PySparkException as error:
+            failed(key, columns, f"table not found: {error.getCondition()}")
+    counts = row_counts(found)
+    for key, df in found.items():
+        present = [c for c in names[key] if c in df.columns]
+        gone = [c for c in names[key] if c not in df.columns]
+        if present:
+            profiled = profile_table(df, present, settings, rows=counts[key])
+            parts.append(_stored_form(profiled, key, analysis, at))
+        if gone:
+            failed(key, gone, "column not found")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def tables_wanted(missing: DataFrame) -> Iterator[tuple[TableKey, list[str]]]:
@@ -168,7 +169,7 @@ def _one_by_one(
     """After a failed batch: each table alone, so that one broken table does not hide the others."""
     for key, columns in batch:
         try:
-            found = profile_with_status(spark, key, columns, resolve, analysis, at, settings)
+            found = profile_tables(spark, [(key, columns)], resolve, analysis, at, settings)
             save(found, store, run_mode="append")
         except PySparkException as error:
             failed = error_rows(spark, key, columns, str(error), analysis, at)

@@ -242,14 +242,18 @@ def _length_quantiles(df: DataFrame, measures: list[Measure]) -> dict[str, list[
     return {r["tag"]: r["values"] for r in picked.collect()}
 
 
-def numeric_profile(df: DataFrame, columns: Sequence[str], settings: Settings = DEFAULTS) -> DataFrame:
-    return profile_table(df, columns, settings, distinct=False).select(
+def numeric_profile(
+    df: DataFrame, columns: Sequence[str], settings: Settings = DEFAULTS, *, rows: int | None = None
+) -> DataFrame:
+    return profile_table(df, columns, settings, distinct=False, rows=rows).select(
         "column_name", "total_rows", "non_null_count", "null_percentage", *VALUE_FIELDS
     )
 
 
-def text_profile(df: DataFrame, columns: Sequence[str], settings: Settings = DEFAULTS) -> DataFrame:
-    return profile_table(df, columns, settings, distinct=False).select(
+def text_profile(
+    df: DataFrame, columns: Sequence[str], settings: Settings = DEFAULTS, *, rows: int | None = None
+) -> DataFrame:
+    return profile_table(df, columns, settings, distinct=False, rows=rows).select(
         "column_name", "total_rows", "non_null_count", "null_percentage", *LENGTH_FIELDS
     )
 
@@ -272,10 +276,15 @@ def exact_distinct(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def sparsity_cardinality(
-    df: DataFrame, columns: Sequence[str], settings: Settings = DEFAULTS, *, exact: bool = False
+    df: DataFrame,
+    columns: Sequence[str],
+    settings: Settings = DEFAULTS,
+    *,
+    exact: bool = False,
+    rows: int | None = None,
 ) -> DataFrame:
     """Null share and distinct share with their classes; lengths for text only."""
-    base = profile_table(df, columns, settings, distinct=not exact)
+    base = profile_table(df, columns, settings, distinct=not exact, rows=rows)
     counted = F.col("approx_distinct")
     if exact:
         found = [F.when(F.col("column_name") == n, _distinct_count(df, n).scalar()) for n in columns]
@@ -301,9 +310,11 @@ def sparsity_cardinality(
     )
 
 
-def content_profile(df: DataFrame, columns: Sequence[str], settings: Settings = DEFAULTS) -> DataFrame:
+def content_profile(
+    df: DataFrame, columns: Sequence[str], settings: Settings = DEFAULTS, *, rows: int | None = None
+) -> DataFrame:
     """Length class of text columns."""
-    lengths = profile_table(df, columns, settings, distinct=False).filter("kind = 'text'")
+    lengths = profile_table(df, columns, settings, distinct=False, rows=rows).filter("kind = 'text'")
     average = F.col("avg_length")
     return lengths.select(
         "column_name",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,21 @@ def scan_table(spark: SparkSession, path: str, columns: Sequence[str] | None = N
     return df if columns is None else df.select(*columns)
 
 
+Key = TypeVar("Key")
+
+
+def row_counts(tables: Mapping[Key, DataFrame]) -> dict[Key, int]:
+    """Rows of each table, from file footers, for all tables in one job."""
+    if not tables:
+        return {}
+    parts = [
+        df.agg(F.count("*").alias("rows")).select(F.lit(i).alias("i"), "rows")
+        for i, df in enumerate(tables.values())
+    ]
+    counted = {r.i: r.rows for r in reduce(DataFrame.unionByName, parts).collect()}
+    return {key: counted[i] for i, key in enumerate(tables)}
+
+
 def sample_hash(key: Sequence[str]) -> Column:
     return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key]))
 
