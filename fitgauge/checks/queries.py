@@ -584,7 +584,7 @@ def profile_status(d: Data) -> DataFrame:
 
 @query
 def approx_distinct(d: Data) -> DataFrame:
-    return tagged(d, _all_columns(d), p.profile_table).select("table_name", "column_name", "approx_distinct")
+    return tagged(d, _all_columns(d), partial(p.profile_table, quantiles=False)).select("table_name", "column_name", "approx_distinct")
 
 
 # Classifiers

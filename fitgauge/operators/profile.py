@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,7 @@ from fitgauge.settings import DEFAULTS, Settings
 from fitgauge.sources.tables import choose_sample_size, sample_order, sample_rows
 
 QUANTILES = (0.5, 0.95)
+PROBABILITIES = ", ".join(map(literal, QUANTILES))
 LENGTH_FIELDS = [f"{x}_length" for x in ("min", "max", "avg", "median", "p95", "stddev")]
 VALUE_FIELDS = [f"{x}_value" for x in ("min", "max", "avg", "median", "p95", "stddev")]
 
@@ -91,26 +92,30 @@ class Measure:
             f"count_if({self.is_longer} and contains({as_text(self.name, 'text')}, ' ')) as {t}_spaced",
         ]
 
-    def single(self, bits: int | None) -> list[str]:
+    def single(self, bits: int | None, quantiles: bool) -> list[str]:
         """Everything in one aggregation, for tables that one task can finish."""
         t, v = self.tag, self.value
-        probabilities = ", ".join(f"{q}D" for q in QUANTILES)
+        ranked = f"percentile({v}, array({PROBABILITIES}))" if quantiles else "cast(null as array<double>)"
         sketch = "cast(null as bigint)" if bits is None else f"hll_sketch_estimate({self.sketch.format(bits=bits)})"
         return [
             *self.base(),
             f"stddev_samp({v}) as {t}_dev",
-            f"percentile({v}, array({probabilities})) as {t}_q",
+            f"{ranked} as {t}_q",
             f"{sketch} as {t}_distinct",
         ]
 
-    def partial(self, bits: int | None, settings: Settings) -> list[str]:
+    def partial(self, bits: int | None, quantiles: bool, settings: Settings) -> list[str]:
         """State of one part of a large table."""
         t = self.tag
         seen = [] if bits is None else [f"{self.sketch.format(bits=bits)} as {t}_seen"]
-        rank = [f"{sketch(self.value, settings)} as {t}_rank"] if self.kind == "numeric" else []
+        rank = [f"{sketch(self.value, settings)} as {t}_rank"] if self.ranks(quantiles) else []
         return [*self.base(), f"var_pop({self.value}) as {t}_var", *seen, *rank]
 
-    def merge(self, bits: int | None) -> list[str]:
+    def ranks(self, quantiles: bool) -> bool:
+        """Whether ranks are found with a sketch; text lengths are counted instead."""
+        return quantiles and self.kind == "numeric"
+
+    def merge(self, bits: int | None, quantiles: bool) -> list[str]:
         """The whole table's statistics from its parts; for numbers also values at evenly spaced ranks."""
         t = self.tag
         ranks = f"if(sum({t}_n) > 0, {grid(f'kll_merge_agg_double({t}_rank)')}, null) as {t}_grid"
@@ -124,7 +129,7 @@ class Measure:
             f"sum({t}_spaced) as {t}_spaced",
             f"{_merged_deviation(t)} as {t}_dev",
             f"{distinct} as {t}_distinct",
-            *([ranks] if self.kind == "numeric" else []),
+            *([ranks] if self.ranks(quantiles) else []),
         ]
 
     def result(self) -> str:
@@ -173,9 +178,10 @@ def profile_table(
     settings: Settings = DEFAULTS,
     *,
     distinct: bool = True,
+    quantiles: bool = True,
     rows: int | None = None,
 ) -> DataFrame:
-    """One row of statistics per column.
+    """One row of statistics per column; distinct counts and quantiles can be left out.
 
     Up to ``exact_quantile_cells`` (rows times columns) everything comes from one scan. Larger tables take
     the two-level reduction and the bracketed quantiles, a few scans in all. Pass ``rows`` when the count
@@ -188,20 +194,33 @@ def profile_table(
     bits = settings.sketch_bits if distinct else None
     cells = (df.count() if rows is None else rows) * len(measures)
     if cells > settings.exact_quantile_cells:
-        wide = _large(df, measures, bits, settings)
+        wide = _large(df, measures, bits, quantiles, settings)
     else:
-        exprs = [x for m in measures for x in m.single(bits)]
+        exprs = [x for m in measures for x in m.single(bits, quantiles)]
         wide = df.agg(F.count("*").alias("total_rows"), *map(F.expr, exprs))
     return wide.selectExpr(f"inline(array({', '.join(m.result() for m in measures)}))")
 
 
-def _large(df: DataFrame, measures: list[Measure], bits: int | None, settings: Settings) -> DataFrame:
-    """The wide row of a large table. Its statistics, a few numbers per column, come to the driver,
-    because the scans that find the quantiles depend on them."""
-    partial = ["count(*) as part_rows", *[x for m in measures for x in m.partial(bits, settings)]]
-    merge = ["coalesce(sum(part_rows), 0) as total_rows", *[x for m in measures for x in m.merge(bits)]]
+def _large(
+    df: DataFrame, measures: list[Measure], bits: int | None, quantiles: bool, settings: Settings
+) -> DataFrame:
+    """The wide row of a large table. Its statistics, a few numbers per column, come to the driver
+    when quantiles are wanted, because the scans that find those depend on them."""
+    partial = ["count(*) as part_rows", *[x for m in measures for x in m.partial(bits, quantiles, settings)]]
+    merge = ["coalesce(sum(part_rows), 0) as total_rows", *[x for m in measures for x in m.merge(bits, quantiles)]]
     merged = two_level(df, partial, merge, settings)
+    if not quantiles:
+        return merged.select("*", *[F.expr(f"cast(null as array<double>) as {m.tag}_q") for m in measures])
     row = merged.first()
+    found = _quantiles(df, measures, row, settings)
+    schema = T.StructType(
+        merged.schema.fields + [T.StructField(f"{m.tag}_q", T.ArrayType(T.DoubleType())) for m in measures]
+    )
+    return df.sparkSession.createDataFrame([(*row, *[found[m.tag] for m in measures])], schema)
+
+
+def _quantiles(df: DataFrame, measures: list[Measure], row: Row, settings: Settings) -> dict[str, list]:
+    """Exact quantiles of a large table's columns, given its merged statistics."""
     found, brackets, lengths = {}, {}, []
     for m in measures:
         n, low, high = row[f"{m.tag}_n"], row[f"{m.tag}_min"], row[f"{m.tag}_max"]
@@ -215,13 +234,7 @@ def _large(df: DataFrame, measures: list[Measure], bits: int | None, settings: S
                 brackets[m.tag, q].aim(row[f"{m.tag}_grid"], settings.quantile_margin)
     for (tag, _), value in zip(brackets, settle(df, list(brackets.values()), settings)):
         found.setdefault(tag, []).append(value)
-    found |= _length_quantiles(df, lengths)
-    names = [f"{m.tag}_q" for m in measures]
-    values = [found[m.tag] for m in measures]
-    schema = T.StructType(
-        merged.schema.fields + [T.StructField(n, T.ArrayType(T.DoubleType())) for n in names]
-    )
-    return df.sparkSession.createDataFrame([(*row, *values)], schema)
+    return found | _length_quantiles(df, lengths)
 
 
 def _length_quantiles(df: DataFrame, measures: list[Measure]) -> dict[str, list[float]]:
@@ -234,10 +247,9 @@ def _length_quantiles(df: DataFrame, measures: list[Measure]) -> dict[str, list[
         counts = df.select(F.expr(m.value).alias("length")).groupBy("length").count()
         return counts.select(F.lit(m.tag).alias("tag"), "length", "count")
 
-    probabilities = ", ".join(literal(q) for q in QUANTILES)
     counted = reduce(DataFrame.unionByName, [histogram(m) for m in measures])
     picked = counted.groupBy("tag").agg(
-        F.expr(f"percentile(length, array({probabilities}), count)").alias("values")
+        F.expr(f"percentile(length, array({PROBABILITIES}), count)").alias("values")
     )
     return {r["tag"]: r["values"] for r in picked.collect()}
 
@@ -284,7 +296,7 @@ def sparsity_cardinality(
     rows: int | None = None,
 ) -> DataFrame:
     """Null share and distinct share with their classes; lengths for text only."""
-    base = profile_table(df, columns, settings, distinct=not exact, rows=rows)
+    base = profile_table(df, columns, settings, distinct=not exact, quantiles=False, rows=rows)
     counted = F.col("approx_distinct")
     if exact:
         found = [F.when(F.col("column_name") == n, _distinct_count(df, n).scalar()) for n in columns]
@@ -314,7 +326,7 @@ def content_profile(
     df: DataFrame, columns: Sequence[str], settings: Settings = DEFAULTS, *, rows: int | None = None
 ) -> DataFrame:
     """Length class of text columns."""
-    lengths = profile_table(df, columns, settings, distinct=False, rows=rows).filter("kind = 'text'")
+    lengths = profile_table(df, columns, settings, distinct=False, quantiles=False, rows=rows).filter("kind = 'text'")
     average = F.col("avg_length")
     return lengths.select(
         "column_name",

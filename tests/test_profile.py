@@ -112,3 +112,13 @@ def test_small_tables_are_read_once(data):
 def test_only_named_columns_are_read(data):
     plan = p.text_profile(data.table("documents"), ["lang"])._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<lang:string>" in plan
+
+
+def test_parts_can_be_left_out(skewed):
+    full = {r.column_name: r.asDict() for r in p.profile_table(skewed).collect()}
+    for settings in (DEFAULTS, TINY):
+        for row in p.profile_table(skewed, settings=settings, distinct=False, quantiles=False).collect():
+            left_out = {"approx_distinct", "median_length", "p95_length", "median_value", "p95_value"}
+            for name, value in row.asDict().items():
+                expected = None if name in left_out else full[row.column_name][name]
+                assert close(value, expected), (row.column_name, name)
