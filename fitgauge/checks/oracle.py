@@ -418,9 +418,17 @@ def crawl_type(field: str) -> str:
 
 
 LAKE = f"'{DATABASE}' as database_name, '{SCHEMA}' as schema_name"
-LAKE_COLUMNS = f"""(select '{DATABASE}' as database_name, '{SCHEMA}' as schema_name, table_name, column_name,
-  ordinal_position, {crawl_type("data_type")} as data_type from information_schema.columns
-  where table_name in ({listed(ALL_TABLES)}))"""
+LAKE_SCHEMA = COLUMNS | {"embeddings": ["vec_id", "embedding", "label"]}
+LAKE_COLUMNS = (
+    "("
+    + "\nunion all ".join(
+        f"""select {LAKE}, '{t}' as table_name, '{c.split(":")[0]}' as column_name, {i}::bigint as ordinal_position,
+  {crawl_type(f"any_value(typeof({c.split(':')[0]}))")} as data_type from {t}"""
+        for t, cols in LAKE_SCHEMA.items()
+        for i, c in enumerate(cols, 1)
+    )
+    + ")"
+)
 REASONS = """concat_ws('; ',
   case when nulls <= 50 then printf('Good completeness (%.1f%% populated)', 100 - nulls)
     else printf('High sparsity (%.1f%% NULL)', nulls) end,
@@ -471,7 +479,7 @@ from live_tables""",
     "catalog_stages": "select * replace (cast(created as varchar) as created) from live_stages",
     "catalog_databases": "select distinct database_name from fx_tables where deleted is null",
     "catalog_schemas": "select distinct database_name, schema_name from fx_tables where deleted is null",
-    "crawl_columns": f"""select {K4}, ordinal_position::bigint as ordinal_position, data_type, 'YES' as is_nullable
+    "crawl_columns": f"""select {K4}, ordinal_position, data_type, 'YES' as is_nullable
 from {LAKE_COLUMNS}""",
     "crawl_tables": "\nunion all ".join(
         f"select {LAKE}, '{t}' as table_name, 'BASE TABLE' as table_type, count(*) as row_count from {t}"
@@ -596,7 +604,7 @@ where json_extract_string(props, '$.k') is not null""",
     "profile_status": "\nunion all ".join(
         f"""select {LAKE}, '{t}' as table_name, '{c.split(":")[0]}' as column_name, 'success' as status,
   null as error, count({c.split(":")[0]}) as non_null_count from {t}"""
-        for t, cols in (COLUMNS | {"embeddings": ["vec_id", "embedding", "label"]}).items()
+        for t, cols in LAKE_SCHEMA.items()
         for c in cols
     )
     + f"""\nunion all select {LAKE}, 'documents', 'summary', 'error', 'column not found', null

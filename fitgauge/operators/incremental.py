@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fitgauge.functions.names import COLUMN_KEYS, TABLE_KEYS
+from fitgauge.functions.times import instant
 from fitgauge.operators.profile import profile_table
 from fitgauge.settings import DEFAULTS, Settings
 from fitgauge.sources.catalog import latest_version
@@ -69,7 +70,7 @@ def _stored_form(df: DataFrame, key: TableKey, analysis: str, at: datetime) -> D
             "status": F.lit("success"),
             "error": F.lit(None).cast("string"),
             "analysis_type": F.lit(analysis),
-            "analyzed_at": F.lit(at).cast("timestamp"),
+            "analyzed_at": instant(at),
         }
     )
     return full.select([F.col(f.name).cast(f.dataType) for f in PROFILE_SCHEMA.fields])
@@ -81,10 +82,10 @@ def error_rows(
     """One row per column that could not be profiled, with at most 200 characters of the cause."""
     fields = [f.name for f in PROFILE_SCHEMA.fields]
     known = dict(zip(TABLE_KEYS, key)) | {
-        "status": "error", "error": message[:200], "analysis_type": analysis, "analyzed_at": at,
+        "status": "error", "error": message[:200], "analysis_type": analysis,
     }
     rows = [tuple((known | {"column_name": c}).get(name) for name in fields) for c in columns]
-    return spark.createDataFrame(rows, PROFILE_SCHEMA)
+    return spark.createDataFrame(rows, PROFILE_SCHEMA).withColumn("analyzed_at", instant(at))
 
 
 def profile_tables(

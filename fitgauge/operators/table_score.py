@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fitgauge.functions.names import TABLE_KEYS, fqn, present, type_family
+from fitgauge.functions.times import instant
 from fitgauge.settings import DEFAULTS, Settings
 from fitgauge.sources.catalog import top_rows
 
@@ -88,7 +89,7 @@ def as_timestamp(df: DataFrame, name: str) -> Column:
 
 def score_freshness(df: DataFrame, as_of: datetime, settings: Settings = DEFAULTS) -> Column:
     """By whole days since the last change; a change in the future counts as fresh."""
-    age = F.timestamp_diff("DAY", as_timestamp(df, "last_altered"), F.lit(as_of).cast("timestamp"))
+    age = F.timestamp_diff("DAY", as_timestamp(df, "last_altered"), instant(as_of))
     steps = F.when(age.isNull(), 0.0)
     for days, points in settings.freshness_steps:
         steps = steps.when(age <= days, points)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fitgauge.functions.names import COLUMN_KEYS, TABLE_KEYS
+from fitgauge.functions.times import instant
 from fitgauge.operators.profile import LENGTH_FIELDS, VALUE_FIELDS
 from fitgauge.settings import DEFAULTS, Settings
 from fitgauge.sources.catalog import latest_version
@@ -146,7 +147,7 @@ def append_run(
     rows = candidates.select("database_name").filter("database_name is not null").distinct()
     save(
         rows.select(
-            F.lit(run_at).cast("timestamp").alias("run_at"),
+            instant(run_at).alias("run_at"),
             F.lit(run_mode).alias("mode"),
             "database_name",
             F.lit(scope).alias("filter"),

@@ -122,3 +122,25 @@ def test_parts_can_be_left_out(skewed):
             for name, value in row.asDict().items():
                 expected = None if name in left_out else full[row.column_name][name]
                 assert close(value, expected), (row.column_name, name)
+
+
+def test_every_type_is_profiled_both_ways(spark):
+    df = spark.sql(
+        """select cast(id as decimal(12, 2)) as dec, cast(id as tinyint) as tiny, cast(id as float) as flt,
+             date_add(date '2000-01-01', cast(id as int)) as day, timestamp '2000-01-01 00:00:00' as ts,
+             id % 2 = 0 as flag, cast(cast(id as string) as binary) as bin, array(id, id) as arr,
+             map('k', id) as dict, struct(id as a, 'x' as b) as rec, parse_json('{"a": ' || id || '}') as var,
+             if(id % 4 = 0, null, repeat('x', cast(id % 7 as int))) as txt
+           from range(0, 60, 1, 4)"""
+    )
+    plain = {r.column_name: r.asDict() for r in p.profile_table(df).collect()}
+    large = {r.column_name: r.asDict() for r in p.profile_table(df, settings=TINY).collect()}
+    for name, row in plain.items():
+        assert [k for k, v in row.items() if not close(v, large[name][k])] == [], name
+    kinds = {n: r["kind"] for n, r in plain.items()}
+    assert {n for n, k in kinds.items() if k == "numeric"} == {"dec", "tiny", "flt"}
+    assert {n for n, k in kinds.items() if k == "semi_structured"} == {"arr", "dict", "rec", "var"}
+    assert plain["rec"]["approx_distinct"] == 60 and plain["day"]["max_length"] == 10
+    assert plain["txt"]["null_percentage"] == 25.0
+    exact = {r.column_name: r.distinct_count for r in p.exact_distinct(df, df.columns).collect()}
+    assert exact["var"] == 60 and exact["flag"] == 2 and exact["txt"] == 7
