@@ -7,9 +7,10 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SMALL
-from fitgauge.checks.queries import ALL_TABLES
+from fitgauge.checks import oracle
+from fitgauge.checks.queries import ALL_TABLES, QUERIES
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+SQL = oracle.oracle_sql()
 TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
 
@@ -61,6 +62,11 @@ def test_only_approximate_queries_lack_sql():
     assert set(SQL) <= set(QUERIES)
 
 
+def test_every_query_is_registered():
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
 def test_entry(spark):
     assert {r.column_name for r in entry.entry(spark).collect()} == {"text", "lang", "source"}
 
