@@ -289,10 +289,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string"))
     found = None
     for index in _indexes(benchmark, shingle_words, index_words):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
+        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 texts = b.column("text")
                 for low in range(0, len(texts), 1000):

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fitgauge.llm import decontamination, mixing, quality, sharding, simhash_dedup
+from fitgauge.llm import (
+    decontamination, extraction, line_dedup, mixing, quality, sharding, simhash_dedup, substring_dedup, suffix_dedup, warc,
+)
 from fitgauge.llm.shared import table, text_bytes
 
 SHARDS = 40
@@ -17,6 +19,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "score", "question_overlap", "answer_overlap")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_groups(table(spark, sf_dir, "documents")).drop("row")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumns({
         "size": text_bytes() + 16, "text_crc32": F.coalesce(F.crc32("text"), F.lit(0)).cast("long")})
@@ -24,6 +30,13 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers as text, so that a record is one comparable row."""
+    found = warc.derived(warc.responses(table(spark, sf_dir, "pages")))
+    head = F.array_join(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"])), "\n")
+    return found.select("record_id", "warc_type", "target_uri", "refers_to", head.alias("header"), F.decode("block", "UTF-8").alias("block"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assessed(table(spark, sf_dir, "documents")).select("doc_id", *quality.COUNTS, "base_failed", "kept", "distance")
 
@@ -33,17 +46,43 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicated(docs, mixing.tempered_rates(docs))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = extraction.training_texts(table(spark, sf_dir, "benchmark"))
+    model = extraction.train(extraction.labelled_pages(texts))
+    return extraction.extracted(table(spark, sf_dir, "pages"), model).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4, max_bits=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _removed() -> Column:
+    return F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+
+
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"), window=50)
+    return found.select(
+        "doc_id", "n_bytes", _removed().alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), window=35)
+    return found.select("doc_id", "n_words", _removed().alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_line_dedup": op2_line_dedup,
     "op3_sharding": op3_sharding,
+    "op4_warc": op4_warc,
     "op5_quality_rules": op5_quality_rules,
     "op6_mixing": op6_mixing,
+    "op7_html_extraction": op7_html_extraction,
     "op8_simhash_dedup": op8_simhash_dedup,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE: dict[str, str] = {
