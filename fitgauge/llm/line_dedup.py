@@ -21,6 +21,8 @@ from fitgauge.llm.shared import shared_root, stored
 BITS = 64
 #: Relative cost of a row that is shuffled and of a comparison in the join.
 ROW_COST, COMPARE_COST = 1500.0, 30.0
+#: Words that a count of 16 bits in a signed number holds.
+LANE = 1 << 15
 #: A bucket with more lines is crowded; rounds of pivots before its remaining lines are paired.
 CROWDED, ROUNDS = 200, 4
 BUCKET_BYTES = 16 << 20
@@ -41,7 +43,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 def simhash(words: Column) -> tuple[Column, Column, Column]:
     """Bits that over half of the words' XXH64 values have set: counts (of four bits in a 64-bit number each), the value made
-    from such counts in column ``_counts``, and the value for texts whose counts don't fit 16 bits."""
+    from such counts in column ``_counts``, and the value for lines of ``LANE`` words or more, whose counts don't fit."""
     lanes = 16
     spread = F.lit(0x0001000100010001)
     zero = F.struct(*(F.lit(0).cast("long").alias(f"c{i}") for i in range(lanes)))
@@ -50,8 +52,8 @@ def simhash(words: Column) -> tuple[Column, Column, Column]:
         h = F.xxhash64(word)
         return F.struct(*((a[f"c{i}"] + F.shiftright(h, i).bitwiseAND(spread)).alias(f"c{i}") for i in range(lanes)))
 
-    counts = F.aggregate(words, zero, add)
     n = F.size(words)
+    counts = F.when(n < LANE, F.aggregate(words, zero, add))
 
     def packed(count_of) -> Column:
         value = F.lit(0).cast("long")
@@ -73,7 +75,7 @@ def _with_simhash(lines: DataFrame) -> DataFrame:
     words = F.split("norm", " ")
     counts, short, long = simhash(words)
     lines = lines.withColumn("_counts", counts)
-    return lines.withColumn("fp", F.when(F.size(words) < 1 << 16, short).otherwise(long)).drop("_counts")
+    return lines.withColumn("fp", F.when(F.size(words) < LANE, short).otherwise(long)).drop("_counts")
 
 
 def choices(lines: int, max_bits: int) -> list[int]:
