@@ -1,7 +1,7 @@
 """Catalog views derived from the business tables by integer arithmetic.
 
-The same text runs in Spark and in the oracle: table names are placeholders. Rows left out of a view by a
-remainder exist so that some keys are found on one side only; every input row takes part in the views.
+The same text runs in Spark and in the oracle: table names are placeholders. Every input row takes part in every view.
+Keys that are to stand in one view only get another table name there.
 """
 
 from __future__ import annotations
@@ -20,9 +20,15 @@ def word(words: str, index: str) -> str:
     return f"split_part('{words}', ',', cast({index} as int) + 1)"
 
 
-_KEYS = f"""'DB_' || n_regionkey as database_name, 'S_' || c_nationkey as schema_name,
+
+
+def keys(alone: str, mark: str) -> str:
+    """Database, schema and table; where ``alone`` holds, a table name that no other view has."""
+    return f"""'DB_' || n_regionkey as database_name, 'S_' || c_nationkey as schema_name,
   {word("ARTICLES,STUDENT,SALES,LOG,COURSE_CONTENT,EMAIL_QUEUE,METRICS,CUSTOMER_NAME", "c_custkey % 8")}
-    || '_' || c_custkey as table_name"""
+    || '_' || c_custkey || case when {alone} then '_{mark}' else '' end as table_name"""
+
+
 _CUSTOMERS = "{customer} c join {nation} n on c.c_nationkey = n.n_nationkey"
 _ORDERS = _CUSTOMERS + " join {orders} o on o.o_custkey = c.c_custkey"
 
@@ -37,7 +43,7 @@ _COLUMN_NAME = f"{word(_COLUMN_NAMES, 'o_orderkey % 24')} || '_' || o_orderkey a
 
 def _tables(ver: int) -> str:
     return f"""
-select {_KEYS},
+select {keys("c_custkey % 29 = 0", "T")},
   case when c_custkey % 5 = 0 then 'VIEW' else 'BASE TABLE' end as table_type,
   c_custkey * 37 as row_count, c_custkey * 2500000 as bytes,
   case c_custkey % 3 when 0 then 'about ' || c_mktsegment when 1 then '  ' end as table_comment,
@@ -45,13 +51,13 @@ select {_KEYS},
   case when c_custkey % 17 <> 0 then date '2001-08-01' - cast(c_custkey % 400 as int) end as last_altered,
   case when c_custkey % 4 = 0 then 'LINEAR(C1)' end as clustering_key,
   case when {ver} = 0 and c_custkey % 11 = 0 then date '2000-06-01' end as deleted
-from {_CUSTOMERS} where c_custkey % 29 <> 0 and ({ver} = 0 or c_custkey % 7 = 0)"""
+from {_CUSTOMERS} where {ver} = 0 or c_custkey % 7 = 0"""
 
 
 def _columns(ver: int) -> str:
     lengths = word("16777216,4000,1000,500,499,200,199,100,50,0", "floor(o_orderkey / 16) % 10")
     return f"""
-select {_KEYS}, {_COLUMN_NAME},
+select {keys("c_custkey % 31 = 0", "C")}, {_COLUMN_NAME},
   o_orderkey + {ver * 1000000} as ordinal_position,
   {word(_COLUMN_TYPES, "o_orderkey % 17")} as data_type,
   case when o_orderkey % 13 <> 0 then cast({lengths} as bigint) end as character_maximum_length,
@@ -59,24 +65,24 @@ select {_KEYS}, {_COLUMN_NAME},
   case when o_orderkey % 2 = 0 then 'YES' else 'NO' end as is_nullable,
   case o_orderkey % 3 when 0 then 'meaning of ' || o_orderpriority when 1 then '' end as column_comment,
   case when o_orderkey % 19 = 0 then date '2000-06-01' end as deleted
-from {_ORDERS} where c_custkey % 31 <> 0 and ({ver} = 0 or o_orderkey % 23 = 0)"""
+from {_ORDERS} where {ver} = 0 or o_orderkey % 23 = 0"""
 
 
 def _constraints(v: int) -> str:
     kind = ("PRIMARY KEY", "FOREIGN KEY", "UNIQUE", "foreign key")[v]
     return f"""
-select {_KEYS}, '{kind}' as constraint_type, 'K{v}' as constraint_name,
+select {keys(f"c_custkey % {v + 2} <> 0", "K")}, '{kind}' as constraint_type, 'K{v}' as constraint_name,
   case when c_custkey % 37 = 0 then date '2000-06-01' end as deleted
-from {_CUSTOMERS} where c_custkey % {v + 2} = 0"""
+from {_CUSTOMERS}"""
 
 
 def _storage(ver: int) -> str:
     return f"""
-select {_KEYS},
+select {keys("c_custkey % 10 = 0", "S")},
   case when c_custkey % 9 <> 0 then c_custkey * 2500000 + {ver} end as active_bytes,
   c_custkey * 1000 as time_travel_bytes,
   cast(0 as bigint) as failsafe_bytes, cast(0 as bigint) as retained_for_clone_bytes
-from {_CUSTOMERS} where c_custkey % 10 <> 0 and ({ver} = 0 or c_custkey % 6 = 0)"""
+from {_CUSTOMERS} where {ver} = 0 or c_custkey % 6 = 0"""
 
 
 def _stages(ver: int) -> str:
@@ -91,7 +97,7 @@ where {ver} = 0 or s_suppkey % 7 = 0"""
 
 
 _PROFILES = f"""
-select {_KEYS}, {_COLUMN_NAME}, o_orderkey as col_id,
+select {keys("o_orderkey % 2 <> 0", "P")}, {_COLUMN_NAME}, o_orderkey as col_id,
   cast(1000 as bigint) as total_rows_sampled,
   1000 - (o_orderkey * 7) % 1001 as non_null_count,
   cast((o_orderkey * 7) % 1001 as double) / 10 as null_percentage,
@@ -99,7 +105,7 @@ select {_KEYS}, {_COLUMN_NAME}, o_orderkey as col_id,
   (o_orderkey * 17) % 2000 as max_length,
   case o_orderkey % 3 when 0 then false when 1 then true end as is_natural_language,
   case o_orderkey % 4 when 0 then false when 1 then true end as is_valid_structure
-from {_ORDERS} where o_orderkey % 2 = 0"""
+from {_ORDERS}"""
 
 SQL = {
     "fx_tables": _tables(0) + "\nunion all" + _tables(1),

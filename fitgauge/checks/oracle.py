@@ -238,8 +238,8 @@ select *, {rnd('''comments * 0.25::double + data_types * 0.2::double + freshness
   + clustering * 0.15::double + constraints * 0.15::double''', 2)} as total_score from dimensions""",
     "stored": f"""
 select {K5}, reason from candidates where feature in ('llm', 'extract') and upper(database_name) in ('DB_0', 'DB_3')""",
-    "fresh": f"select {K5}, reason from candidates c where not exists (select 1 from stored s where "
-    + " and ".join(f"s.{k} is not distinct from c.{k}" for k in K5.split(", ")) + ")",
+    "fresh": f"select {', '.join('c.' + k for k in K5.split(', '))}, c.reason from candidates c anti join stored s on "
+    + " and ".join(f"coalesce(s.{k}, '') = coalesce(c.{k}, '')" for k in K5.split(", ")),
 }
 
 DIMS = "comments, data_types, freshness, clustering, constraints"
@@ -348,6 +348,11 @@ CARDINALITY = """case when {0} is null then 'unknown' when {0} <= 0.01 then 'low
   else 'medium' end"""
 
 
+def exact_count(table: str, col: str) -> str:
+    return f"""select '{table}' as table_name, '{col}' as column_name, count(distinct {col}) as distinct_count,
+  true as is_close from {table}"""
+
+
 def sparsity_cardinality(col: str, text: bool) -> str:
     ratio = f"(count(distinct {col}) / count({col}))"
     nulls = f"((count(*) - count({col})) / count(*) * 100)"
@@ -444,15 +449,18 @@ FILL = """case when total_rows_sampled > 0
   then 100 - coalesce(non_null_count, 0) / total_rows_sampled * 100 else 100.0::double end"""
 GRADE = f"""case when {FILL} < 30 and coalesce(avg_length, 0) > 50 then 'Good' when {FILL} < 60 then 'Fair'
   else 'Poor' end"""
-SCANNED = [("documents", "text"), ("benchmark", "text"), ("conversations", "text")]
+TIMES = ("o_orderdate", "l_shipdate", "ts")
+#: Every text column of the lake: a plain string may be as long as a text may be, so all are candidates.
+SCANNED = [(t, c) for t, cols in COLUMNS.items() for c in cols if ":" not in c and c not in TIMES]
 
 
 def lake_candidate(table: str, col: str) -> str:
-    """Score parts of a text column without a comment and without a declared length."""
+    """Score parts of a text column without a comment."""
+    risk = 5.0 if any(w in x.upper() for w in st.RISK_WORDS for x in (table, col)) else 2.0
     return f"""select {LAKE}, '{table}' as table_name, '{col}' as column_name, 'llm' as feature,
   0.0::double as null_percentage, {rnd(f"avg(length({col}))", 2)} as avg_length, max(length({col}))::bigint as longest,
   {spaced(col)} >= 0.5 as has_words,
-  4.0::double as business_potential, 2.0::double as metadata_quality, 2.0::double as governance_risk from {table}"""
+  4.0::double as business_potential, 2.0::double as metadata_quality, {risk}::double as governance_risk from {table}"""
 
 
 VECTOR = f"""select {LAKE}, 'embeddings' as table_name, 'embedding' as column_name, 'extract' as feature,
@@ -468,6 +476,10 @@ LAKE_FORECAST = f"""(select {LAKE}, table_name, null::varchar as column_name, 'f
   5.0::double as business_potential, 3.0::double as data_readiness, 2.0::double as metadata_quality,
   2.0::double as governance_risk from {LAKE_COLUMNS} group by table_name
   having bool_or(data_type like 'TIMESTAMP%') and bool_or(data_type in ('INTEGER', 'DOUBLE')))"""
+LAKE_SEARCH = f"""(select {LAKE}, table_name, null::varchar as column_name, 'search' as feature,
+  4.0::double as business_potential, 3.0::double as data_readiness, 2.0::double as metadata_quality,
+  2.0::double as governance_risk from {LAKE_COLUMNS} group by table_name
+  having count(*) filter (data_type = 'VARCHAR') >= 2)"""
 
 SELECTS: dict[str, str] = {
     # Catalog and sources
@@ -558,7 +570,7 @@ from inputs""",
   unnest([databases, tables, databases * 2, columns, found, least(found, 200) * 5]) as value
 from (select count(distinct database_name) as databases, count(*) as tables from fx_tables where deleted is null),
   (select count(*) as columns, count(*) filter ({words("data_type", st.SCOPE_TYPE_PARTS)}
-    and {words("column_name", st.TEXT_WORDS[:5])}) as found from fx_columns where deleted is null)""",
+    and {words("column_name", st.TEXT_WORDS)}) as found from fx_columns where deleted is null)""",
     "stage_opportunities": "select count(*) as stages from live_stages",
     # Profiling
     "numeric_profile": per_column(NUMBERS, lambda c: f"{counts(c)}, {number_stats(c)}"),
@@ -568,6 +580,10 @@ from (select count(distinct database_name) as databases, count(*) as tables from
         for t in (*TEXTS, "labels")
         for c in (*TEXTS.get(t, []), *NUMBERS.get(t, []))
     ),
+    "sparsity_cardinality_approx": "\nunion all ".join(
+        exact_count(t, c) for t in (*TEXTS, "labels") for c in (*TEXTS.get(t, []), *NUMBERS.get(t, []))
+    ),
+    "approx_distinct": "\nunion all ".join(exact_count(t, c.split(":")[0]) for t, cols in COLUMNS.items() for c in cols),
     "content_profile": "\nunion all ".join(
         f"""select '{t}' as table_name, '{c}' as column_name, avg_length, max_length, {classes("avg_length")} from
   (select {rnd(f"avg(length({c}))", 2)} as avg_length, max(length({c}))::bigint as max_length from {t})"""
@@ -588,8 +604,7 @@ from (select count(distinct database_name) as databases, count(*) as tables from
         for t, c in (("documents", "text"), ("benchmark", "text"), ("conversations", "text"), ("pages", "html"))
     ),
     "json_top_keys": f"""select distinct 'props' as column_name, json_key from
-  (select unnest(json_keys(props)) as json_key from (select * from events order by {md5_order(["event_id"])} limit 100))
-order by json_key limit 50""",
+  (select unnest(json_keys(props)) as json_key from (select * from events order by {md5_order(["event_id"])} limit 100))""",
     "json_path_types": """select json_key as path, case json_type(props, '$.' || json_key) when 'UBIGINT' then 'INTEGER'
     when 'BIGINT' then 'INTEGER' else json_type(props, '$.' || json_key) end as type, count(*) as n
 from (select props, unnest(json_keys(props)) as json_key from events) group by 1, 2""",
@@ -630,9 +645,9 @@ from profiled""",
   {GUESS} as avg_length,
   case when character_maximum_length > 0 then character_maximum_length else 16777216 end as max_length,
   0::bigint as min_length
-from ({first_row(f"(select * from rich order by {K3}, ordinal_position, column_name limit 15)", K3,
+from ({first_row(f"(select * from rich)", K3,
                  "ordinal_position, column_name")})""",
-    "estimated_json_profile": f"select {K4}, data_type, '' as top_keys from extract order by {K4} limit 5",
+    "estimated_json_profile": f"select {K4}, data_type, '' as top_keys from extract",
     "document_text_fitness": "\nunion all ".join(
         f"""select {counts(c)}, min(length({c}))::bigint as min_length, max(length({c}))::bigint as max_length,
   {rnd(f"avg(length({c}))", 2)} as avg_length, {rnd(f"quantile_cont(length({c})::double, 0.5)", 2)} as median_length,
@@ -840,7 +855,7 @@ from candidates""",
 from (select {K5}, {SCORES}, business_potential + data_readiness + metadata_quality + governance_risk as total_score,
   feature <> 'forecast' and data_readiness >= 3.5 and null_percentage <= 50
     and coalesce(avg_length >= 50 and has_words, true) as is_confirmed
-from (select * from {LAKE_SCORED} union all by name select * from {LAKE_FORECAST}))""",
+from (select * from {LAKE_SCORED} union all by name select * from {LAKE_FORECAST} union all by name select * from {LAKE_SEARCH}))""",
 }
 
 RUN_RESULTS = {

@@ -467,10 +467,20 @@ def sparsity_cardinality(d: Data) -> DataFrame:
     return tagged(d, columns, partial(p.sparsity_cardinality, exact=True))
 
 
+def _within(d: Data, columns: dict[str, list[str]], profile: Callable, counted: str) -> DataFrame:
+    """Are estimated distinct counts within three standard errors of the exact ones, which are returned?"""
+    exact = tagged(d, columns, lambda df, names, rows: p.exact_distinct(df, names))
+    estimates = tagged(d, columns, profile).select("table_name", "column_name", F.col(counted).alias("estimate"))
+    error = 3 * 1.04 / 2 ** (DEFAULTS.sketch_bits / 2)
+    close = F.abs(F.col("estimate") - F.col("distinct_count")) <= F.ceil(F.col("distinct_count") * error)
+    return exact.join(estimates, ["table_name", "column_name"]).select(
+        "table_name", "column_name", "distinct_count", close.alias("is_close"))
+
+
 @query
 def sparsity_cardinality_approx(d: Data) -> DataFrame:
     columns = {t: [*TEXTS.get(t, []), *NUMBERS.get(t, [])] for t in (*TEXTS, "labels")}
-    return tagged(d, columns, p.sparsity_cardinality)
+    return _within(d, columns, p.sparsity_cardinality, "distinct_count")
 
 
 @query
@@ -584,7 +594,7 @@ def profile_status(d: Data) -> DataFrame:
 
 @query
 def approx_distinct(d: Data) -> DataFrame:
-    return tagged(d, _all_columns(d), partial(p.profile_table, quantiles=False)).select("table_name", "column_name", "approx_distinct")
+    return _within(d, _all_columns(d), partial(p.profile_table, quantiles=False), "approx_distinct")
 
 
 # Classifiers

@@ -60,8 +60,9 @@ def first_per_table(columns: DataFrame) -> DataFrame:
 
 
 def estimated_text_profile(rich: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """First column of each table among the first rich text columns, with a guessed length."""
-    listed = rich.orderBy(*catalog_order()).limit(settings.estimated_profiles)
+    """First rich text column of each table, with a guessed length; ``estimated_profiles`` limits the columns looked at."""
+    limit = settings.estimated_profiles
+    listed = rich if limit is None else rich.orderBy(*catalog_order()).limit(limit)
     declared = F.col("character_maximum_length")
     return first_per_table(listed).select(
         *COLUMN_KEYS,
@@ -75,9 +76,7 @@ def estimated_text_profile(rich: DataFrame, settings: Settings = DEFAULTS) -> Da
 
 
 def estimated_json_profile(extract: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """First semi-structured candidates; keys need data, so the list is empty."""
-    return (
-        extract.orderBy(*COLUMN_KEYS)
-        .limit(settings.json_columns)
-        .select(*COLUMN_KEYS, "data_type", F.array().cast("array<string>").alias("top_keys"))
-    )
+    """Semi-structured candidates; keys need data, so the list is empty. ``json_columns`` limits the rows."""
+    limit = settings.json_columns
+    listed = extract if limit is None else extract.orderBy(*COLUMN_KEYS).limit(limit)
+    return listed.select(*COLUMN_KEYS, "data_type", F.array().cast("array<string>").alias("top_keys"))

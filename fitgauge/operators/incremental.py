@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from datetime import datetime
 from functools import reduce
 from itertools import islice
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ from fitgauge.sources.tables import row_counts
 TableKey = tuple[str, str, str]
 Resolve = Callable[[TableKey], DataFrame]
 
+#: What a failed job raises: errors that PySpark knows, and others, such as those of damaged files, as the JVM gives them.
+JOB_FAILURES = (PySparkException, Py4JJavaError)
 MERGE_KEYS = [*COLUMN_KEYS, "feature"]
 
 
@@ -35,7 +38,7 @@ def new_candidates(existing: DataFrame, found: DataFrame) -> DataFrame:
     keyed = found.withColumns({f"key_{k}": F.coalesce(F.col(k), F.lit("")) for k in MERGE_KEYS})
     names = [f"key_{k}" for k in MERGE_KEYS]
     fresh = keyed.join(_null_safe_key(existing, MERGE_KEYS), names, "left_anti")
-    return latest_version(fresh, names, [F.col("reason")]).drop(*names)
+    return latest_version(fresh, names, [F.col(c) for c in found.columns]).drop(*names)
 
 
 def merge_candidates(existing: DataFrame, found: DataFrame, *, update: bool = False) -> DataFrame:
@@ -88,6 +91,30 @@ def error_rows(
     return spark.createDataFrame(rows, PROFILE_SCHEMA).withColumn("analyzed_at", instant(at))
 
 
+def cause(error: Exception) -> str:
+    """The first line of what went wrong, from the innermost Java exception where there is one."""
+    if isinstance(error, Py4JJavaError):
+        inner = error.java_exception
+        while inner.getCause() is not None:
+            inner = inner.getCause()
+        return inner.toString().split("\n")[0]
+    return str(error)
+
+
+def readable_counts(tables: Mapping[TableKey, DataFrame], unreadable: Callable[[TableKey, Exception], None]) -> dict[TableKey, int]:
+    """Rows of each table; when the common job fails, of each table alone, and those that fail are reported."""
+    try:
+        return row_counts(tables)
+    except JOB_FAILURES:
+        counts = {}
+        for key, df in tables.items():
+            try:
+                counts |= row_counts({key: df})
+            except JOB_FAILURES as error:
+                unreadable(key, error)
+        return counts
+
+
 def profile_tables(
     spark: SparkSession,
     wanted: Iterable[tuple[TableKey, list[str]]],
@@ -113,8 +140,10 @@ def profile_tables(
             found[key] = resolve(key)
         except PySparkException as error:
             failed(key, columns, f"table not found: {error.getCondition()}")
-    counts = row_counts(found)
+    counts = readable_counts(found, lambda key, error: failed(key, names[key], f"table not readable: {cause(error)}"))
     for key, df in found.items():
+        if key not in counts:
+            continue
         present = [c for c in names[key] if c in df.columns]
         gone = [c for c in names[key] if c not in df.columns]
         if present:
@@ -148,14 +177,29 @@ def incremental_profile(
     Tables are profiled ``tables_per_job`` at a time and each batch is stored before the next starts, so
     a run that stops goes on where it stopped.
     """
-    todo = tables_wanted(cache_miss(wanted, load_profile_cache(spark, store, force=force)))
+    missing = cache_miss(wanted, load_profile_cache(spark, store, force=force))
+    store_profiles(spark, missing, resolve, store, at, analysis=analysis, settings=settings)
+    keys = wanted.select(*COLUMN_KEYS).distinct()
+    return load_profile_cache(spark, store).join(keys, COLUMN_KEYS, "left_semi")
+
+
+def store_profiles(
+    spark: SparkSession,
+    wanted: DataFrame,
+    resolve: Resolve,
+    store: str,
+    at: datetime,
+    *,
+    analysis: str = "full_scan",
+    settings: Settings = DEFAULTS,
+) -> None:
+    """Adds a row for every wanted column to the store, batch by batch; broken tables get error rows."""
+    todo = tables_wanted(wanted)
     while batch := list(islice(todo, settings.tables_per_job)):
         try:
             save(profile_tables(spark, batch, resolve, analysis, at, settings), store, run_mode="append")
-        except PySparkException:
+        except JOB_FAILURES:
             _one_by_one(spark, batch, resolve, analysis, at, store, settings)
-    keys = wanted.select(*COLUMN_KEYS).distinct()
-    return load_profile_cache(spark, store).join(keys, COLUMN_KEYS, "left_semi")
 
 
 def _one_by_one(
@@ -172,6 +216,6 @@ def _one_by_one(
         try:
             found = profile_tables(spark, [(key, columns)], resolve, analysis, at, settings)
             save(found, store, run_mode="append")
-        except PySparkException as error:
-            failed = error_rows(spark, key, columns, str(error), analysis, at)
+        except JOB_FAILURES as error:
+            failed = error_rows(spark, key, columns, cause(error), analysis, at)
             save(failed, store, run_mode="append")

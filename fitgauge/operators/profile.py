@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from math import isnan
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -88,6 +89,7 @@ class Measure:
             f"min({v}) as {t}_min",
             f"max({v}) as {t}_max",
             f"sum({v}) as {t}_sum",
+            f"count_if(not isnan({v})) as {t}_real",
             f"count_if({self.is_longer}) as {t}_longer",
             f"count_if({self.is_longer} and contains({as_text(self.name, 'text')}, ' ')) as {t}_spaced",
         ]
@@ -118,7 +120,7 @@ class Measure:
     def merge(self, bits: int | None, quantiles: bool) -> list[str]:
         """The whole table's statistics from its parts; for numbers also values at evenly spaced ranks."""
         t = self.tag
-        ranks = f"if(sum({t}_n) > 0, {grid(f'kll_merge_agg_double({t}_rank)')}, null) as {t}_grid"
+        ranks = f"if(sum({t}_real) > 0, {grid(f'kll_merge_agg_double({t}_rank)')}, null) as {t}_grid"
         distinct = "cast(null as bigint)" if bits is None else f"hll_sketch_estimate(hll_union_agg({t}_seen))"
         return [
             f"coalesce(sum({t}_n), 0) as {t}_n",
@@ -224,7 +226,7 @@ def _quantiles(df: DataFrame, measures: list[Measure], row: Row, settings: Setti
     found, brackets, lengths = {}, {}, []
     for m in measures:
         n, low, high = row[f"{m.tag}_n"], row[f"{m.tag}_min"], row[f"{m.tag}_max"]
-        if low == high:
+        if low == high or isnan(low):  # NaN is the largest number: a least value of NaN means nothing else
             found[m.tag] = [low] * len(QUANTILES)
         elif m.kind != "numeric":
             lengths.append(m)
@@ -419,7 +421,7 @@ def natural_language(
 def sampled_text_profile(
     targets: Mapping[tuple[str, str, str], tuple[DataFrame, str, Sequence[str]]], settings: Settings = DEFAULTS
 ) -> DataFrame:
-    """Length statistics of one column per table, on a sample of each; at most a few tables.
+    """Length statistics of one column per table, on a sample of each; ``text_profile_tables`` limits the tables.
 
     ``targets`` maps (database, schema, table) to its data, the column and a unique key.
     """
@@ -453,9 +455,9 @@ def json_top_keys(
     if key is not None:
         rows = sample_rows(rows, settings.json_key_sample, key)
     keys = rows.select(F.explode(F.json_object_keys(column)).alias("json_key")).distinct()
-    return keys.orderBy("json_key").limit(settings.json_key_limit).select(
-        F.lit(column).alias("column_name"), "json_key"
-    )
+    if settings.json_key_limit is not None:
+        keys = keys.orderBy("json_key").limit(settings.json_key_limit)
+    return keys.select(F.lit(column).alias("column_name"), "json_key")
 
 
 def _children(entry: str) -> str:

@@ -17,8 +17,7 @@ from fitgauge.operators.incremental import (
     analyzable,
     incremental_profile,
     new_candidates,
-    profile_tables,
-    tables_wanted,
+    store_profiles,
 )
 from fitgauge.settings import DEFAULTS, Settings
 from fitgauge.sources import crawl, store
@@ -70,11 +69,13 @@ def full_scan_top_n(
 ) -> DataFrame:
     """Exact statistics of the best column candidates, and their readiness from those.
 
-    The list is at most n rows long; each table in it is scanned once for all its listed columns.
+    The list is at most n rows long; each table in it is scanned once for all its listed columns, in batches of tables that
+    are stored one after the other. A table that can't be read leaves its candidates without statistics.
     """
     top = score.top_candidates(scored.filter(F.col("column_name").isNotNull()), n, settings)
-    wanted = list(tables_wanted(top.select(*COLUMN_KEYS)))
-    stored = profile_tables(spark, wanted, resolve, "full_scan", at, settings)
+    path = f"{store.work_dir(spark)}/profiles"
+    store_profiles(spark, top.select(*COLUMN_KEYS).distinct(), resolve, path, at, settings=settings)
+    stored = store.load_profile_cache(spark, path)
     plain = top.drop("profile", *score.SCORES, "total_score")
     return score.rescored(score.score_candidate(plain, as_profiles(stored, settings), settings), settings)
 

@@ -60,6 +60,8 @@ RISK_WORDS = (
 
 @dataclass(frozen=True)
 class Settings:
+    # A limit of None keeps everything.
+
     # scope
     include_databases: tuple[str, ...] = ()
     exclude_databases: tuple[str, ...] = ()
@@ -83,7 +85,7 @@ class Settings:
     names_per_rich_candidate: int = 10
 
     # scope estimate
-    scope_words: int = 5
+    scope_words: int | None = None
     seconds_per_database: int = 2
     seconds_per_candidate: int = 5
 
@@ -92,14 +94,14 @@ class Settings:
     sample_bytes_budget: int = 64 * 1024 * 1024
     json_sample: int = 1000
     json_key_sample: int = 100
-    json_key_limit: int = 50
-    json_columns: int = 5
+    json_key_limit: int | None = None
+    json_columns: int | None = None
     content_sample: int = 100
     content_values: int = 10
     content_min_length: int = 20
-    text_profile_tables: int = 10
+    text_profile_tables: int | None = None
     text_profile_sample: int = 1000
-    estimated_profiles: int = 15
+    estimated_profiles: int | None = None
     sketch_bits: int = 12
     exact_quantile_cells: int = 8_000_000
     quantile_sketch: int = 1000

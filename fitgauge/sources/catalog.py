@@ -65,12 +65,12 @@ def _live(df: DataFrame, settings: Settings) -> DataFrame:
 
 
 def catalog_tables(tables: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    newest = [F.col("created").desc(), F.col("last_altered").desc_nulls_last()]
+    newest = [F.col("created").desc(), F.col("last_altered").desc_nulls_last(), *map(F.col, TABLE_FIELDS)]
     return latest_version(_live(tables, settings).select(TABLE_FIELDS), TABLE_KEYS, newest)
 
 
 def catalog_columns(columns: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    first = [F.col("ordinal_position"), F.col("data_type")]
+    first = [F.col("ordinal_position"), F.col("data_type"), *map(F.col, COLUMN_FIELDS)]
     return latest_version(_live(columns, settings).select(COLUMN_FIELDS), COLUMN_KEYS, first)
 
 
@@ -81,12 +81,12 @@ def catalog_constraints(constraints: DataFrame, settings: Settings = DEFAULTS) -
 
 def catalog_storage(storage: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     known = filter_databases(storage.filter(F.col("database_name").isNotNull()), settings)
-    largest = [F.col("active_bytes").desc_nulls_last(), F.col("time_travel_bytes").desc_nulls_last()]
+    largest = [F.col("active_bytes").desc_nulls_last(), F.col("time_travel_bytes").desc_nulls_last(), *map(F.col, STORAGE_FIELDS)]
     return latest_version(known.select(STORAGE_FIELDS), TABLE_KEYS, largest)
 
 
 def catalog_stages(stages: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    newest = [F.col("created").desc(), F.col("stage_url")]
+    newest = [F.col("created").desc(), F.col("stage_url"), *map(F.col, STAGE_FIELDS)]
     keys = ["database_name", "schema_name", "stage_name"]
     return latest_version(_live(stages, settings).select(STAGE_FIELDS), keys, newest)
 

