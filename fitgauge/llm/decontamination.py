@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame, functions as F
 WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
 #: Items in a block of the index.
-BLOCK = 8
+BLOCK = 4
 #: Terms in more than this share of the items are not looked up one by one in the first bound.
-COMMON = 0.1
+COMMON = 0.03
 #: Words of test items that one index holds; a larger benchmark is searched index by index.
 INDEX_WORDS = 1_000_000
 
