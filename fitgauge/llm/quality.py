@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from fitgauge.llm.shared import stored
 
@@ -30,7 +30,9 @@ SHARE, GROUP_ROWS = 0.75, 200
 TAIL = 1e-9
 #: Distances are compared in bins of 1/64 of a doubling.
 BINS = 64
-MAX_STEPS = 25
+MAX_STEPS = 12
+#: A descent ends when no group's log determinant falls by more.
+SETTLED = 1e-3
 #: With at most so many groups their estimates (30 numbers each) are sent to every executor.
 BROADCAST_GROUPS = 10_000
 
@@ -169,7 +171,8 @@ def _distance(centre: str = "centre", precision: str = "precision") -> Column:
 
 
 def _estimates(sums: DataFrame) -> DataFrame:
-    """Centre, inverse scatter and log determinant of each (grp, start) from its count, sums and sums of products."""
+    """Centre, inverse scatter and log determinant of each (grp, start) from its count, sums and sums of products; ``was``, the
+    log determinant before, is handed on."""
     factor, floors = consistency(), np.diag(np.square(FLOORS))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,10 +185,10 @@ def _estimates(sums: DataFrame) -> DataFrame:
                 products = products + np.triu(products, 1).T
                 scatter = products / r.n - np.outer(centre, centre)
                 scatter = scatter * factor + floors
-                out.append((r.grp, r.start, centre.tolist(), np.linalg.inv(scatter).ravel().tolist(), float(np.linalg.slogdet(scatter)[1])))
-            yield pd.DataFrame(out, columns=["grp", "start", "centre", "precision", "log_det"])
+                out.append((r.grp, r.start, centre.tolist(), np.linalg.inv(scatter).ravel().tolist(), float(np.linalg.slogdet(scatter)[1]), r.was))
+            yield pd.DataFrame(out, columns=["grp", "start", "centre", "precision", "log_det", "was"])
 
-    return sums.mapInPandas(run, "grp string, start int, centre array<double>, precision array<double>, log_det double")
+    return sums.mapInPandas(run, "grp string, start int, centre array<double>, precision array<double>, log_det double, was double")
 
 
 def _summed() -> list[Column]:
@@ -197,8 +200,8 @@ def _added(frame: DataFrame, by: list[str]) -> DataFrame:
     """Adds up rows of ``_summed`` and gathers them as arrays."""
     sums = [c for c in frame.columns if c.startswith("s_")]
     products = [c for c in frame.columns if c.startswith("p_")]
-    added = frame.groupBy(*by).agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in [*sums, *products]))
-    return added.select(*by, "n", F.array(*sums).alias("sums"), F.array(*products).alias("products"))
+    added = frame.groupBy(*by).agg(F.sum("n").alias("n"), F.max("was").alias("was"), *(F.sum(c).alias(c) for c in [*sums, *products]))
+    return added.select(*by, "n", "was", F.array(*sums).alias("sums"), F.array(*products).alias("products"))
 
 
 def mcd(vectors: DataFrame, share: float = SHARE, max_steps: int = MAX_STEPS) -> DataFrame:
@@ -221,20 +224,21 @@ def mcd(vectors: DataFrame, share: float = SHARE, max_steps: int = MAX_STEPS) ->
     robust = deviations.select(
         "grp", F.lit(0).alias("start"), F.array(*(F.col(f"m_{c}") for c in NAMES)).alias("centre"), diagonal.alias("precision"),
         F.lit(float("inf")).alias("log_det"))
-    plain = _estimates(_added(vectors.groupBy("grp").agg(*_summed()).withColumn("start", F.lit(1)), ["grp", "start"]))
+    whole = vectors.groupBy("grp").agg(*_summed()).withColumns({"start": F.lit(1), "was": F.lit(float("inf"))})
+    plain = _estimates(_added(whole, ["grp", "start"])).drop("was")
     now = stored(robust.unionByName(plain.withColumn("log_det", F.lit(float("inf")))), "estimates")
     nearest = Window.partitionBy("grp", "start").orderBy("bin")
     for _ in range(max_steps):
         ranked = beside(now.withColumnRenamed("grp", "g"), "g")
-        bins = ranked.withColumn("bin", F.floor(F.log2(1 + _distance()) * BINS)).groupBy("grp", "start", "bin").agg(*_summed())
+        bins = ranked.withColumn("bin", F.floor(F.log2(1 + _distance()) * BINS)).groupBy("grp", "start", "bin").agg(
+            *_summed(), F.max("log_det").alias("was"))
         bins = bins.withColumn("before", F.sum("n").over(nearest) - F.col("n"))
         wanted = groups.select(F.col("grp").alias("g"), F.ceil(F.col("rows") * share).alias("wanted"))
         inner = bins.join(wanted, F.col("grp") == F.col("g")).where("before < wanted").drop("g", "wanted", "before", "bin")
-        then = stored(_estimates(_added(inner, ["grp", "start"])), "estimates")
-        change = now.select(F.col("grp").alias("g"), F.col("start").alias("s"), F.col("log_det").alias("was")).join(
-            then, (F.col("g") == F.col("grp")) & (F.col("s") == F.col("start"))).agg(F.max(F.col("was") - F.col("log_det"))).first()[0]
-        now = then
-        if change is None or change < 1e-6:
+        fall = Observation()
+        then = _estimates(_added(inner, ["grp", "start"])).observe(fall, F.max(F.col("was") - F.col("log_det")).alias("most"))
+        now = stored(then, "estimates").drop("was")
+        if (fall.get["most"] or 0) <= SETTLED:
             break
     best = F.min_by(F.struct("centre", "precision", "log_det"), F.struct("log_det", "start")).alias("best")
     return now.groupBy("grp").agg(best).select("grp", "best.*")
