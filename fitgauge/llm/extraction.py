@@ -27,8 +27,7 @@ ROUNDS, STEP, PENALTY = 150, 0.3, 1e-3
 def features(page: list[Block]) -> list[list[str]]:
     """Feature names of each block of a page."""
     out = []
-    n = len(page)
-    for i, b in enumerate(page):
+    for b in page:
         names = ["bias"]
         inside = [tag for tag, _ in b.path]
         names += [f"in {tag}" for tag in set(inside)]
@@ -41,10 +40,6 @@ def features(page: list[Block]) -> list[list[str]]:
         names.append("sentence" if text[-1] in ".!?:;\"'”»…" else "no sentence")
         if text[0] in "©®":
             names.append("copyright")
-        if i == 0:
-            names.append("first")
-        if i == n - 1:
-            names.append("last")
         out.append(names)
     return out
 
@@ -169,6 +164,8 @@ class Generator:
     def sentence(self) -> str:
         r = self.random
         kind = r.random()
+        if kind < 0.05:
+            return " ".join(r.choice(self.lines) for _ in range(r.randint(10, 60)))
         if kind < 0.6:
             return " ".join(r.choice(self.lines) for _ in range(r.randint(1, 4)))
         if kind < 0.75:
@@ -256,6 +253,8 @@ class Generator:
         before = [k for k in ("header", "menu", "notice", "advert", "sidebar", "form") if r.random() < 0.45]
         after = [k for k in ("advert", "comments", "sidebar", "form", "share", "menu", "notice", "footer") if r.random() < 0.4]
         r.shuffle(before)
+        # some pages are little but their article
+        before, after = (before if r.random() < 0.75 else []), (after if r.random() < 0.75 else [])
         out, labels = ["<!DOCTYPE html><html><head><title>x</title><script>var t='</p>';</script></head><body>"], []
         wrapper = r.choice(["", "", "<div id=\"wrapper\">", "<div class=\"container\">"])
         out.append(wrapper)
