@@ -41,10 +41,12 @@ def tempered_rates(docs: DataFrame, exponent: float = 0.5, budget: float = 1.0,
     """``by``, ``rate``: mean repetitions that give each source a weight in proportion to its bytes to the power ``exponent``,
     for ``budget`` times the bytes of the input in all. A source without bytes gets rate 0."""
     sizes = docs.groupBy(F.col(by).alias("group")).agg(F.sum(text_bytes()).cast("double").alias("size"))
-    whole = sizes.agg(F.sum("size").alias("all"), F.sum(F.when(F.col("size") > 0, F.pow("size", F.lit(exponent)))).alias("weights"))
-    rate = F.when(F.col("size") > 0, F.col("all") * budget * F.pow("size", F.lit(exponent)) / F.col("weights") / F.col("size"))
-    # the totals are one row
-    return sizes.join(F.broadcast(whole)).select(F.col("group").alias(by), F.coalesce(rate, F.lit(0.0)).alias("rate"))
+    weights = F.sum(F.when(F.col("size") > 0, F.pow("size", F.lit(exponent))))
+    whole = sizes.agg(F.struct(F.sum("size").alias("all"), weights.alias("weights")))
+    sizes = sizes.withColumn("whole", whole.scalar())
+    share = F.pow("size", F.lit(exponent)) / F.col("whole.weights")
+    rate = F.when(F.col("size") > 0, F.col("whole.all") * budget * share / F.col("size"))
+    return sizes.select(F.col("group").alias(by), F.coalesce(rate, F.lit(0.0)).alias("rate"))
 
 
 def replicated(docs: DataFrame, rates: DataFrame, seed: int = 42, by: str = "source") -> DataFrame:

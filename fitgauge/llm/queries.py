@@ -91,7 +91,7 @@ ORACLE: dict[str, str] = {
             select source, cast(sum(coalesce(strlen(text), 0)) as double) as size from documents group by source),
         whole as (select sum(size) as total, sum(case when size > 0 then size ** 0.5 end) as weights from sizes),
         rates as (
-            select source, case when size > 0 then total * 1.0 * size ** 0.5 / weights / size else 0.0 end as rate
+            select source, case when size > 0 then total * 1.0 * (size ** 0.5 / weights) / size else 0.0 end as rate
             from sizes, whole),
         cumulative(source, rate, n, p, c) as (
             select source, rate, 0, exp(-rate), exp(-rate) from rates
