@@ -239,7 +239,7 @@ def _sent_anchors(kind: Kind, ranges: int) -> Callable:
                 order = np.argsort(g, kind="stable")
                 ordered = g[order]
                 head = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(g) else np.zeros(0, np.int64)
-                tail = np.append(head[1:], len(g)) - 1
+                tail = np.append(head[1:], len(g))[: len(head)] - 1  # a shard of short texts has no runs
                 inside = kind.repeated_inside(runs.doc[order[head]], runs.doc[order[tail]], tail - head + 1)
                 distinct = ordered[head]
                 cells = ((distinct & U64(0x7FFFFFFF)) << U64(1) | inside.astype(U64)).astype(np.uint32)
