@@ -89,7 +89,7 @@ class Measure:
             f"min({v}) as {t}_min",
             f"max({v}) as {t}_max",
             f"sum({v}) as {t}_sum",
-            f"count_if(not isnan({v})) as {t}_real",
+            f"count_if({v} is not null and not isnan({v})) as {t}_real",
             f"count_if({self.is_longer}) as {t}_longer",
             f"count_if({self.is_longer} and contains({as_text(self.name, 'text')}, ' ')) as {t}_spaced",
         ]

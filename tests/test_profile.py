@@ -124,6 +124,16 @@ def test_parts_can_be_left_out(skewed):
                 assert close(value, expected), (row.column_name, name)
 
 
+def test_nan_and_infinity_both_ways(spark):
+    df = spark.sql("""select double('NaN') as nan, if(id < 3, double('NaN'), double(id)) as some, if(id = 5, double('inf'), double(id)) as inf,
+                        cast(null as double) as none from range(0, 20, 1, 4)""")
+    plain = {r.column_name: r.asDict() for r in p.profile_table(df).collect()}
+    large = {r.column_name: r.asDict() for r in p.profile_table(df, settings=TINY).collect()}
+    for name, row in plain.items():
+        for k in ("min_value", "max_value", "median_value", "p95_value", "non_null_count"):
+            assert str(row[k]) == str(large[name][k]), (name, k)
+
+
 def test_every_type_is_profiled_both_ways(spark):
     df = spark.sql(
         """select cast(id as decimal(12, 2)) as dec, cast(id as tinyint) as tiny, cast(id as float) as flt,
