@@ -1,15 +1,16 @@
 """Fuzzy line dedup in DataFrame operations: SimHash, pigeonhole blocks, edit similarity, connected groups.
 
-Lines are normalised; equal normalised lines are one line from there on. Lines whose 64-bit SimHash values differ in at most
-``max_bits`` bits agree in all but ``max_bits`` of b blocks, so that they meet under one of the C(b, max_bits) choices of agreeing
-blocks; lengths too far apart for the edit similarity don't meet. Every pair that meets is verified on all bits and by edit
-distance, inside the join. In a crowded bucket, members link to pivots first, and only those that a pivot doesn't reach are
-compared among each other: a tight cluster gives as many links as it has members.
+Lines are reduced to their letters; equal ones are one line from there on. Lines whose 64-bit SimHash values differ in at most
+``max_bits`` bits agree in all but ``max_bits`` of b blocks, so that they meet under one of the C(b, max_bits) choices of
+agreeing blocks. Inside that join every pair is verified on all bits and on its lengths, then by its edit distance. In a
+crowded bucket, members link to pivots first, and only those that a pivot doesn't reach are compared among each other: a
+tight cluster gives as many links as it has members.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from itertools import combinations
 from math import comb
 
@@ -22,60 +23,47 @@ BITS = 64
 #: Relative cost of a row that is shuffled and of a comparison in the join.
 ROW_COST, COMPARE_COST = 1500.0, 30.0
 #: Words that a count of 16 bits in a signed number holds.
-LANE = 1 << 15
+LANE = (1 << 15) - 1
+#: Characters from which on a pair's common ends are cut off before its edit distance is taken.
+LONG = 1000
 #: A bucket with more lines is crowded; rounds of pivots before its remaining lines are paired.
 CROWDED, ROUNDS = 200, 4
-BUCKET_BYTES = 16 << 20
 
 
 def normalised(line: Column) -> Column:
-    """Lower case, every digit 0, one space for whatever is neither letter nor digit."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"\p{Nd}", "0"), r"[^\p{L}0]+", " "))
+    """Lower case, one space for whatever is no letter."""
+    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}]+", " "))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """``row``, ``doc_id``, ``line_no`` (from 0), ``line``, ``norm``, its 128-bit key ``k1``, ``k2``: lines with a letter or digit."""
+    """``row``, ``doc_id``, ``line_no`` (from 0), ``line``, ``norm``, its 128-bit key ``k1``, ``k2``: lines with a letter."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.col("text").cast("string").alias("text"))
     lines = rows.select("row", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     lines = lines.withColumn("norm", normalised(F.col("line"))).where("norm <> ''")
     return lines.withColumns({"k1": F.xxhash64("norm"), "k2": F.xxhash64(F.lit(1), "norm")})
 
 
-def simhash(words: Column) -> tuple[Column, Column, Column]:
-    """Bits that over half of the words' XXH64 values have set: counts (of four bits in a 64-bit number each), the value made
-    from such counts in column ``_counts``, and the value for lines of ``LANE`` words or more, whose counts don't fit."""
-    lanes = 16
-    spread = F.lit(0x0001000100010001)
-    zero = F.struct(*(F.lit(0).cast("long").alias(f"c{i}") for i in range(lanes)))
-
-    def add(a: Column, word: Column) -> Column:
-        h = F.xxhash64(word)
-        return F.struct(*((a[f"c{i}"] + F.shiftright(h, i).bitwiseAND(spread)).alias(f"c{i}") for i in range(lanes)))
-
-    n = F.size(words)
-    counts = F.when(n < LANE, F.aggregate(words, zero, add))
-
-    def packed(count_of) -> Column:
-        value = F.lit(0).cast("long")
-        for bit in range(BITS):
-            one = 1 << bit if bit < 63 else -(1 << 63)
-            value = value.bitwiseOR(F.when(2 * count_of(bit) > n, F.lit(one)).otherwise(F.lit(0).cast("long")))
-        return value
+def _bit(i: int) -> Column:
+    return F.lit(1 << i if i < 63 else -(1 << 63))
 
-    def in_lanes(bit: int) -> Column:
-        return F.shiftrightunsigned(F.col("_counts")[f"c{bit % lanes}"], bit // lanes * lanes).bitwiseAND(F.lit(0xFFFF))
 
-    def one_by_one(bit: int) -> Column:
-        return F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.shiftright(F.xxhash64(w), bit).bitwiseAND(F.lit(1).cast("long")))
+def with_simhash(lines: DataFrame) -> DataFrame:
+    """``k1``, ``k2``, ``len`` and ``fp``: the bits that over half of the words' XXH64 values have set.
 
-    return counts, packed(in_lanes), packed(one_by_one)
-
-
-def _with_simhash(lines: DataFrame) -> DataFrame:
-    words = F.split("norm", " ")
-    counts, short, long = simhash(words)
-    lines = lines.withColumn("_counts", counts)
-    return lines.withColumn("fp", F.when(F.size(words) < LANE, short).otherwise(long)).drop("_counts")
+    Words are counted bit by bit, four counts to a number, in parts of a line whose counts fit 16 bits; the parts are
+    added up then. Lines are bucketed by their key, so that nothing is shuffled.
+    """
+    words = lines.select("k1", "k2", F.length("norm").alias("len"), F.posexplode(F.split("norm", " ")).alias("place", "word"))
+    words = words.select("k1", "k2", "len", F.floor(F.col("place") / LANE).alias("part"), F.xxhash64("word").alias("h"))
+    spread = F.lit(0x0001000100010001)
+    sums = [F.sum(F.shiftright("h", i).bitwiseAND(spread)).alias(f"c{i}") for i in range(16)]
+    parts = words.groupBy("k1", "k2", "len", "part").agg(F.count("*").alias("n"), *sums)
+    counts = [F.shiftrightunsigned(f"c{i % 16}", i // 16 * 16).bitwiseAND(F.lit(0xFFFF)) for i in range(BITS)]
+    whole = parts.groupBy("k1", "k2", "len").agg(F.sum("n").alias("n"), *(F.sum(c).alias(f"b{i}") for i, c in enumerate(counts)))
+    fp = F.lit(0).cast("long")
+    for i in range(BITS):
+        fp = fp.bitwiseOR(F.when(2 * F.col(f"b{i}") > F.col("n"), _bit(i)).otherwise(F.lit(0).cast("long")))
+    return whole.select("k1", "k2", "len", fp.alias("fp"))
 
 
 def choices(lines: int, max_bits: int) -> list[int]:
@@ -96,22 +84,51 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _similar(similarity: float) -> Column:
-    """Is the edit similarity of ``a_norm`` and ``b_norm``, 1 - distance / longer length, high enough?"""
-    most = f"cast(floor(greatest(length(a_norm), length(b_norm)) * {1 - similarity} + 1e-9) as int)"
-    return F.expr(f"levenshtein(a_norm, b_norm, {most})") >= 0  # beyond the limit the distance is -1
+def _shared(a: Column, b: Column, end: Callable) -> Column:
+    """How many characters two texts share at one end (``left`` or ``right``), by halving."""
+
+    def halved(range_: Column, _: Column) -> Column:
+        mid = F.shiftright(range_["low"] + range_["high"] + 1, 1)
+        same = end(a, mid) == end(b, mid)
+        return F.struct(
+            F.when(same, mid).otherwise(range_["low"]).alias("low"),
+            F.when(same, range_["high"]).otherwise(F.greatest(mid - 1, range_["low"])).alias("high"))
+
+    whole = F.struct(F.lit(0).alias("low"), F.least(F.length(a), F.length(b)).alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(31)), whole, halved, lambda r: r["low"])
+
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
-def _members(lines: DataFrame, masks: list[int], similarity: float) -> DataFrame:
-    """A row for each line, choice and length class: ``bucket``, the line's key, bits and length.
 
-    Classes grow by the factor that the similarity allows; a line stands in its own class and in the next, so that two lines
-    within the factor share one.
+def _similar(pairs: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of which the edit similarity of ``a_norm`` and ``b_norm``, 1 - distance / longer length, is high enough.
+
+    The distance takes the product of the lengths, so what long lines share at both ends, which doesn't change it, is cut
+    off first.
     """
-    step = F.floor(F.log(F.col("len").cast("double")) / F.log(F.lit(1 / similarity)) + 1e-9)
-    rows = lines.select("k1", "k2", "fp", "len", F.explode(F.array(*map(F.lit, masks))).alias("mask"), step.alias("step"))
-    rows = rows.select("k1", "k2", "fp", "len", "mask", F.explode(F.array(F.col("step"), F.col("step") + 1)).alias("class"))
-    return rows.select(F.xxhash64("mask", F.col("mask").bitwiseAND(F.col("fp")), "class").alias("bucket"), "k1", "k2", "fp", "len")
+    a, b = F.col("a_norm"), F.col("b_norm")
+    longer = F.greatest(F.length(a), F.length(b))
+    most = F.floor(longer * (1 - similarity) + 1e-9).cast("int")
+
+    def distance(x: Column, y: Column) -> Column:
+        return F.call_function("levenshtein", x, y, most)  # -1 beyond the limit
+
+    def without_start(n: Column) -> Column:
+        rest = F.struct(F.substring(a, n + 1, F.length(a)).alias("a"), F.substring(b, n + 1, F.length(b)).alias("b"))
+        return _let(rest, lambda r: _let(_shared(r["a"], r["b"], F.right), lambda m: distance(
+            F.left(r["a"], F.length(r["a"]) - m), F.left(r["b"], F.length(r["b"]) - m))))
+
+    found = F.when(longer <= LONG, distance(a, b)).otherwise(_let(_shared(a, b, F.left), without_start))
+    return pairs.where(found >= 0).drop("a_norm", "b_norm")
+
+
+def _members(prints: DataFrame, masks: list[int]) -> DataFrame:
+    """A row for each line and choice: ``bucket``, the line's key, bits and length."""
+    rows = prints.select("k1", "k2", "fp", "len", F.explode(F.array(*map(F.lit, masks))).alias("mask"))
+    return rows.select(F.xxhash64("mask", F.col("mask").bitwiseAND(F.col("fp"))).alias("bucket"), "k1", "k2", "fp", "len")
 
 
 def _near(a: str, b: str, max_bits: int, similarity: float) -> Column:
@@ -130,7 +147,7 @@ def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFram
     for side in ("a", "b"):
         text = lines.select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), F.col("norm").alias(f"{side}_norm"))
         pairs = pairs.join(text, (F.col(f"{side}_k1") == F.col("t1")) & (F.col(f"{side}_k2") == F.col("t2"))).drop("t1", "t2")
-    return pairs.where(_similar(similarity)).drop("a_norm", "b_norm")
+    return _similar(pairs, similarity)
 
 
 def _order(prefix: str) -> Column:
@@ -140,10 +157,9 @@ def _order(prefix: str) -> Column:
 KEYS = ["a_k1", "a_k2", "b_k1", "b_k2"]
 
 
-def line_links(lines: DataFrame, max_bits: int, similarity: float, crowded: int = CROWDED) -> DataFrame:
+def line_links(lines: DataFrame, prints: DataFrame, max_bits: int, similarity: float, crowded: int = CROWDED) -> DataFrame:
     """Pairs of distinct lines (``a_k1``, ``a_k2``, ``b_k1``, ``b_k2``) that connect lines exactly as all similar pairs do."""
-    count = lines.count()
-    members = _members(lines, choices(count, max_bits), similarity)
+    members = _members(prints, choices(prints.count(), max_bits))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > crowded)
     full = stored(sizes.select(F.col("bucket").alias("full")), "crowded")
     calm = members.join(full, F.col("bucket") == F.col("full"), "left_anti")
@@ -172,8 +188,21 @@ def line_links(lines: DataFrame, max_bits: int, similarity: float, crowded: int
     return links.unionByName(_verified(rest.select(*KEYS).distinct(), lines, similarity))
 
 
+def _by_key(lines: DataFrame) -> DataFrame:
+    """The lines as a table bucketed by their key, in as many buckets as a shuffle has partitions: the aggregation that made
+    them has dealt them out like that already, and later joins on the key move the other side only."""
+    spark = lines.sparkSession
+    name = f"llm_lines_{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{name}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines.write.bucketBy(buckets, "k1", "k2").option("path", path).option("compression", "zstd").saveAsTable(name)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.table(name)
+
+
 def line_groups(docs: DataFrame, max_bits: int = 3, similarity: float = 0.8, crowded: int = CROWDED) -> DataFrame:
-    """A row for each line with a letter or digit: ``row`` (the document's position), ``doc_id``, ``line_no`` (from 0),
+    """A row for each line with a letter: ``row`` (the document's position), ``doc_id``, ``line_no`` (from 0),
     ``group_doc_id`` and ``group_line_no`` (the occurrence that its group keeps), ``kept``.
 
     Groups are connected by equal normalised lines and by pairs whose SimHash values differ in at most ``max_bits`` bits and
@@ -181,21 +210,13 @@ def line_groups(docs: DataFrame, max_bits: int = 3, similarity: float = 0.8, cro
     line, then position of the row, so that of repeated rows one keeps the line. Other lines have no row and always stay;
     null and empty texts have none. Other columns are ignored. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(32, -(-total // BUCKET_BYTES))
     every = occurrences(docs)
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "line_no", "row").alias("place")
     lines = every.groupBy("k1", "k2").agg(F.first("norm").alias("norm"), F.min(place).alias("place"))
-    lines = _with_simhash(lines).withColumn("len", F.length("norm"))
-    name = f"llm_lines_{uuid.uuid4().hex}"
-    path = f"{shared_root(spark)}/{name}"
-    lines.repartition(buckets, "k1", "k2").write.bucketBy(buckets, "k1", "k2").option("path", path).saveAsTable(name)
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    lines = spark.table(name)
+    lines = _by_key(lines)
+    prints = stored(with_simhash(lines), "line-prints")
     # a line's node is its first key; two lines that share one of 2 ** 64 keys would be one node
-    links = line_links(lines, max_bits, similarity, crowded)
+    links = line_links(lines, prints, max_bits, similarity, crowded)
     roots = stored(components(links.select(F.col("a_k1").alias("u"), F.col("b_k1").alias("v"))), "roots")
     named = lines.select("k1", "k2", "place").join(roots, F.col("k1") == F.col("node"), "left")
     named = named.select("k1", "k2", "place", F.coalesce("root", "k1").alias("root"))
