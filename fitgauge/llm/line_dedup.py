@@ -27,7 +27,7 @@ LANE = (1 << 15) - 1
 #: Characters from which on a pair's common ends are cut off before its edit distance is taken.
 LONG = 1000
 #: A bucket with more lines is crowded; rounds of pivots before its remaining lines are paired.
-CROWDED, ROUNDS = 200, 4
+CROWDED, ROUNDS = 4000, 4
 
 
 def normalised(line: Column) -> Column:
