@@ -3,8 +3,8 @@
 Lines are reduced to their letters; equal ones are one line from there on. Lines whose 64-bit SimHash values differ in at most
 ``max_bits`` bits agree in all but ``max_bits`` of b blocks, so that they meet under one of the C(b, max_bits) choices of
 agreeing blocks. Inside that join every pair is verified on all bits and on its lengths, then by its edit distance. In a
-crowded bucket, members link to pivots first, and only those that a pivot doesn't reach are compared among each other: a
-tight cluster gives as many links as it has members.
+crowded bucket, members link to pivots first, and only pairs that are not under one pivot are compared: a tight cluster
+gives as many links as it has members.
 """
 
 from __future__ import annotations
@@ -157,6 +157,39 @@ def _order(prefix: str) -> Column:
 KEYS = ["a_k1", "a_k2", "b_k1", "b_k2"]
 
 
+def _pivoted(busy: DataFrame, near: Callable[[str, str], Column], lines: DataFrame, similarity: float) -> DataFrame:
+    """Links that connect the members of crowded buckets exactly as all similar pairs in them do.
+
+    Members that one pivot reaches are connected; every other pair is compared. Of two members under different pivots, one at
+    least is outside the bucket's most common pivot, so only those meet the whole bucket.
+    """
+    same = (F.col("bucket") == F.col("of")) & (F.col("k1") == F.col("o1")) & (F.col("k2") == F.col("o2"))
+    met_in = F.col("a_bucket") == F.col("b_bucket")
+    open_, rounds = busy.select("bucket", "k1", "k2"), []
+    for _ in range(ROUNDS):
+        least = open_.groupBy("bucket").agg(F.min(F.struct("k1", "k2")).alias("least")).select(
+            F.col("bucket").alias("of"), F.col("least.k1").alias("o1"), F.col("least.k2").alias("o2"))
+        pivots = busy.join(least, same).drop("of", "o1", "o2")
+        met = _prefixed(busy, "a_").join(_prefixed(pivots, "b_"), met_in & near("a_", "b_"))
+        rounds.append(stored(_verified(met.select("a_bucket", *KEYS), lines, similarity), "reached"))  # the pivot reaches itself
+        gone = rounds[-1].select(F.col("a_bucket").alias("of"), F.col("a_k1").alias("o1"), F.col("a_k2").alias("o2"))
+        open_ = stored(open_.join(gone, same, "left_anti"), "open")
+        if open_.isEmpty():
+            break
+    reached = rounds[0]
+    for more in rounds[1:]:
+        reached = reached.unionByName(more)
+    under = stored(reached.groupBy(F.col("a_bucket").alias("of"), F.col("a_k1").alias("o1"), F.col("a_k2").alias("o2")).agg(
+        F.min(F.struct("b_k1", "b_k2")).alias("pivot")), "under")
+    most = under.groupBy("of", "pivot").agg(F.count("*").alias("n")).groupBy("of").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("usual"))
+    marked = busy.join(under, same, "left").drop("of", "o1", "o2")
+    other = marked.join(most, F.col("bucket") == F.col("of"), "left").where(~F.col("pivot").eqNullSafe(F.col("usual"))).drop("of", "usual")
+    apart = ~F.coalesce(F.col("a_pivot") == F.col("b_pivot"), F.lit(False)) & (_order("a_") != _order("b_"))
+    rest = _prefixed(other, "a_").join(_prefixed(marked, "b_"), met_in & apart & near("a_", "b_"))
+    links = reached.where(_order("a_") != _order("b_")).select(*KEYS)
+    return links.unionByName(_verified(rest.select(*KEYS).distinct(), lines, similarity))
+
+
 def line_links(lines: DataFrame, prints: DataFrame, max_bits: int, similarity: float, crowded: int = CROWDED) -> DataFrame:
     """Pairs of distinct lines (``a_k1``, ``a_k2``, ``b_k1``, ``b_k2``) that connect lines exactly as all similar pairs do."""
     members = _members(prints, choices(prints.count(), max_bits))
@@ -169,23 +202,7 @@ def line_links(lines: DataFrame, prints: DataFrame, max_bits: int, similarity: f
     if full.isEmpty():
         return links
     busy = stored(members.join(full, F.col("bucket") == F.col("full"), "left_semi"), "busy")
-    open_ = busy.select("bucket", "k1", "k2")
-    for _ in range(ROUNDS):
-        least = open_.groupBy("bucket").agg(F.min(F.struct("k1", "k2")).alias("least")).select(
-            F.col("bucket").alias("of"), F.col("least.k1").alias("p1"), F.col("least.k2").alias("p2"))
-        pivots = busy.join(least, (F.col("bucket") == F.col("of")) & (F.col("k1") == F.col("p1")) & (F.col("k2") == F.col("p2"))).drop("of", "p1", "p2")
-        met = _prefixed(busy, "a_").join(_prefixed(pivots, "b_"), (F.col("a_bucket") == F.col("b_bucket")) & _near("a_", "b_", max_bits, similarity))
-        reached = stored(_verified(met.select("a_bucket", *KEYS), lines, similarity), "reached")  # the pivot reaches itself
-        links = links.unionByName(reached.where(_order("a_") != _order("b_")).select(*KEYS))
-        gone = reached.select(F.col("a_bucket").alias("gb"), F.col("a_k1").alias("g1"), F.col("a_k2").alias("g2"))
-        open_ = stored(open_.join(gone, (F.col("bucket") == F.col("gb")) & (F.col("k1") == F.col("g1")) & (F.col("k2") == F.col("g2")), "left_anti"), "open")
-        if open_.isEmpty():
-            return links
-    left = busy.join(open_.select(F.col("bucket").alias("ob"), F.col("k1").alias("o1"), F.col("k2").alias("o2")),
-                     (F.col("bucket") == F.col("ob")) & (F.col("k1") == F.col("o1")) & (F.col("k2") == F.col("o2")), "left_semi")
-    rest = _prefixed(left, "a_").join(
-        _prefixed(busy, "b_"), (F.col("a_bucket") == F.col("b_bucket")) & (_order("a_") != _order("b_")) & _near("a_", "b_", max_bits, similarity))
-    return links.unionByName(_verified(rest.select(*KEYS).distinct(), lines, similarity))
+    return links.unionByName(_pivoted(busy, lambda a, b: _near(a, b, max_bits, similarity), lines, similarity))
 
 
 def _by_key(lines: DataFrame) -> DataFrame:

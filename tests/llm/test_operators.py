@@ -234,6 +234,17 @@ def test_lines_of_odd_rows(spark, odd):
     assert line_dedup.line_groups(odd.limit(0)).count() == 0
 
 
+def test_pivots_keep_chains(spark):
+    """A chain whose ends have the least keys and become pivots: only the two lines between, under different pivots, link them."""
+    chain = [(0, "a" * 20), (2, "a" * 17 + "b" * 3), (3, "a" * 14 + "b" * 6), (1, "a" * 11 + "b" * 9)]
+    lines = spark.createDataFrame([(k, 0, t) for k, t in chain], "k1 long, k2 long, norm string")
+    prints = lines.select("k1", "k2", F.length("norm").alias("len"), F.lit(0).cast("long").alias("fp"))
+    for crowded in (100, 2):
+        links = line_dedup.line_links(lines, prints, 3, 0.8, crowded)
+        roots = components.components(links.select(F.col("a_k1").alias("u"), F.col("b_k1").alias("v"))).collect()
+        assert {(r.node, r.root) for r in roots} == {(k, 0) for k in range(4)}
+
+
 def test_more_blocks_for_more_lines():
     assert len(line_dedup.choices(1000, 3)) == 4
     many = line_dedup.choices(10**10, 3)
