@@ -5,6 +5,12 @@ Lines are reduced to their letters; equal ones are one line from there on. Lines
 agreeing blocks. Inside that join every pair is verified on all bits and on its lengths, then by its edit distance. In a
 crowded bucket, members link to pivots first, and only pairs that are not under one pivot are compared: a tight cluster
 gives as many links as it has members.
+
+Few bits apart are few changed words of long lines only, so ``line_groups`` can find pairs without bits instead, by filters
+that lose nothing (``shared_words``). Pairs of up to ``SHORT`` characters are found by their edits: k edits leave one of k + 1
+segments of the longer line as it was. Longer pairs have to share ``SHARED`` of the distinct words of the line that has more;
+such lines have one of their rarest words in common, and l of them among the l - 1 next ones too, by which crowded buckets
+are divided.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from itertools import combinations
-from math import comb
+from math import comb, log2
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -29,6 +35,15 @@ LONG = 1000
 #: A bucket with more lines is crowded; rounds of pivots before its remaining lines are paired.
 CROWDED, ROUNDS = 4000, 4
 
+#: Characters of the longer line up to which pairs are found by segments.
+SHORT = 24
+#: Share of distinct words that longer pairs share: a fifth of the characters can be a third of the words.
+SHARED = 2 / 3
+#: Words are ordered by how often their slot of this many occurs; levels of shared words before crowded buckets use pivots.
+SLOTS, LEVELS = 1 << 16, 4
+#: Scripts without spaces: each character counts as a word.
+UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
+
 
 def normalised(line: Column) -> Column:
     """Lower case, one space for whatever is no letter."""
@@ -205,6 +220,120 @@ def line_links(lines: DataFrame, prints: DataFrame, max_bits: int, similarity: f
     return links.unionByName(_pivoted(busy, lambda a, b: _near(a, b, max_bits, similarity), lines, similarity))
 
 
+def _edits(length: Column, similarity: float) -> Column:
+    return F.floor(length * (1 - similarity) + 1e-9).cast("int")
+
+
+def short_links(lines: DataFrame, similarity: float) -> DataFrame:
+    """All similar pairs (``KEYS``) of which the longer line has at most ``SHORT`` characters.
+
+    Of k + 1 segments of the longer line there is one that no edit touches, with i edits at most before it if it is the i-th
+    (from 0) and k - i behind it. The shorter line has it at a place that these numbers bound.
+    """
+    rows = lines.select("k1", "k2", "norm", F.length("norm").cast("int").alias("len")).where(F.col("len").between(2, SHORT))
+    size, k = F.col("size"), F.col("k")
+    start = F.floor(F.col("i") * size / (k + 1)).cast("int")
+    width = F.floor((F.col("i") + 1) * size / (k + 1)).cast("int") - start
+    whole = rows.withColumn("size", F.col("len")).withColumn("k", _edits(size, similarity)).where("k > 0")
+    parts = whole.withColumn("i", F.explode(F.sequence(F.lit(0), k))).select(
+        "k1", "k2", "norm", "size", "i", "k", F.substring("norm", start + 1, width).alias("part"))
+    most = F.least(F.lit(SHORT), F.floor(F.col("len") / similarity + 1e-9).cast("int"))
+    probes = rows.withColumn("size", F.explode(F.sequence(F.col("len"), F.greatest("len", most)))).withColumn("k", _edits(size, similarity))
+    probes = probes.where((F.col("k") > 0) & (size - F.col("len") <= k)).withColumn("i", F.explode(F.sequence(F.lit(0), k)))
+    low = F.greatest(-F.col("i"), F.col("i") - k - (size - F.col("len")), -start)
+    high = F.least(F.col("i"), k - F.col("i") - (size - F.col("len")))
+    probes = probes.withColumns({"low": low, "high": high}).where("low <= high").withColumn("shift", F.explode(F.sequence("low", "high")))
+    probes = probes.select("k1", "k2", "norm", "size", "i", F.substring("norm", start + F.col("shift") + 1, width).alias("part"))
+    a, b = _prefixed(probes, "a_"), _prefixed(parts, "b_")
+    met = (F.col("a_size") == F.col("b_size")) & (F.col("a_i") == F.col("b_i")) & (F.col("a_part") == F.col("b_part"))
+    near = F.call_function("levenshtein", F.col("a_norm"), F.col("b_norm"), F.col("b_k")) >= 0
+    return a.join(b, met & (_order("a_") != _order("b_")) & near).select(*KEYS).distinct()
+
+
+def _slot(word: Column) -> Column:
+    return F.pmod(word, F.lit(SLOTS)).cast("int")
+
+
+def _needed(n: Column) -> Column:
+    """How many distinct words a line of ``n`` shares with any that is similar; one may always differ."""
+    return F.greatest(F.least(F.ceil(n * SHARED - 1e-9), n - 1), F.lit(1)).cast("int")
+
+
+def worded(lines: DataFrame, similarity: float) -> DataFrame:
+    """Lines that pairs beyond ``SHORT`` characters can have: ``k1``, ``k2``, ``len``, ``n``, ``m0`` to ``m3`` (a bit for each word) and
+    ``words``, the distinct words' XXH64 values, rarest first. Any one order of the words serves; a rough count does."""
+    least = int((SHORT + 1) * similarity - 1e-9)
+    words = F.split(F.regexp_replace(F.regexp_replace("norm", UNSPACED, " $1 "), r"[^\p{L}\p{M}\p{N}]+", " "), " ")
+    words = F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w)))
+    rows = lines.where(F.length("norm") >= least).select("k1", "k2", F.length("norm").cast("int").alias("len"), words.alias("words"))
+    counts = rows.select(F.explode("words").alias("w")).groupBy(_slot(F.col("w")).alias("slot")).agg(F.count("*").alias("n")).collect()
+    ranks = bytearray(SLOTS)
+    for slot, n in counts:
+        ranks[slot] = min(255, int(6 * log2(n)))
+    rank = F.lit(bytes(ranks))
+    ordered = F.array_sort(F.transform("words", lambda w: F.struct(F.substring(rank, _slot(w) + 1, F.lit(1)).alias("rank"), w.alias("w"))))
+    masks = [_mask(j).alias(f"m{j}") for j in range(4)]
+    return rows.select("k1", "k2", "len", F.size("words").alias("n"), *masks, F.transform(ordered, lambda x: x["w"]).alias("words")).where("n > 0")
+
+
+def _mask(part: int) -> Column:
+    """64 of the 256 bits: those of the words whose hash starts with ``part``."""
+
+    def added(mask: Column, word: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(word, 56).bitwiseAND(F.lit(63)).cast("int"))
+        return F.when(F.shiftrightunsigned(word, 62) == part, mask.bitwiseOR(bit)).otherwise(mask)
+
+    return F.aggregate("words", F.lit(0).cast("long"), added)
+
+
+def _sharing(a: str, b: str, similarity: float) -> Column:
+    """Can two members share the words they need, and do their lengths allow the edits?"""
+    longer, shorter = F.greatest(f"{a}len", f"{b}len"), F.least(f"{a}len", f"{b}len")
+    needed = _needed(F.greatest(f"{a}n", f"{b}n"))
+
+    def most(x: str, y: str) -> Column:
+        lone = [F.bit_count(F.col(f"{x}m{j}").bitwiseAND(F.bitwise_not(F.col(f"{y}m{j}")))) for j in range(4)]
+        return F.col(f"{x}n") - (lone[0] + lone[1] + lone[2] + lone[3])
+
+    return (longer > SHORT) & (longer - shorter <= _edits(longer, similarity)) & (most(a, b) >= needed) & (most(b, a) >= needed)
+
+
+def word_links(lines: DataFrame, similarity: float, crowded: int = CROWDED) -> DataFrame:
+    """Pairs (``KEYS``) that connect lines exactly as all similar pairs do of which the longer line has more than ``SHORT``
+    characters and that share the words that the line with more of them needs.
+
+    Of n words of which t are needed, the n - t + l rarest hold at least l that are shared, for every l up to t.
+    """
+    rows = worded(lines, similarity)
+    own = ["k1", "k2", "len", "n", *(f"m{j}" for j in range(4))]
+    near = lambda a, b: _sharing(a, b, similarity)
+    met_in = (F.col("a_bucket") == F.col("b_bucket")) & (_order("a_") < _order("b_"))
+    spare = F.col("n") - _needed(F.col("n"))
+    members = rows.select(*own, F.explode(F.slice("words", F.lit(1), spare + 1)).alias("bucket")).withColumn("path", F.array("bucket"))
+    links = None
+    for level in range(1, LEVELS + 1):
+        sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > crowded)
+        full = stored(sizes.select(F.col("bucket").alias("full")), "crowded")
+        calm = members.join(full, F.col("bucket") == F.col("full"), "left_anti").drop("path")
+        found = _prefixed(calm, "a_").join(_prefixed(calm, "b_"), met_in & near("a_", "b_")).select(*KEYS).distinct()
+        links = found if links is None else links.unionByName(found)
+        if full.isEmpty():
+            return stored(_verified(links.distinct(), lines, similarity), "links")
+        busy = stored(members.join(full, F.col("bucket") == F.col("full"), "left_semi"), "busy")
+        # the last level, and lines that need no further word, stay where they are
+        last = busy if level == LEVELS else stored(busy.where(_needed(F.col("n")) <= level), "last")
+        done = None if last.isEmpty() else _pivoted(last.drop("path"), near, lines, similarity)
+        links = stored(_verified(links.distinct(), lines, similarity) if done is None else
+                       _verified(links.distinct(), lines, similarity).unionByName(done), "links")
+        if level == LEVELS:
+            return links
+        again = busy.select(F.col("k1").alias("o1"), F.col("k2").alias("o2"), "path")
+        deeper = rows.join(again, (F.col("k1") == F.col("o1")) & (F.col("k2") == F.col("o2"))).withColumn(
+            "next", F.explode(F.array_except(F.slice("words", F.lit(1), spare + level + 1), F.col("path"))))
+        path = F.array_sort(F.concat("path", F.array("next")))
+        members = stored(deeper.select(*own, path.alias("path")).distinct().withColumn("bucket", F.xxhash64("path")), "members")
+
+
 def _by_key(lines: DataFrame) -> DataFrame:
     """The lines as a table bucketed by their key, in as many buckets as a shuffle has partitions: the aggregation that made
     them has dealt them out like that already, and later joins on the key move the other side only."""
@@ -218,12 +347,13 @@ def _by_key(lines: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
-def line_groups(docs: DataFrame, max_bits: int = 3, similarity: float = 0.8, crowded: int = CROWDED) -> DataFrame:
+def line_groups(docs: DataFrame, max_bits: int = 3, similarity: float = 0.8, crowded: int = CROWDED, shared_words: bool = False) -> DataFrame:
     """A row for each line with a letter: ``row`` (the document's position), ``doc_id``, ``line_no`` (from 0),
     ``group_doc_id`` and ``group_line_no`` (the occurrence that its group keeps), ``kept``.
 
     Groups are connected by equal normalised lines and by pairs whose SimHash values differ in at most ``max_bits`` bits and
-    whose edit similarity is at least ``similarity``. A group keeps its occurrence with the least ``doc_id`` (null last), then
+    whose edit similarity is at least ``similarity``; with ``shared_words``, by pairs of that similarity whatever their bits,
+    if they have at most ``SHORT`` characters or share ``SHARED`` of their words. A group keeps its occurrence with the least ``doc_id`` (null last), then
     line, then position of the row, so that of repeated rows one keeps the line. Other lines have no row and always stay;
     null and empty texts have none. Other columns are ignored. An empty table gives an empty result.
     """
@@ -231,9 +361,11 @@ def line_groups(docs: DataFrame, max_bits: int = 3, similarity: float = 0.8, cro
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "line_no", "row").alias("place")
     lines = every.groupBy("k1", "k2").agg(F.first("norm").alias("norm"), F.min(place).alias("place"))
     lines = _by_key(lines)
-    prints = stored(with_simhash(lines), "line-prints")
+    if shared_words:
+        links = short_links(lines, similarity).unionByName(word_links(lines, similarity, crowded))
+    else:
+        links = line_links(lines, stored(with_simhash(lines), "line-prints"), max_bits, similarity, crowded)
     # a line's node is its first key; two lines that share one of 2 ** 64 keys would be one node
-    links = line_links(lines, prints, max_bits, similarity, crowded)
     roots = stored(components(links.select(F.col("a_k1").alias("u"), F.col("b_k1").alias("v"))), "roots")
     named = lines.select("k1", "k2", "place").join(roots, F.col("k1") == F.col("node"), "left")
     named = named.select("k1", "k2", "place", F.coalesce("root", "k1").alias("root"))
@@ -251,7 +383,7 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
 
     Rows are told apart by their position, so ``docs`` has to be a table that gives rows in the same order when read again.
     """
-    gone = line_groups(docs, **options).where("not kept").groupBy(F.col("row").alias("_gone_row")).agg(F.collect_set("line_no").alias("_gone"))
+    gone = line_groups(docs, **({"shared_words": True} | options)).where("not kept").groupBy(F.col("row").alias("_gone_row")).agg(F.collect_set("line_no").alias("_gone"))
     own = docs.withColumn("_row", F.monotonically_increasing_id())
     joined = own.join(gone, F.col("_row") == F.col("_gone_row"), "left")
     lines = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_gone", i))

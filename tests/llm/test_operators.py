@@ -245,6 +245,54 @@ def test_pivots_keep_chains(spark):
         assert {(r.node, r.root) for r in roots} == {(k, 0) for k in range(4)}
 
 
+def similar_groups(lines, similarity=0.8):
+    """Components of all pairs of that edit similarity, whatever their bits or words."""
+    pairs = []
+    for i, a in enumerate(lines):
+        for j in range(i):
+            most = int(max(len(a), len(lines[j])) * (1 - similarity) + 1e-9)
+            if abs(len(a) - len(lines[j])) <= most and distance(a, lines[j]) <= most:
+                pairs.append((i, j))
+    return union(len(lines), pairs)
+
+
+def test_shared_words_find_what_edits_allow(spark):
+    """Planted lines with random edits in up to a sixth of their words; short ones with edits anywhere."""
+    rng = np.random.default_rng(7)
+
+    def word(n):
+        return "".join(rng.choice(list("abcdefghijklmnop"), n))
+
+    common, lines = [word(4) for _ in range(12)], []
+    for i in range(60):
+        n = int(rng.integers(6, 30))
+        words = [str(rng.choice(common)) if rng.random() < 0.3 else word(int(rng.integers(3, 9))) for _ in range(n)]
+        lines.append(" ".join(words))
+        for _ in range(3):
+            other = list(words)
+            for at in rng.choice(n, max(1, n // 6), replace=False):
+                other[at] = word(len(other[at]))
+            lines.append(" ".join(other))
+    for i in range(40):
+        base = list(word(int(rng.integers(5, 25))))
+        lines.append("".join(base))
+        for at in rng.choice(len(base), len(base) // 5, replace=False):
+            base[at : at + 1] = list(word(int(rng.integers(0, 3))))
+        lines.append("".join(base))
+    lines = sorted(set(lines))
+    expected = similar_groups(lines)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string")
+    for crowded in (line_dedup.CROWDED, 3):
+        found = {r.doc_id: r.group_doc_id for r in line_dedup.line_groups(df, crowded=crowded, shared_words=True).collect()}
+        assert len(found) == len(lines)
+        least = {}
+        for i, root in enumerate(expected):
+            least.setdefault(root, i)
+        assert found == {i: least[root] for i, root in enumerate(expected)}
+    by_bits = {r.doc_id: r.group_doc_id for r in line_dedup.line_groups(df).collect()}
+    assert len(set(by_bits.values())) > 1.3 * len(least)
+
+
 def test_more_blocks_for_more_lines():
     assert len(line_dedup.choices(1000, 3)) == 4
     many = line_dedup.choices(10**10, 3)
