@@ -1,6 +1,6 @@
 """Fuzzy line dedup in DataFrame operations: SimHash, pigeonhole blocks, edit similarity, connected groups.
 
-Lines are reduced to their letters; equal ones are one line from there on. Lines whose 64-bit SimHash values differ in at most
+Lines are reduced to their letters, or with ``whole`` to lower case and single spaces; equal ones are one line from there on. Lines whose 64-bit SimHash values differ in at most
 ``max_bits`` bits agree in all but ``max_bits`` of b blocks, so that they meet under one of the C(b, max_bits) choices of
 agreeing blocks. Inside that join every pair is verified on all bits and on its lengths, then by its edit distance. In a
 crowded bucket, members link to pivots first, and only pairs that are not under one pivot are compared: a tight cluster
@@ -50,11 +50,17 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}]+", " "))
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """``row``, ``doc_id``, ``line_no`` (from 0), ``line``, ``norm``, its 128-bit key ``k1``, ``k2``: lines with a letter."""
+def whole_line(line: Column) -> Column:
+    """Lower case, one space for white space: digits, symbols and marks count."""
+    return F.trim(F.regexp_replace(F.lower(line), r"[\s\p{Z}]+", " "))
+
+
+def occurrences(docs: DataFrame, normal: Callable[[Column], Column] = normalised) -> DataFrame:
+    """``row``, ``doc_id``, ``line_no`` (from 0), ``line``, ``norm``, its 128-bit key ``k1``, ``k2``: lines of which ``normal``
+    leaves anything."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.col("text").cast("string").alias("text"))
     lines = rows.select("row", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    lines = lines.withColumn("norm", normalised(F.col("line"))).where("norm <> ''")
+    lines = lines.withColumn("norm", normal(F.col("line"))).where("norm <> ''")
     return lines.withColumns({"k1": F.xxhash64("norm"), "k2": F.xxhash64(F.lit(1), "norm")})
 
 
@@ -347,17 +353,20 @@ def _by_key(lines: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
-def line_groups(docs: DataFrame, max_bits: int = 3, similarity: float = 0.8, crowded: int = CROWDED, shared_words: bool = False) -> DataFrame:
-    """A row for each line with a letter: ``row`` (the document's position), ``doc_id``, ``line_no`` (from 0),
+def line_groups(docs: DataFrame, max_bits: int = 3, similarity: float = 0.8, crowded: int = CROWDED, shared_words: bool = False,
+                whole: bool = False) -> DataFrame:
+    """A row for each line with a letter, or with ``whole`` for each that is not blank: ``row`` (the document's position),
+    ``doc_id``, ``line_no`` (from 0),
     ``group_doc_id`` and ``group_line_no`` (the occurrence that its group keeps), ``kept``.
 
+    Lines are normalised to their letters, with ``whole`` to lower case and single spaces only.
     Groups are connected by equal normalised lines and by pairs whose SimHash values differ in at most ``max_bits`` bits and
     whose edit similarity is at least ``similarity``; with ``shared_words``, by pairs of that similarity whatever their bits,
     if they have at most ``SHORT`` characters or share ``SHARED`` of their words. A group keeps its occurrence with the least ``doc_id`` (null last), then
     line, then position of the row, so that of repeated rows one keeps the line. Other lines have no row and always stay;
     null and empty texts have none. Other columns are ignored. An empty table gives an empty result.
     """
-    every = occurrences(docs)
+    every = occurrences(docs, whole_line if whole else normalised)
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "line_no", "row").alias("place")
     lines = every.groupBy("k1", "k2").agg(F.first("norm").alias("norm"), F.min(place).alias("place"))
     lines = _by_key(lines)
@@ -383,7 +392,7 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
 
     Rows are told apart by their position, so ``docs`` has to be a table that gives rows in the same order when read again.
     """
-    gone = line_groups(docs, **({"shared_words": True} | options)).where("not kept").groupBy(F.col("row").alias("_gone_row")).agg(F.collect_set("line_no").alias("_gone"))
+    gone = line_groups(docs, **({"shared_words": True, "whole": True} | options)).where("not kept").groupBy(F.col("row").alias("_gone_row")).agg(F.collect_set("line_no").alias("_gone"))
     own = docs.withColumn("_row", F.monotonically_increasing_id())
     joined = own.join(gone, F.col("_row") == F.col("_gone_row"), "left")
     lines = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_gone", i))

@@ -20,7 +20,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_groups(table(spark, sf_dir, "documents"), shared_words=True).drop("row")
+    return line_dedup.line_groups(table(spark, sf_dir, "documents"), shared_words=True, whole=True).drop("row")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

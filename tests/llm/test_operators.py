@@ -293,6 +293,15 @@ def test_shared_words_find_what_edits_allow(spark):
     assert len(set(by_bits.values())) > 1.3 * len(least)
 
 
+def test_numbers_symbols_and_marks_count(spark):
+    texts = ["Order 17: 250 units", "Order 93: 8 units", "order  17: 250\tunits", "2024-01-31", "2024-01-31", "=====", "=====", " \t ", "कि", "का"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = {r.doc_id: r.text for r in line_dedup.deduplicated(df).collect()}
+    assert len(left) == 10 and {i for i, t in left.items() if t} == {0, 1, 3, 5, 7, 8, 9}
+    found = {r.doc_id: r.group_doc_id for r in line_dedup.line_groups(df, shared_words=True, whole=True).collect()}
+    assert found == {0: 0, 1: 1, 2: 0, 3: 3, 4: 3, 5: 5, 6: 5, 8: 8, 9: 9}
+
+
 def test_more_blocks_for_more_lines():
     assert len(line_dedup.choices(1000, 3)) == 4
     many = line_dedup.choices(10**10, 3)
