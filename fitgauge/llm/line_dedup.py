@@ -42,7 +42,7 @@ SHARED = 2 / 3
 #: Words are ordered by how often their slot of this many occurs; levels of shared words before crowded buckets use pivots.
 SLOTS, LEVELS = 1 << 16, 4
 #: Scripts without spaces: each character counts as a word.
-UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
+UNSPACED = r"([฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\x{20000}-\x{3FFFF}])"
 
 
 def normalised(line: Column) -> Column:
@@ -266,10 +266,11 @@ def _needed(n: Column) -> Column:
 
 
 def worded(lines: DataFrame, similarity: float) -> DataFrame:
-    """Lines that pairs beyond ``SHORT`` characters can have: ``k1``, ``k2``, ``len``, ``n``, ``m0`` to ``m3`` (a bit for each word) and
-    ``words``, the distinct words' XXH64 values, rarest first. Any one order of the words serves; a rough count does."""
+    """Lines that pairs beyond ``SHORT`` characters can have: ``k1``, ``k2``, ``len``, ``n``, ``needed``, ``m0`` to ``m3`` (a bit for each word)
+    and ``words``, the distinct words' XXH64 values, rarest first. Any one order of the words serves; a rough count does."""
     least = int((SHORT + 1) * similarity - 1e-9)
-    words = F.split(F.regexp_replace(F.regexp_replace("norm", UNSPACED, " $1 "), r"[^\p{L}\p{M}\p{N}]+", " "), " ")
+    spaced = F.when(F.octet_length("norm") == F.length("norm"), F.col("norm")).otherwise(F.regexp_replace("norm", UNSPACED, " $1 "))
+    words = F.split(F.regexp_replace(spaced, r"[^\p{L}\p{M}\p{N}]+", " "), " ")
     words = F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w)))
     rows = lines.where(F.length("norm") >= least).select("k1", "k2", F.length("norm").cast("int").alias("len"), words.alias("words"))
     counts = rows.select(F.explode("words").alias("w")).groupBy(_slot(F.col("w")).alias("slot")).agg(F.count("*").alias("n")).collect()
@@ -279,7 +280,8 @@ def worded(lines: DataFrame, similarity: float) -> DataFrame:
     rank = F.lit(bytes(ranks))
     ordered = F.array_sort(F.transform("words", lambda w: F.struct(F.substring(rank, _slot(w) + 1, F.lit(1)).alias("rank"), w.alias("w"))))
     masks = [_mask(j).alias(f"m{j}") for j in range(4)]
-    return rows.select("k1", "k2", "len", F.size("words").alias("n"), *masks, F.transform(ordered, lambda x: x["w"]).alias("words")).where("n > 0")
+    return rows.select("k1", "k2", "len", F.size("words").alias("n"), *masks, F.transform(ordered, lambda x: x["w"]).alias("words")).where(
+        "n > 0").withColumn("needed", _needed(F.col("n")))
 
 
 def _mask(part: int) -> Column:
@@ -295,13 +297,13 @@ def _mask(part: int) -> Column:
 def _sharing(a: str, b: str, similarity: float) -> Column:
     """Can two members share the words they need, and do their lengths allow the edits?"""
     longer, shorter = F.greatest(f"{a}len", f"{b}len"), F.least(f"{a}len", f"{b}len")
-    needed = _needed(F.greatest(f"{a}n", f"{b}n"))
+    needed = F.greatest(f"{a}needed", f"{b}needed")
 
-    def most(x: str, y: str) -> Column:
+    def enough(x: str, y: str) -> Column:  # both ways, so that both sides of a join have the same columns and are shuffled once
         lone = [F.bit_count(F.col(f"{x}m{j}").bitwiseAND(F.bitwise_not(F.col(f"{y}m{j}")))) for j in range(4)]
-        return F.col(f"{x}n") - (lone[0] + lone[1] + lone[2] + lone[3])
+        return F.col(f"{x}n") - (lone[0] + lone[1] + lone[2] + lone[3]) >= needed
 
-    return (longer > SHORT) & (longer - shorter <= _edits(longer, similarity)) & (most(a, b) >= needed) & (most(b, a) >= needed)
+    return (longer > SHORT) & (longer - shorter <= _edits(longer, similarity)) & enough(a, b) & enough(b, a)
 
 
 def word_links(lines: DataFrame, similarity: float, crowded: int = CROWDED) -> DataFrame:
@@ -311,10 +313,10 @@ def word_links(lines: DataFrame, similarity: float, crowded: int = CROWDED) -> D
     Of n words of which t are needed, the n - t + l rarest hold at least l that are shared, for every l up to t.
     """
     rows = worded(lines, similarity)
-    own = ["k1", "k2", "len", "n", *(f"m{j}" for j in range(4))]
+    own = ["k1", "k2", "len", "n", "needed", *(f"m{j}" for j in range(4))]
     near = lambda a, b: _sharing(a, b, similarity)
     met_in = (F.col("a_bucket") == F.col("b_bucket")) & (_order("a_") < _order("b_"))
-    spare = F.col("n") - _needed(F.col("n"))
+    spare = F.col("n") - F.col("needed")
     members = rows.select(*own, F.explode(F.slice("words", F.lit(1), spare + 1)).alias("bucket")).withColumn("path", F.array("bucket"))
     links = None
     for level in range(1, LEVELS + 1):
@@ -327,7 +329,7 @@ def word_links(lines: DataFrame, similarity: float, crowded: int = CROWDED) -> D
             return stored(_verified(links.distinct(), lines, similarity), "links")
         busy = stored(members.join(full, F.col("bucket") == F.col("full"), "left_semi"), "busy")
         # the last level, and lines that need no further word, stay where they are
-        last = busy if level == LEVELS else stored(busy.where(_needed(F.col("n")) <= level), "last")
+        last = busy if level == LEVELS else stored(busy.where(F.col("needed") <= level), "last")
         done = None if last.isEmpty() else _pivoted(last.drop("path"), near, lines, similarity)
         links = stored(_verified(links.distinct(), lines, similarity) if done is None else
                        _verified(links.distinct(), lines, similarity).unionByName(done), "links")
