@@ -20,14 +20,17 @@ from fitgauge.llm.shared import stored
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SYMBOLS = b"#*$%&|<>"
 #: Least spread of each transformed statistic (in its own unit), added to the scatter: a statistic that is constant in most
-#: rows must not make every other value an outlier.
-FLOORS = (0.35, 0.08, 0.3, 0.2, 0.5)
+#: rows must not make every other value an outlier. About the step of one symbol, window or line in a text of some hundred
+#: words, or half of it; words and their lengths have finer steps.
+FLOORS = (0.1, 0.04, 0.3, 0.1, 0.35)
 NAMES = ("log_words", "log_word_length", "symbols", "repeats", "dup_lines")
 P = len(NAMES)
 #: Share of a group's rows that an estimate is fitted on, and rows that a group needs for an estimate of its own.
 SHARE, GROUP_ROWS = 0.75, 200
 #: Chance that a row of a normal group is rejected.
-TAIL = 1e-9
+TAIL = 1e-4
+#: Chance that a normal row takes part in the estimates' last refit.
+REWEIGHTED = 0.975
 #: Distances are compared in bins of 1/64 of a doubling.
 BINS = 64
 MAX_STEPS = 12
@@ -170,10 +173,10 @@ def _distance(centre: str = "centre", precision: str = "precision") -> Column:
     return F.greatest(total, F.lit(0.0))
 
 
-def _estimates(sums: DataFrame) -> DataFrame:
+def _estimates(sums: DataFrame, share: float = SHARE) -> DataFrame:
     """Centre, inverse scatter and log determinant of each (grp, start) from its count, sums and sums of products; ``was``, the
     log determinant before, is handed on."""
-    factor, floors = consistency(), np.diag(np.square(FLOORS))
+    factor, floors = consistency(share), np.diag(np.square(FLOORS))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -244,6 +247,15 @@ def mcd(vectors: DataFrame, share: float = SHARE, max_steps: int = MAX_STEPS) ->
     return now.groupBy("grp").agg(best).select("grp", "best.*")
 
 
+def reweighted(vectors: DataFrame, estimates: DataFrame) -> DataFrame:
+    """The estimates refitted on all rows that are near by them, which are more than the share that they come from."""
+    few = estimates.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    right = estimates.select(F.col("grp").alias("g"), "centre", "precision")
+    near = vectors.join(F.broadcast(right) if few else right, F.col("grp") == F.col("g")).where(_distance() <= limit(1 - REWEIGHTED))
+    sums = near.groupBy("grp").agg(*_summed()).withColumns({"start": F.lit(0), "was": F.lit(float("inf"))})
+    return _estimates(_added(sums, ["grp", "start"]), REWEIGHTED).select("grp", "centre", "precision", "log_det")
+
+
 def assessed(docs: DataFrame, tail: float = TAIL, share: float = SHARE, group_rows: int = GROUP_ROWS) -> DataFrame:
     """A row per row of ``docs`` (``doc_id``, ``text``, ``lang``, ``source``): ``doc_id``, ``text_key``, ``lang``, ``source``,
     the five counts, ``base_failed``, ``grp``, ``distance`` (squared Mahalanobis distance, null where the base rules fail)
@@ -259,7 +271,8 @@ def assessed(docs: DataFrame, tail: float = TAIL, share: float = SHARE, group_ro
     rows = grouped(stored(statistics(docs), "statistics").withColumn("base_failed", base_failed()), group_rows)
     rows = rows.withColumns({k: F.when(~F.col("base_failed"), v) for k, v in transformed().items()})
     rows = stored(rows, "vectors")
-    estimates = mcd(rows.where("not base_failed").select("grp", *NAMES), share)
+    vectors = rows.where("not base_failed").select("grp", *NAMES)
+    estimates = stored(reweighted(vectors, stored(mcd(vectors, share), "estimates")), "estimates")
     few = estimates.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
     estimates = estimates.withColumnRenamed("grp", "g").drop("log_det")
     found = rows.join(F.broadcast(estimates) if few else estimates, F.col("grp") == F.col("g"), "left")

@@ -457,6 +457,25 @@ def test_quality_verdicts(spark):
     assert quality.assessed(df.limit(0)).count() == 0
 
 
+def test_quality_finds_an_outlier_of_each_statistic(spark):
+    """One planted row for each statistic in a clean source, and clean rows beside it."""
+    rng = np.random.default_rng(3)
+
+    def words(n, low=3, high=8):
+        return ["".join(rng.choice(list("abcdefgh"), int(k))) for k in rng.integers(low, high, n)]
+
+    clean = [(i, "\n".join(" ".join(words(10)) for _ in range(int(rng.integers(18, 23)))), "s") for i in range(600)]
+    passage = words(48)
+    planted = [
+        " ".join(words(2600)), " ".join(words(200, 9, 10)), " ".join(w + "#" if i % 5 == 0 else w for i, w in enumerate(words(200))),
+        " ".join(passage + words(120) + passage), "\n".join([*(" ".join(words(10)) for _ in range(18)), *["ab"] * 10]),
+    ]
+    got = {r.doc_id: r for r in quality.assessed(documents(spark, [*clean, *((1000 + i, t, "s") for i, t in enumerate(planted))])).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert not any(got[1000 + i].kept for i in range(len(planted)))
+    assert sum(not got[i].kept for i in range(600)) <= 3
+
+
 def test_quality_estimates_resist_outliers(spark):
     rng = np.random.default_rng(1)
     values = rng.normal(0, 1, (4000, quality.P)) * 3
