@@ -605,6 +605,11 @@ from (select count(distinct database_name) as databases, count(*) as tables from
     ),
     "json_top_keys": f"""select distinct 'props' as column_name, json_key from
   (select unnest(json_keys(props)) as json_key from (select * from events order by {md5_order(["event_id"])} limit 100))""",
+    "sampled_text_profile_whole": "\nunion all ".join(
+        sampled_lengths(t, c).replace(f"(select * from {t} order by {md5_order(UNIQUE[t])} limit 1000)", t)
+        for t, c in (("documents", "text"), ("benchmark", "text"), ("conversations", "text"), ("pages", "html"))
+    ),
+    "json_top_keys_whole": """select distinct 'props' as column_name, unnest(json_keys(props)) as json_key from events""",
     "json_path_types": """select json_key as path, case json_type(props, '$.' || json_key) when 'UBIGINT' then 'INTEGER'
     when 'BIGINT' then 'INTEGER' else json_type(props, '$.' || json_key) end as type, count(*) as n
 from (select props, unnest(json_keys(props)) as json_key from events) group by 1, 2""",

@@ -537,6 +537,17 @@ def json_top_keys(d: Data) -> DataFrame:
     return p.json_top_keys(d.table("events"), "props", ["event_id"])
 
 
+@query
+def sampled_text_profile_whole(d: Data) -> DataFrame:
+    whole = {names: (df, column, None) for names, (df, column, _) in _text_targets(d).items()}
+    return settle(p.sampled_text_profile(whole), ["avg_length"])
+
+
+@query
+def json_top_keys_whole(d: Data) -> DataFrame:
+    return p.json_top_keys(d.table("events"), "props")
+
+
 @query
 def json_path_types(d: Data) -> DataFrame:
     return p.json_path_types(d.table("events"), "props")

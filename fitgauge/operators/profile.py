@@ -419,18 +419,18 @@ def natural_language(
 
 
 def sampled_text_profile(
-    targets: Mapping[tuple[str, str, str], tuple[DataFrame, str, Sequence[str]]], settings: Settings = DEFAULTS
+    targets: Mapping[tuple[str, str, str], tuple[DataFrame, str, Sequence[str] | None]], settings: Settings = DEFAULTS
 ) -> DataFrame:
     """Length statistics of one column per table, on a sample of each; ``text_profile_tables`` limits the tables.
 
-    ``targets`` maps (database, schema, table) to its data, the column and a unique key.
+    ``targets`` maps (database, schema, table) to its data, the column and a unique key; without a key, every row counts.
     """
     listed = sorted(targets.items())[: settings.text_profile_tables]
 
-    def one(names: tuple[str, str, str], df: DataFrame, column: str, key: Sequence[str]) -> DataFrame:
-        sample = sample_rows(
-            df.select(*dict.fromkeys([*key, column])), settings.text_profile_sample, key
-        )
+    def one(names: tuple[str, str, str], df: DataFrame, column: str, key: Sequence[str] | None) -> DataFrame:
+        sample = df.select(*dict.fromkeys([*(key or []), column]))
+        if key is not None:
+            sample = sample_rows(sample, settings.text_profile_sample, key)
         length = F.length(column)
         return sample.agg(
             F.count("*").alias("total_rows_sampled"),
@@ -471,16 +471,26 @@ def _children(entry: str) -> str:
     )
 
 
-def json_path_types(df: DataFrame, column: str, depth: int = 3) -> DataFrame:
-    """Paths and types inside a JSON column, with their counts, down to a fixed depth.
-
-    Every text is parsed once and the column is read once; each level is made from the one above it.
-    """
+def _levels(df: DataFrame, column: str, depth: int) -> DataFrame:
     levels = df.select(F.struct(F.lit("").alias("path"), F.try_parse_json(column).alias("value")).alias("root"))
     levels = levels.select(F.expr(_children("root")).alias("level0"))
     for i in range(1, depth):
         below = f"flatten(transform(level{i - 1}, e -> {_children('e')}))"
         levels = levels.select("*", F.expr(below).alias(f"level{i}"))
+    return levels
+
+
+def json_path_types(df: DataFrame, column: str, depth: int | None = None) -> DataFrame:
+    """Paths and types inside a JSON column, with their counts, down to the deepest level or to ``depth``.
+
+    Every text is parsed once and the column is read once; each level is made from the one above it. Without ``depth``, the
+    column is read before to find a number of levels of which the last is empty in every row.
+    """
+    if depth is None:
+        depth = 3
+        while not _levels(df, column, depth).where(F.size(f"level{depth - 1}") > 0).isEmpty():
+            depth *= 2
+    levels = _levels(df, column, depth)
     every = F.concat(*[F.col(f"level{i}") for i in range(depth)])
     found = levels.select(F.explode(every).alias("entry")).select(
         F.col("entry.path").alias("path"), json_type(F.col("entry.value")).alias("type")

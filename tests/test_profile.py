@@ -85,6 +85,15 @@ def test_json_profile_and_types(spark):
     assert {r.json_key for r in p.json_top_keys(df, "j", ["id"]).collect()} == {"a", "d"}
 
 
+def test_whole_json_and_texts_have_no_limits(spark):
+    rows = [(i, "{}") for i in range(1200)] + [(1200, '{"rare": {"b": {"c": {"d": {"e": {"f": {"g": 1}}}}}}}')]
+    df = spark.createDataFrame(rows, "id int, j string")
+    assert {r.path for r in p.json_path_types(df, "j").collect()} >= {"rare.b.c.d", "rare.b.c.d.e.f.g"}
+    assert [r.json_key for r in p.json_top_keys(df, "j").collect()] == ["rare"]
+    row = p.sampled_text_profile({("a", "b", "c"): (df, "j", None)}).first()
+    assert (row.total_rows_sampled, row.max_length) == (1201, len(rows[-1][1]))
+
+
 def test_natural_language_needs_spaces(spark):
     codes = spark.createDataFrame([(i, "x" * 60) for i in range(20)], "id int, t string")
     prose = spark.createDataFrame([(i, "some words " * 6) for i in range(20)], "id int, t string")
