@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fitgauge.llm import (
-    decontamination, extraction, line_dedup, mixing, quality, sharding, simhash_dedup, substring_dedup, suffix_dedup, warc,
+    conversation_trie, decontamination, extraction, line_dedup, mixing, quality, sharding, simhash_dedup, substring_dedup, suffix_dedup, warc,
 )
 from fitgauge.llm.shared import table, text_bytes
 
@@ -72,6 +72,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", _removed().alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(*conversation_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_line_dedup": op2_line_dedup,
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_conversation_trie": op11_conversation_trie,
 }
 
 ORACLE: dict[str, str] = {
