@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fitgauge.llm import (
-    conversation_trie, decontamination, extraction, line_dedup, mixing, quality, sharding, simhash_dedup, substring_dedup, suffix_dedup, warc,
+    collocations, conversation_trie, decontamination, extraction, line_dedup, mixing, quality, sharding, simhash_dedup, substring_dedup, suffix_dedup, warc,
 )
 from fitgauge.llm.shared import table, text_bytes
 
@@ -76,6 +76,10 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.prefix_trie(*conversation_trie.rebuilt(table(spark, sf_dir, "conversations")))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_line_dedup": op2_line_dedup,
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_conversation_trie": op11_conversation_trie,
+    "op12_collocations": op12_collocations,
 }
 
 ORACLE: dict[str, str] = {
@@ -114,4 +119,36 @@ ORACLE: dict[str, str] = {
         select doc_id, text, lang, source, n_chars, cast(copy as integer) as copy,
             cast('0x' || substr(md5('42:' || coalesce(cast(doc_id as varchar), '') || ':' || copy || ':order'), 1, 15) as bigint) as shuffle_key
         from (select *, unnest(range(1, k + 1)) as copy from counts)""",
+    "op12_collocations": r"""
+        with pieces as (
+            select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+            from documents),
+        words as materialized (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+        totals as (select lang, cast(sum(len(w)) as bigint) as n from words group by lang),
+        counts as materialized (
+            select lang, m, phrase, count(*) as f
+            from (select lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) as phrase
+                from words, (select unnest(range(1, 6)) as m))
+            group by all having count(*) >= 100),
+        inner_phrases as (
+            select lang, array_to_string(w[i:i + k - 1], ' ') as phrase, max(f) as f
+            from (select c.lang, c.f, c.m, string_split(phrase, ' ') as w, k, unnest(range(1, m - k + 2)) as i
+                from (select *, unnest(range(2, m)) as k from counts where m >= 3) c)
+            group by all),
+        kept as (
+            select c.lang, c.phrase, c.m, c.f as a, string_split(c.phrase, ' ') as w
+            from counts c left join inner_phrases i on c.lang = i.lang and c.phrase = i.phrase and i.f >= c.f
+            where c.m >= 2 and i.phrase is null),
+        cuts as (
+            select lang, phrase, a, k, array_to_string(w[1:k], ' ') as head, array_to_string(w[k + 1:], ' ') as tail
+            from (select *, unnest(range(1, m)) as k from kept)),
+        scored as (
+            select u.lang, u.phrase, u.a, u.k, h.f as l, t.f as r, n,
+                cast(cast(1000 as hugeint) * a * n // (cast(h.f as hugeint) * t.f) as bigint) as score
+            from cuts u join counts h on h.lang = u.lang and h.phrase = u.head join counts t on t.lang = u.lang and t.phrase = u.tail
+                join totals s on s.lang = u.lang),
+        lowest as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1)
+        select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+        from lowest qualify rank <= 2000""",
 }
