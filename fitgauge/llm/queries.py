@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fitgauge.llm import (
-    collocations, conversation_trie, decontamination, extraction, line_dedup, mixing, quality, sharding, simhash_dedup, substring_dedup, suffix_dedup, warc,
+    collocations, conversation_trie, decontamination, extraction, line_dedup, mixing, quality, secrets, sharding, simhash_dedup, substring_dedup, suffix_dedup, warc,
 )
 from fitgauge.llm.shared import table, text_bytes
 
@@ -80,6 +80,14 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.spans(table(spark, sf_dir, "documents"))
+    kinds = [r.kind for r in secrets.BASE]
+    base = F.filter("spans", lambda s: s["kind"].isin(kinds))
+    counts = [F.size(F.expr(f"filter(spans, s -> s.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in kinds]
+    return found.select("doc_id", *counts, F.sha2(secrets.joined_spans(base), 256).alias("base_sha256"), secrets.joined_spans(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_line_dedup": op2_line_dedup,
@@ -93,8 +101,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_conversation_trie": op11_conversation_trie,
     "op12_collocations": op12_collocations,
+    "op13_secrets": op13_secrets,
 }
 
+def _secrets_sql() -> str:
+    """Every rule on every text, without an index."""
+    one = """
+            select "row", {n} as rule, '{kind}' as kind, {least} as least, i, length(between[i]) as b, length(whole[i]) as w, length(part[i]) as p
+            from (select *, unnest(range(1, len(whole) + 1)) as i from (
+                select "row", string_split_regex(text, '{pattern}') as between, regexp_extract_all(text, '{pattern}') as whole,
+                    regexp_extract_all(text, '{pattern}', {group}) as part from texts))"""
+    rules = [
+        one.format(n=n, kind=r.kind, least=r.least, pattern=r.expression.replace("'", "''"), group=r.group) for n, r in enumerate(secrets.RULES)]
+    return f"""
+        with texts as materialized (select row_number() over () as "row", doc_id, coalesce(text, '') as text from documents),
+        matches as ({" union all ".join(rules)}),
+        placed as (select *, cast(sum(b + w) over (partition by "row", rule order by i) as bigint) as "end" from matches),
+        spans as (select *, kind || ':' || ("end" - w) || ':' || "end" as span, "end" - w as start from placed where p >= least)
+        select doc_id, count(*) filter (rule = 0) as n_assign, count(*) filter (rule = 1) as n_access, count(*) filter (rule = 2) as n_hex,
+            sha256(coalesce(string_agg(span, ',' order by start, rule) filter (rule < 3), '')) as base_sha256,
+            coalesce(string_agg(span, ',' order by start, rule), '') as spans
+        from texts left join spans using ("row") group by "row", doc_id"""
+
+
 ORACLE: dict[str, str] = {
     "op6_mixing": """
         with recursive sizes as (
@@ -151,4 +180,5 @@ ORACLE: dict[str, str] = {
         lowest as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1)
         select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
         from lowest qualify rank <= 2000""",
+    "op13_secrets": _secrets_sql(),
 }
