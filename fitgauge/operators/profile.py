@@ -1,8 +1,8 @@
 """Column profiles measured on table data.
 
-One table is profiled in one scan, all columns together. Rows are never turned into (column, value)
-pairs: the aggregation is wide, and only its single result row is unpivoted. Every statistic has a
-partial state that merges, so a large table is reduced in two levels: map tasks combine into
+All columns of a table are profiled together, in one scan for what merges and one for the ranks of quantiles. The first one is
+wide: rows are not turned into (column, value) pairs, and only the single result row is unpivoted. Every
+statistic has a partial state that merges, so a table is reduced in two levels: map tasks combine into
 ``profile_fan_in`` states per column, and one small task merges those. Without the first level, one
 reducer would read a distinct-count sketch from every map task.
 """
@@ -12,20 +12,18 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
-from math import isnan
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fitgauge.functions import classify
 from fitgauge.functions.names import TABLE_KEYS
-from fitgauge.operators.quantiles import Bracket, grid, literal, settle, sketch, two_level
+from fitgauge.operators.quantiles import Target, key, narrowed, quantile_map, two_level
 from fitgauge.settings import DEFAULTS, Settings
 from fitgauge.sources.tables import choose_sample_size, sample_order, sample_rows
 
 QUANTILES = (0.5, 0.95)
-PROBABILITIES = ", ".join(map(literal, QUANTILES))
 LENGTH_FIELDS = [f"{x}_length" for x in ("min", "max", "avg", "median", "p95", "stddev")]
 VALUE_FIELDS = [f"{x}_value" for x in ("min", "max", "avg", "median", "p95", "stddev")]
 
@@ -89,38 +87,18 @@ class Measure:
             f"min({v}) as {t}_min",
             f"max({v}) as {t}_max",
             f"sum({v}) as {t}_sum",
-            f"count_if({v} is not null and not isnan({v})) as {t}_real",
             f"count_if({self.is_longer}) as {t}_longer",
             f"count_if({self.is_longer} and contains({as_text(self.name, 'text')}, ' ')) as {t}_spaced",
         ]
 
-    def single(self, bits: int | None, quantiles: bool) -> list[str]:
-        """Everything in one aggregation, for tables that one task can finish."""
-        t, v = self.tag, self.value
-        ranked = f"percentile({v}, array({PROBABILITIES}))" if quantiles else "cast(null as array<double>)"
-        sketch = "cast(null as bigint)" if bits is None else f"hll_sketch_estimate({self.sketch.format(bits=bits)})"
-        return [
-            *self.base(),
-            f"stddev_samp({v}) as {t}_dev",
-            f"{ranked} as {t}_q",
-            f"{sketch} as {t}_distinct",
-        ]
-
-    def partial(self, bits: int | None, quantiles: bool, settings: Settings) -> list[str]:
-        """State of one part of a large table."""
-        t = self.tag
-        seen = [] if bits is None else [f"{self.sketch.format(bits=bits)} as {t}_seen"]
-        rank = [f"{sketch(self.value, settings)} as {t}_rank"] if self.ranks(quantiles) else []
-        return [*self.base(), f"var_pop({self.value}) as {t}_var", *seen, *rank]
-
-    def ranks(self, quantiles: bool) -> bool:
-        """Whether ranks are found with a sketch; text lengths are counted instead."""
-        return quantiles and self.kind == "numeric"
+    def partial(self, bits: int | None) -> list[str]:
+        """State of one part of a table."""
+        seen = [] if bits is None else [f"{self.sketch.format(bits=bits)} as {self.tag}_seen"]
+        return [*self.base(), f"var_pop({self.value}) as {self.tag}_var", *seen]
 
-    def merge(self, bits: int | None, quantiles: bool) -> list[str]:
-        """The whole table's statistics from its parts; for numbers also values at evenly spaced ranks."""
+    def merge(self, bits: int | None) -> list[str]:
+        """The whole table's statistics from its parts."""
         t = self.tag
-        ranks = f"if(sum({t}_real) > 0, {grid(f'kll_merge_agg_double({t}_rank)')}, null) as {t}_grid"
         distinct = "cast(null as bigint)" if bits is None else f"hll_sketch_estimate(hll_union_agg({t}_seen))"
         return [
             f"coalesce(sum({t}_n), 0) as {t}_n",
@@ -131,13 +109,20 @@ class Measure:
             f"sum({t}_spaced) as {t}_spaced",
             f"{_merged_deviation(t)} as {t}_dev",
             f"{distinct} as {t}_distinct",
-            *([ranks] if self.ranks(quantiles) else []),
         ]
 
+    @property
+    def target(self) -> Target:
+        return Target(self.tag, self.value, QUANTILES)
+
+    def quantile(self, q: float) -> str:
+        return f"found['{key(self.tag, q)}']"
+
     def result(self) -> str:
         """The column's row of the result, as a struct."""
         t = self.tag
-        stats = [f"{t}_min", f"{t}_max", f"if({t}_n > 0, {t}_sum / {t}_n, null)", f"{t}_q[0]", f"{t}_q[1]", f"{t}_dev"]
+        ranked = [self.quantile(q) for q in QUANTILES]
+        stats = [f"{t}_min", f"{t}_max", f"if({t}_n > 0, {t}_sum / {t}_n, null)", *ranked, f"{t}_dev"]
         numeric = self.kind == "numeric"
         label = self.name.replace("\\", "\\\\").replace("'", "\\'")
         fields = [
@@ -185,77 +170,40 @@ def profile_table(
 ) -> DataFrame:
     """One row of statistics per column; distinct counts and quantiles can be left out.
 
-    Up to ``exact_quantile_cells`` (rows times columns) everything comes from one scan. Larger tables take
-    the two-level reduction and the bracketed quantiles, a few scans in all. Pass ``rows`` when the count
-    is known; otherwise it is read from the file footers.
+    One scan reduces all columns in two levels, another counts the ranks for the quantiles; very wide tables take these two for each
+    ``columns_per_scan`` columns. Numbers of tables with over ``rank_values`` rows are narrowed before, a few scans in all,
+    which run when this is called. Pass ``rows`` when the count is known; otherwise it is read from the file footers.
     """
     names = list(columns or df.columns)
+    if quantiles and rows is None:
+        rows = df.count()
+    size = settings.columns_per_scan
+    parts = [_profiled(df, names[i : i + size], settings, distinct, quantiles, rows) for i in range(0, len(names), size)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _profiled(
+    df: DataFrame, names: Sequence[str], settings: Settings, distinct: bool, quantiles: bool, rows: int | None
+) -> DataFrame:
     types = {f.name: f.dataType for f in df.schema.fields}
     measures = [Measure(n, column_kind(types[n]), f"c{i}", settings.content_min_length) for i, n in enumerate(names)]
     df = df.select(*[quoted(n) for n in names])
     bits = settings.sketch_bits if distinct else None
-    cells = (df.count() if rows is None else rows) * len(measures)
-    if cells > settings.exact_quantile_cells:
-        wide = _large(df, measures, bits, quantiles, settings)
-    else:
-        exprs = [x for m in measures for x in m.single(bits, quantiles)]
-        wide = df.agg(F.count("*").alias("total_rows"), *map(F.expr, exprs))
+    partial = ["count(*) as part_rows", *[x for m in measures for x in m.partial(bits)]]
+    merge = ["coalesce(sum(part_rows), 0) as total_rows", *[x for m in measures for x in m.merge(bits)]]
+    wide = two_level(df, partial, merge, settings)
+    found = F.lit(None).cast("map<string,double>")
+    if quantiles:
+        targets = [m.target for m in measures]
+        if rows > settings.rank_values:
+            # texts have few different lengths, so these are counted as they are
+            numbers = narrowed(df, [m.target for m in measures if m.kind == "numeric"], settings)
+            targets = [m.target for m in measures if m.kind != "numeric"] + numbers
+        found = quantile_map(df, targets).scalar()
+    wide = wide.withColumn("found", found)
     return wide.selectExpr(f"inline(array({', '.join(m.result() for m in measures)}))")
 
 
-def _large(
-    df: DataFrame, measures: list[Measure], bits: int | None, quantiles: bool, settings: Settings
-) -> DataFrame:
-    """The wide row of a large table. Its statistics, a few numbers per column, come to the driver
-    when quantiles are wanted, because the scans that find those depend on them."""
-    partial = ["count(*) as part_rows", *[x for m in measures for x in m.partial(bits, quantiles, settings)]]
-    merge = ["coalesce(sum(part_rows), 0) as total_rows", *[x for m in measures for x in m.merge(bits, quantiles)]]
-    merged = two_level(df, partial, merge, settings)
-    if not quantiles:
-        return merged.select("*", *[F.expr(f"cast(null as array<double>) as {m.tag}_q") for m in measures])
-    row = merged.first()
-    found = _quantiles(df, measures, row, settings)
-    schema = T.StructType(
-        merged.schema.fields + [T.StructField(f"{m.tag}_q", T.ArrayType(T.DoubleType())) for m in measures]
-    )
-    return df.sparkSession.createDataFrame([(*row, *[found[m.tag] for m in measures])], schema)
-
-
-def _quantiles(df: DataFrame, measures: list[Measure], row: Row, settings: Settings) -> dict[str, list]:
-    """Exact quantiles of a large table's columns, given its merged statistics."""
-    found, brackets, lengths = {}, {}, []
-    for m in measures:
-        n, low, high = row[f"{m.tag}_n"], row[f"{m.tag}_min"], row[f"{m.tag}_max"]
-        if low == high or isnan(low):  # NaN is the largest number: a least value of NaN means nothing else
-            found[m.tag] = [low] * len(QUANTILES)
-        elif m.kind != "numeric":
-            lengths.append(m)
-        else:
-            for q in QUANTILES:
-                brackets[m.tag, q] = Bracket(m.value, q * (n - 1), n)
-                brackets[m.tag, q].aim(row[f"{m.tag}_grid"], settings.quantile_margin)
-    for (tag, _), value in zip(brackets, settle(df, list(brackets.values()), settings)):
-        found.setdefault(tag, []).append(value)
-    return found | _length_quantiles(df, lengths)
-
-
-def _length_quantiles(df: DataFrame, measures: list[Measure]) -> dict[str, list[float]]:
-    """Quantiles of text lengths, from counts per length. However many rows a table has, a column has few
-    different lengths, so one more scan of each column is enough."""
-    if not measures:
-        return {}
-
-    def histogram(m: Measure) -> DataFrame:
-        counts = df.select(F.expr(m.value).alias("length")).groupBy("length").count()
-        return counts.select(F.lit(m.tag).alias("tag"), "length", "count")
-
-    counted = reduce(DataFrame.unionByName, [histogram(m) for m in measures])
-    picked = counted.groupBy("tag").agg(
-        F.expr(f"percentile(length, array({PROBABILITIES}), count)").alias("values")
-    )
-    return {r["tag"]: r["values"] for r in picked.collect()}
-
-
 def numeric_profile(
     df: DataFrame, columns: Sequence[str], settings: Settings = DEFAULTS, *, rows: int | None = None
 ) -> DataFrame:
@@ -272,21 +220,31 @@ def text_profile(
     )
 
 
-def _distinct_count(df: DataFrame, name: str) -> DataFrame:
-    """Exact distinct count of one column, from a scan of that column alone.
+def _distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row with ``counts``, the exact distinct count of each column by its place; columns without values have none.
 
-    Texts are told apart by their SHA-256, so the shuffle moves 32 bytes per distinct value, not the text.
+    One scan: each row gives a pair of place and 128-bit hash for every column, repeated pairs go where they are read, and what is left
+    is shuffled once, 20 bytes for a distinct value, whatever its length.
     """
-    kind = column_kind(df.schema[name].dataType)
-    long = kind in ("text", "semi_structured")
-    value = f"unhex(sha2({as_text(name, kind)}, 256))" if long else quoted(name)
-    return df.select(F.expr(value).alias("v")).agg(F.count_distinct("v").alias("distinct_count"))
+    entries = []
+    for i, name in enumerate(columns):
+        value = as_text(name, "semi_structured") if column_kind(df.schema[name].dataType) == "semi_structured" else quoted(name)
+        entries.append(f"if({quoted(name)} is null, null, struct({i} as place, xxhash64({value}) as a, xxhash64({i}, 'other seed', {value}) as b))")
+    pairs = df.select(F.expr(f"explode(array({', '.join(entries)}))").alias("pair")).where("pair is not null")
+    counts = pairs.select("pair.*").distinct().groupBy("place").agg(F.count("*").alias("n"))
+    return counts.agg(F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias("counts"))
 
 
-def exact_distinct(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Exact distinct counts, one scan per column: several in one scan would copy each row."""
-    parts = [_distinct_count(df, n).select(F.lit(n).alias("column_name"), "distinct_count") for n in columns]
-    return reduce(DataFrame.unionByName, parts)
+def exact_distinct(df: DataFrame, columns: Sequence[str], settings: Settings = DEFAULTS) -> DataFrame:
+    """Exact distinct counts, from one scan for each ``columns_per_scan`` columns."""
+
+    def some(names: Sequence[str]) -> DataFrame:
+        rows = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(n).alias("column_name")) for i, n in enumerate(names)))
+        listed = _distinct_counts(df, names).select("counts", F.inline(rows))
+        return listed.select("column_name", F.coalesce(F.col("counts")[F.col("place")], F.lit(0)).alias("distinct_count"))
+
+    size = settings.columns_per_scan
+    return reduce(DataFrame.unionByName, [some(columns[i : i + size]) for i in range(0, len(columns), size)])
 
 
 def sparsity_cardinality(
@@ -299,11 +257,10 @@ def sparsity_cardinality(
 ) -> DataFrame:
     """Null share and distinct share with their classes; lengths for text only."""
     base = profile_table(df, columns, settings, distinct=not exact, quantiles=False, rows=rows)
-    counted = F.col("approx_distinct")
     if exact:
-        found = [F.when(F.col("column_name") == n, _distinct_count(df, n).scalar()) for n in columns]
-        counted = F.coalesce(*found)
-    base = base.withColumn("distinct_count", counted)
+        base = base.join(exact_distinct(df, list(columns), settings), "column_name")
+    else:
+        base = base.withColumn("distinct_count", F.col("approx_distinct"))
     return base.selectExpr(
         "*",
         "if(total_rows > 0, (total_rows - non_null_count) / total_rows * 100, 100D) as nulls",

@@ -1,24 +1,31 @@
-"""Exact interpolated quantiles of columns too large for one in-memory value map.
-
-Spark's ``percentile`` keeps every distinct value in one task, and sketches are not exact. Here a sketch
-brackets each wanted rank, the next scan counts the rows below and inside the bracket, which proves it,
-and sketches its inside for a narrower one. Once few enough rows remain, ``percentile`` finishes inside
-the bracket. Only counts and bracket ends come to the driver; no row is shuffled, dropped or sampled.
+"""Exact interpolated quantiles of many columns, found by counting ranks.
+
+Every row gives one pair (target, value) for each column; equal pairs are counted where they are read and summed in one shuffle, and
+running sums over the sorted values of a column show at which value a rank lies. That last step sorts the distinct values of a column in
+one task, so a column that may have more than ``rank_values`` of them is narrowed before: rows are counted in bins between its
+ends, the bin that holds the rank becomes the new range, and so on until few rows or one value are left. A bin is a function of the
+value that never decreases, hence counts in bins are ranks, whatever the distribution is; the ends of a range lie in
+different bins, hence every round narrows it. Only counts and ends come to the driver. No setting changes a result.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fitgauge.settings import DEFAULTS, Settings
 
-MAX_ROUNDS = 8
-GRID = 200
+#: Bins of one round; those of values that are no finite numbers lie behind all others.
+BINS = 4096
+OUTSIDE = 8 * BINS
+#: Quarters of octaves between the smallest and the largest share of a range that a double can hold.
+OCTAVES = 1100
+#: Of the rounds of a range, every third counts by orders of magnitude, so that long-tailed values end as soon as even ones.
+LOG_ROUND = 3
 
 
 def literal(value: float) -> str:
@@ -36,87 +43,156 @@ def two_level(df: DataFrame, partial: Sequence[str], merge: Sequence[str], setti
     return df.groupBy(part).agg(*map(F.expr, partial)).agg(*map(F.expr, merge))
 
 
-def sketch(value: str, settings: Settings) -> str:
-    return f"kll_sketch_agg_double({value}, {settings.quantile_sketch})"
-
-
-def grid(merged: str, steps: int = GRID) -> str:
-    """Values at evenly spaced ranks of a sketch."""
-    ranks = ", ".join(f"{i / steps!r}D" for i in range(steps + 1))
-    return f"kll_sketch_get_quantile_double({merged}, array({ranks}))"
+@dataclass(frozen=True)
+class Target:
+    """A column's values (``value`` is SQL), the quantiles wanted of them, and what is known of those.
 
-
-@dataclass
-class Bracket:
-    """A wanted position among the sorted values, and a range proven to hold it."""
+    ``low`` to ``high`` is the range that holds the ranks. ``below`` rows lie under it, ``inside`` in it, ``total`` in all; rows outside
+    are left out once they are counted. ``settled`` are the values at the ranks below and above a quantile, when they are known.
+    """
 
     column: str
-    position: float
-    inside: int
-    below: int = 0
+    value: str
+    quantiles: tuple[float, ...]
     low: float | None = None
     high: float | None = None
-    guess: tuple[float, float] | None = None
-
-    @property
-    def share(self) -> float:
-        """The position as a rank inside the proven range."""
-        return (self.position - self.below) / (self.inside - 1) if self.inside > 1 else 0.0
+    below: int = 0
+    inside: int | None = None
+    total: int | None = None
+    counted: bool = False
+    settled: tuple[float, float] | None = None
 
     @property
-    def guessed(self) -> str:
-        low, high = map(literal, self.guess)
-        return f"{self.column} between {low} and {high}"
+    def place(self) -> float:
+        return self.quantiles[0] * (self.total - 1)
 
     @property
-    def final(self) -> str:
-        """Interpolated value at the position, from the rows inside the range."""
-        inner = self.column
-        if self.low is not None:
-            inner = f"if({inner} between {literal(self.low)} and {literal(self.high)}, {inner}, null)"
-        return f"percentile({inner}, {literal(self.share)})"
-
-    def aim(self, values: Sequence[float], margin: float) -> None:
-        """Guesses a narrower range from the grid of a sketch of the proven range."""
-        steps = len(values) - 1
-        low = max(0, math.floor((self.share - margin) * steps))
-        high = min(steps, math.ceil((self.share + margin) * steps))
-        self.guess = (values[low], values[high])
-
-    def learn(self, below: int, inside: int, values: Sequence[float] | None, margin: float) -> None:
-        """Takes the guess when the counts prove it, and aims again while that still helps."""
-        holds = below <= self.position <= below + inside - 1
-        # Not much narrower means many equal values, which ``percentile`` keeps as one entry.
-        shrank = inside <= self.inside / 2
-        if holds:
-            self.low, self.high = self.guess
-            self.below, self.inside = below, inside
-        self.guess = None
-        if holds and shrank and values is not None:
-            self.aim(values, margin)
-
-
-def _narrow(df: DataFrame, brackets: Sequence[Bracket], settings: Settings, *, again: bool) -> None:
-    """One scan: proves each guess and, to go on ``again``, sketches its inside for the next."""
-    partial, merge = [], []
-    for i, b in enumerate(brackets):
-        partial += [f"count_if({b.column} < {literal(b.guess[0])}) as b{i}", f"count_if({b.guessed}) as n{i}"]
-        inner = "null"
-        if again:
-            partial.append(f"{sketch(f'if({b.guessed}, {b.column}, null)', settings)} as s{i}")
-            inner = f"if(sum(n{i}) > 0, {grid(f'kll_merge_agg_double(s{i})')}, null)"
-        merge.append(f"struct(sum(b{i}), sum(n{i}), {inner}) as r{i}")
-    for b, (below, inside, values) in zip(brackets, two_level(df, partial, merge, settings).first()):
-        b.learn(below, inside, values, settings.quantile_margin)
-
-
-def settle(df: DataFrame, brackets: Sequence[Bracket], settings: Settings = DEFAULTS) -> list[float]:
-    """The exact value of every bracket."""
-    allowed = settings.exact_quantile_cells / max(1, len(brackets))
-    width = 2 * settings.quantile_margin + 2 / GRID
-    for _ in range(MAX_ROUNDS):
-        wide = [b for b in brackets if b.guess is not None and b.inside > allowed]
-        if not wide:
-            break
-        _narrow(df, wide, settings, again=max(b.inside for b in wide) * width > allowed)
-    return list(df.agg(*[F.expr(b.final) for b in brackets]).first()) if brackets else []
+    def in_range(self) -> str:
+        """The value, null outside of the range."""
+        if not self.counted:
+            return self.value
+        return f"if({self.value} between {literal(self.low)} and {literal(self.high)}, {self.value}, null)"
+
+    def bin(self, turn: int) -> str:
+        """The bin of a value that is not null. Values that are no finite numbers have bins of their own at the ends."""
+        share = f"(({self.value}) * 0.5D - {literal(self.low * 0.5)}) / {literal(self.high * 0.5 - self.low * 0.5)}"
+        inner = f"cast(floor({share} * {BINS}) as int)"
+        if turn % LOG_ROUND == LOG_ROUND - 1:
+            inner = f"if({share} <= 0D, 0, 1 + cast(floor(({OCTAVES} + log2({share})) * 4) as int))"
+        return (
+            f"case when isnan({self.value}) then {OUTSIDE + 1} when {self.value} = double('infinity') then {OUTSIDE} "
+            f"when {self.value} = double('-infinity') then -1 else {inner} end"
+        )
+
+    def result(self) -> float:
+        """The interpolated value of a settled quantile."""
+        low, high = self.settled
+        share = self.place - math.floor(self.place)
+        return low if low == high or math.isnan(low) or not share else (1 - share) * low + share * high
+
+
+def _pairs(df: DataFrame, targets: Sequence[Target], entry: Sequence[str]) -> DataFrame:
+    """One row of ``t`` (the target's place) and the fields of ``entry`` for each row and target whose value is in its range."""
+    entries = [f"if({x.in_range} is null, null, struct({i} as t, {e}))" for i, (x, e) in enumerate(zip(targets, entry))]
+    return df.select(F.expr(f"explode(array({', '.join(entries)}))").alias("pair")).where("pair is not null").select("pair.*")
+
+
+def _running(counts: DataFrame, by: str) -> DataFrame:
+    """Adds ``upto``, the rows of a target up to and with each group, and ``among``, all its rows."""
+    target = Window.partitionBy("t")
+    running = target.orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return counts.withColumns({"upto": F.sum("n").over(running), "among": F.sum("n").over(target)})
+
+
+def _of(values: Sequence, kind: str) -> Column:
+    """A target's own value."""
+    return F.array(*(F.lit(v).cast(kind) for v in values))[F.col("t")]
+
+
+def _narrow(df: DataFrame, targets: Sequence[Target], turn: int) -> list[Target]:
+    """One scan that counts each target's range in bins and keeps the bins that hold the ranks below and above its quantile."""
+    pairs = _pairs(df, targets, [f"{x.bin(turn)} as bin, {x.value} as v" for x in targets])
+    counts = _running(pairs.groupBy("t", "bin").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")), "bin")
+    first, last = (_of([f(x.place) - x.below for x in targets], "bigint") for f in (math.floor, math.ceil))
+    before = F.col("upto") - F.col("n")
+    held = counts.where((F.col("upto") > first) & (before <= last))
+    # two neighbouring ranks lie in one bin, or in two with nothing in between
+    rows = held.groupBy("t").agg(
+        F.count("*").alias("bins"), F.sum("n").alias("n"), F.min(before).alias("before"), F.min(F.struct("bin", "low", "high")).alias("lower"),
+        F.max(F.struct("bin", "low", "high")).alias("upper"))
+    out = list(targets)
+    for r in rows.collect():
+        x = replace(targets[r.t], low=r.lower.low, high=r.upper.high, below=targets[r.t].below + r.before, inside=r.n, counted=True)
+        if r.bins == 2:
+            x = replace(x, settled=(r.lower.high, r.upper.low))
+        elif x.low == x.high or math.isnan(x.low):
+            x = replace(x, settled=(x.low, x.low))
+        out[r.t] = x
+    return out
+
+
+def narrowed(df: DataFrame, targets: Sequence[Target], settings: Settings = DEFAULTS) -> list[Target]:
+    """The targets with ranges of at most ``rank_values`` rows, or settled; each quantile of a narrowed column is a target of its own.
+
+    One scan finds the ends of all columns, each further one counts in bins: a few, whatever the number of rows.
+    """
+    if not targets:
+        return []
+    finite = [f"if(abs({x.value}) < double('infinity'), {x.value}, null)" for x in targets]
+    ends = [e for t, x in enumerate(targets) for e in (f"count({x.value}) as n{t}", f"min({finite[t]}) as low{t}", f"max({finite[t]}) as high{t}")]
+    merge = [e for t in range(len(targets)) for e in (f"sum(n{t}) as n{t}", f"min(low{t}) as low{t}", f"max(high{t}) as high{t}")]
+    whole = two_level(df, ends, merge, settings).first()
+    done, wide = [], []
+    for t, x in enumerate(targets):
+        n, low, high = whole[f"n{t}"], whole[f"low{t}"], whole[f"high{t}"]
+        if not n or n <= settings.rank_values or low is None or not _splits(low, high):
+            done.append(x)  # few rows, or few values
+        else:
+            wide += [replace(x, quantiles=(q,), low=low, high=high, total=n) for q in x.quantiles]
+    turn = 0
+    while wide:
+        found = _narrow(df, wide, turn)
+        turn += 1
+        wide = [x for x in found if x.settled is None and x.inside > settings.rank_values and _splits(x.low, x.high)]
+        done += [x for x in found if x not in wide]
+    return done
+
+
+def _splits(low: float, high: float) -> bool:
+    """Whether a range can be divided: its halves differ. Other ranges hold two neighbouring doubles at most."""
+    return high * 0.5 - low * 0.5 > 0
+
+
+def key(column: str, quantile: float) -> str:
+    return f"{column}@{quantile!r}"
+
+
+def quantile_map(df: DataFrame, targets: Sequence[Target]) -> DataFrame:
+    """One row with ``found``, a map from ``key(column, quantile)`` to the exact value; columns without values have no entry.
+
+    One scan of the columns that are not settled, and one shuffle of the distinct values in their ranges.
+    """
+    known = {key(x.column, x.quantiles[0]): x.result() for x in targets if x.settled is not None}
+    fixed = ", ".join(f"struct('{_escaped(k)}' as key, {literal(v)} as value)" for k, v in known.items())
+    fixed = f"array({fixed})" if known else "cast(array() as array<struct<key:string,value:double>>)"
+    targets = [x for x in targets if x.settled is None]
+    if not targets:
+        return df.sparkSession.range(1).select(F.expr(f"map_from_entries({fixed})").alias("found"))
+    counts = _pairs(df, targets, [f"{x.value} as v" for x in targets]).groupBy("t", "v").agg(F.count("*").alias("n"))
+    counts = _running(counts, "v").withColumns({
+        "total": F.coalesce(_of([x.total for x in targets], "bigint"), F.col("among")), "below": _of([x.below for x in targets], "bigint")})
+    entries = []
+    for q in sorted({q for x in targets for q in x.quantiles}):
+        place = F.lit(q) * (F.col("total") - 1)
+        at = [F.min(F.when((F.col("upto") > r) & (F.col("upto") - F.col("n") <= r), F.col("v"))) for r in (F.floor(place) - F.col("below"), F.ceil(place) - F.col("below"))]
+        share = F.max(place - F.floor(place))
+        value = F.when((at[0] == at[1]) | (share == 0), at[0]).otherwise((1 - share) * at[0] + share * at[1])
+        name = F.concat(_of([x.column for x in targets], "string"), F.lit(key("", q)))
+        entries.append(F.when(_of([q in x.quantiles for x in targets], "boolean"), F.struct(name.alias("key"), value.alias("value"))))
+    # one row for each target, then one in all
+    found = counts.groupBy("t").agg(F.array_compact(F.array(*entries)).alias("entries"))
+    return found.agg(F.map_from_entries(F.concat(F.flatten(F.collect_list("entries")), F.expr(fixed))).alias("found"))
+
+
+def _escaped(text: str) -> str:
+    return text.replace("\\", "\\\\").replace("'", "\\'")

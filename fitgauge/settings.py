@@ -103,9 +103,8 @@ class Settings:
     text_profile_sample: int = 1000
     estimated_profiles: int | None = None
     sketch_bits: int = 12
-    exact_quantile_cells: int = 8_000_000
-    quantile_sketch: int = 1000
-    quantile_margin: float = 0.01
+    columns_per_scan: int = 100
+    rank_values: int = 4_000_000
     profile_fan_in: int = 256
     plain_sample_rows: int = 1_000_000
     tables_per_job: int = 32

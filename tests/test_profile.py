@@ -11,7 +11,7 @@ from fitgauge.operators import profile as p
 from fitgauge.settings import DEFAULTS
 from fitgauge.sources.tables import sample_rows
 
-TINY = replace(DEFAULTS, exact_quantile_cells=200, quantile_sketch=64, quantile_margin=0.05, profile_fan_in=3)
+TINY = replace(DEFAULTS, rank_values=20, columns_per_scan=2, profile_fan_in=3)
 
 
 @pytest.fixture(scope="module")
@@ -49,9 +49,9 @@ def test_numbers_match_numpy(skewed, settings):
     assert row.null_percentage == round((1 - len(values) / 20000) * 100, 2)
 
 
-@pytest.mark.parametrize("cells", [10**9, 0])
-def test_empty_and_null_columns(spark, cells):
-    settings = replace(DEFAULTS, exact_quantile_cells=cells)
+@pytest.mark.parametrize("values", [10**9, 0])
+def test_empty_and_null_columns(spark, values):
+    settings = replace(DEFAULTS, rank_values=values)
     empty = spark.createDataFrame([], "t string, n double")
     for row in p.profile_table(empty, settings=settings, rows=1).collect():
         assert (row.total_rows, row.non_null_count, row.null_percentage) == (0, 0, 100.0)
@@ -113,9 +113,16 @@ def test_sample_is_the_same_with_and_without_the_bound(spark):
     assert sample_rows(one_key, 300, ["id"], replace(DEFAULTS, plain_sample_rows=100)).count() == 300
 
 
-def test_small_tables_are_read_once(data):
-    plan = p.profile_table(data.table("lineitem"))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("FileScan") == 1
+def test_all_columns_are_read_together(data):
+    """Once for what merges, once more for ranks; distinct counts of all columns once."""
+
+    def scans(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("parquet")
+
+    table = data.table("lineitem")
+    assert scans(p.profile_table(table, quantiles=False)) == 1
+    assert scans(p.profile_table(table)) == 2
+    assert scans(p.exact_distinct(table, table.columns)) == 1
 
 
 def test_only_named_columns_are_read(data):
@@ -123,6 +130,25 @@ def test_only_named_columns_are_read(data):
     assert "ReadSchema: struct<lang:string>" in plan
 
 
+@pytest.mark.parametrize("scale", ["even", "tail", "steps", "odd"])
+def test_narrowed_quantiles_are_exact(spark, scale):
+    """Ranges are narrowed down to 3 rows, for values spread evenly, over 600 orders of magnitude, in steps, and among numbers that are none."""
+    rng = np.random.default_rng(7)
+    n = 4000
+    values = {
+        "even": rng.normal(size=n), "tail": rng.choice([-1, 1], n) * 10.0 ** rng.uniform(-300, 300, n), "steps": rng.integers(0, 9, n).astype(float),
+        "odd": np.r_[rng.normal(size=n), [np.nan] * 60, [np.inf] * 150, [-np.inf] * 2200, [5e-324] * 40, [1e308, -1e308]],
+    }[scale]
+    df = spark.createDataFrame([(float(v),) for v in values], "x double").repartition(5)
+    for rank_values in (3, 500, 10**6):
+        row = p.numeric_profile(df, ["x"], replace(DEFAULTS, rank_values=rank_values)).first()
+        order = np.sort(values)  # NaN is the largest
+        for q, got in ((0.5, row.median_value), (0.95, row.p95_value)):
+            place = q * (len(order) - 1)
+            low, high = order[int(np.floor(place))], order[int(np.ceil(place))]
+            assert close(got, low if low == high else (1 - place % 1) * low + place % 1 * high), (rank_values, q)
+
+
 def test_parts_can_be_left_out(skewed):
     full = {r.column_name: r.asDict() for r in p.profile_table(skewed).collect()}
     for settings in (DEFAULTS, TINY):
