@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from datetime import datetime
 from functools import reduce
-from itertools import islice
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -14,11 +13,11 @@ from pyspark.sql import functions as F
 
 from fitgauge.functions.names import COLUMN_KEYS, TABLE_KEYS
 from fitgauge.functions.times import instant
+from fitgauge.operators.in_flight import in_flight
 from fitgauge.operators.profile import profile_table
 from fitgauge.settings import DEFAULTS, Settings
 from fitgauge.sources.catalog import latest_version
-from fitgauge.sources.store import PROFILE_SCHEMA, load_profile_cache, save
-from fitgauge.sources.tables import row_counts
+from fitgauge.sources.store import PROFILE_SCHEMA, load_profile_cache, save_part
 
 TableKey = tuple[str, str, str]
 Resolve = Callable[[TableKey], DataFrame]
@@ -101,18 +100,33 @@ def cause(error: Exception) -> str:
     return str(error)
 
 
-def readable_counts(tables: Mapping[TableKey, DataFrame], unreadable: Callable[[TableKey, Exception], None]) -> dict[TableKey, int]:
-    """Rows of each table; when the common job fails, of each table alone, and those that fail are reported."""
+def table_profile(
+    spark: SparkSession,
+    key: TableKey,
+    columns: Sequence[str],
+    resolve: Resolve,
+    analysis: str,
+    at: datetime,
+    settings: Settings = DEFAULTS,
+) -> DataFrame:
+    """Profiles of one table's columns; error rows for a table or column that is gone and for a table that can't be read."""
+
+    def failed(names: Iterable[str], message: str) -> DataFrame:
+        return error_rows(spark, key, names, message, analysis, at)
+
+    try:
+        df = resolve(key)
+    except PySparkException as error:
+        return failed(columns, f"table not found: {error.getCondition()}")
+    present = [c for c in columns if c in df.columns]
+    rows = failed([c for c in columns if c not in df.columns], "column not found")
+    if not present:
+        return rows
     try:
-        return row_counts(tables)
-    except JOB_FAILURES:
-        counts = {}
-        for key, df in tables.items():
-            try:
-                counts |= row_counts({key: df})
-            except JOB_FAILURES as error:
-                unreadable(key, error)
-        return counts
+        profiled = profile_table(df, present, settings, rows=df.count())
+    except JOB_FAILURES as error:
+        return failed(present, f"table not readable: {cause(error)}").unionByName(rows)
+    return _stored_form(profiled, key, analysis, at).unionByName(rows)
 
 
 def profile_tables(
@@ -123,35 +137,12 @@ def profile_tables(
     at: datetime,
     settings: Settings = DEFAULTS,
 ) -> DataFrame:
-    """Profiles of a few tables as one DataFrame, whose scans run side by side in one job.
-
-    A table or column that is gone gives error rows.
-    """
+    """Profiles of a few tables as one DataFrame, whose scans run side by side in one job."""
     names: dict[TableKey, list[str]] = {}
     for key, columns in wanted:
         names.setdefault(key, []).extend(columns)
-    found, parts = {}, [spark.createDataFrame([], PROFILE_SCHEMA)]
-
-    def failed(key: TableKey, columns: list[str], message: str) -> None:
-        parts.append(error_rows(spark, key, columns, message, analysis, at))
-
-    for key, columns in names.items():
-        try:
-            found[key] = resolve(key)
-        except PySparkException as error:
-            failed(key, columns, f"table not found: {error.getCondition()}")
-    counts = readable_counts(found, lambda key, error: failed(key, names[key], f"table not readable: {cause(error)}"))
-    for key, df in found.items():
-        if key not in counts:
-            continue
-        present = [c for c in names[key] if c in df.columns]
-        gone = [c for c in names[key] if c not in df.columns]
-        if present:
-            profiled = profile_table(df, present, settings, rows=counts[key])
-            parts.append(_stored_form(profiled, key, analysis, at))
-        if gone:
-            failed(key, gone, "column not found")
-    return reduce(DataFrame.unionByName, parts)
+    parts = [table_profile(spark, key, columns, resolve, analysis, at, settings) for key, columns in names.items()]
+    return reduce(DataFrame.unionByName, parts, spark.createDataFrame([], PROFILE_SCHEMA))
 
 
 def tables_wanted(missing: DataFrame) -> Iterator[tuple[TableKey, list[str]]]:
@@ -174,8 +165,7 @@ def incremental_profile(
 ) -> DataFrame:
     """Profiles what the store lacks, adds it to the store, and returns every wanted profile.
 
-    Tables are profiled ``tables_per_job`` at a time and each batch is stored before the next starts, so
-    a run that stops goes on where it stopped.
+    Each table is stored as soon as it is done, so a run that stops goes on where it stopped.
     """
     missing = cache_miss(wanted, load_profile_cache(spark, store, force=force))
     store_profiles(spark, missing, resolve, store, at, analysis=analysis, settings=settings)
@@ -193,29 +183,14 @@ def store_profiles(
     analysis: str = "full_scan",
     settings: Settings = DEFAULTS,
 ) -> None:
-    """Adds a row for every wanted column to the store, batch by batch; broken tables get error rows."""
-    todo = tables_wanted(wanted)
-    while batch := list(islice(todo, settings.tables_per_job)):
-        try:
-            save(profile_tables(spark, batch, resolve, analysis, at, settings), store, run_mode="append")
-        except JOB_FAILURES:
-            _one_by_one(spark, batch, resolve, analysis, at, store, settings)
+    """Adds a row for every wanted column to the store. ``jobs_in_flight`` tables are read at a time, each by a job and a commit of its own:
+    a slow table delays no other, and one that can't be read gets error rows without a second look at the others."""
 
-
-def _one_by_one(
-    spark: SparkSession,
-    batch: list[tuple[TableKey, list[str]]],
-    resolve: Resolve,
-    analysis: str,
-    at: datetime,
-    store: str,
-    settings: Settings,
-) -> None:
-    """After a failed batch: each table alone, so that one broken table does not hide the others."""
-    for key, columns in batch:
+    def one(item: tuple[TableKey, list[str]]) -> None:
+        key, columns = item
         try:
-            found = profile_tables(spark, [(key, columns)], resolve, analysis, at, settings)
-            save(found, store, run_mode="append")
+            save_part(table_profile(spark, key, columns, resolve, analysis, at, settings), store)
         except JOB_FAILURES as error:
-            failed = error_rows(spark, key, columns, cause(error), analysis, at)
-            save(failed, store, run_mode="append")
+            save_part(error_rows(spark, key, columns, cause(error), analysis, at), store)
+
+    in_flight(spark, tables_wanted(wanted), one, settings.jobs_in_flight, "fitgauge-profiles")

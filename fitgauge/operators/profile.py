@@ -107,7 +107,7 @@ class Measure:
             f"sum({t}_sum) as {t}_sum",
             f"sum({t}_longer) as {t}_longer",
             f"sum({t}_spaced) as {t}_spaced",
-            f"{_merged_deviation(t)} as {t}_dev",
+            f"{merged_deviation(t)} as {t}_dev",
             f"{distinct} as {t}_distinct",
         ]
 
@@ -143,7 +143,7 @@ class Measure:
         return f"struct({', '.join(fields)})"
 
 
-def _merged_deviation(tag: str) -> str:
+def merged_deviation(tag: str) -> str:
     """Sample deviation of all parts, from each part's count, sum and variance."""
     n = f"{tag}_n"
     parts = (

@@ -105,9 +105,11 @@ class Settings:
     sketch_bits: int = 12
     columns_per_scan: int = 100
     rank_values: int = 4_000_000
+    quantile_sketch: int = 1000
     profile_fan_in: int = 256
     plain_sample_rows: int = 1_000_000
-    tables_per_job: int = 32
+    jobs_in_flight: int = 8
+    files_per_job: int = 1000
 
     # classifiers
     sparsity_cuts: tuple[float, float, float] = (10.0, 30.0, 70.0)

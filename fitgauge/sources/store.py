@@ -71,10 +71,12 @@ def until_end(spark: SparkSession, path: str) -> str:
     return path
 
 
-def _read_or_empty(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet") -> DataFrame:
-    """Stored rows; none when nothing was stored yet."""
+def read_or_empty(
+    spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet", *, parts: bool = False
+) -> DataFrame:
+    """Stored rows; none when nothing was stored yet. ``parts``: of a store that ``save_part`` adds to."""
     try:
-        return spark.read.schema(schema).format(fmt).load(path)
+        return spark.read.schema(schema).format(fmt).option("recursiveFileLookup", parts).load(path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return spark.createDataFrame([], schema)
@@ -90,6 +92,12 @@ def save(df: DataFrame, path: str, *, run_mode: str = "fresh", fmt: str = "parqu
     writer.format(fmt).save(path)
 
 
+def save_part(df: DataFrame, path: str) -> None:
+    """Adds rows to a store as a part with a folder of its own, so that several jobs can add to one store at the same time: writers
+    of one folder would clear each other's unfinished files. Readers see a part once it is whole."""
+    df.coalesce(1).write.parquet(f"{path}/part-{uuid.uuid4().hex}")
+
+
 def write_outputs(
     outputs: Mapping[str, DataFrame], root: str, *, run_mode: str = "fresh", formats: Sequence[str] = ("parquet",)
 ) -> dict[str, str]:
@@ -140,14 +148,14 @@ def inventory_sets(columns: DataFrame) -> dict[str, DataFrame]:
 
 
 def load_candidates(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return _read_or_empty(spark, path, CANDIDATE_SCHEMA, fmt)
+    return read_or_empty(spark, path, CANDIDATE_SCHEMA, fmt)
 
 
 def load_profile_cache(spark: SparkSession, path: str, *, force: bool = False) -> DataFrame:
     """Newest good profile per column; none when reuse is switched off."""
     if force:
         return spark.createDataFrame([], PROFILE_SCHEMA)
-    stored = _read_or_empty(spark, path, PROFILE_SCHEMA).filter("status = 'success'")
+    stored = read_or_empty(spark, path, PROFILE_SCHEMA, parts=True).filter("status = 'success'")
     return latest_version(stored, COLUMN_KEYS, [F.col("analyzed_at").desc(), F.col("analysis_type"), *map(F.col, stored.columns)])
 
 
@@ -171,7 +179,7 @@ def append_run(
 
 def run_history(spark: SparkSession, path: str) -> DataFrame:
     """Runs with their databases, oldest first."""
-    rows = _read_or_empty(spark, path, HISTORY_SCHEMA)
+    rows = read_or_empty(spark, path, HISTORY_SCHEMA)
     return (
         rows.groupBy("run_at", "mode", "filter")
         .agg(F.array_sort(F.collect_set("database_name")).alias("databases"))
@@ -180,4 +188,4 @@ def run_history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def databases_analyzed(spark: SparkSession, path: str) -> DataFrame:
-    return _read_or_empty(spark, path, HISTORY_SCHEMA).select("database_name").distinct()
+    return read_or_empty(spark, path, HISTORY_SCHEMA).select("database_name").distinct()
