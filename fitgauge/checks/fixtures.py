@@ -29,6 +29,12 @@ def keys(alone: str, mark: str) -> str:
     || '_' || c_custkey || case when {alone} then '_{mark}' else '' end as table_name"""
 
 
+#: JSON of several depths made from a row of events, in SQL of either engine; some is none.
+NESTED = """case event_id % 5
+  when 0 then '{"id": ' || event_id || ', "user": {"id": ' || user_id || ', "tags": ["x", ' || user_id || ', null, {"deep": {"er": [true, 1.5]}}]}, "ok": true}'
+  when 1 then '[{"a": {"b": {"c": {"d": [[' || event_id || ', "z"]], "id": {}}}}}, []]'
+  when 2 then 'no json' when 3 then '"text"' else props end"""
+
 _CUSTOMERS = "{customer} c join {nation} n on c.c_nationkey = n.n_nationkey"
 _ORDERS = _CUSTOMERS + " join {orders} o on o.o_custkey = c.c_custkey"
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from fitgauge import settings as st
 from fitgauge.checks import fixtures
-from fitgauge.checks.queries import ALL_TABLES, CUSTOM_PII, DATABASE, NUMBERS, SCHEMA, TEXTS, UNIQUE
+from fitgauge.checks.queries import ALL_TABLES, CUSTOM_PII, DATABASE, NUMBERS, SCHEMA, TEXTS, UNIQUE, UNIQUE_KEYS
 
 K3 = "database_name, schema_name, table_name"
 K4 = K3 + ", column_name"
@@ -265,7 +265,8 @@ def needed(text: str) -> list[str]:
 
 def statement(select: str) -> str:
     names = needed(select)
-    head = ",\n".join(f"{n} as ({CTES[n]})" for n in names)
+    once = "materialized " if select in ONCE else ""
+    head = ",\n".join(f"{n} as {once}({CTES[n]})" for n in names)
     return f"with {head}\n{select}" if names else select
 
 
@@ -328,6 +329,41 @@ def spaced(col: str) -> str:
     return settled(f"avg(case when contains({col}, ' ') then 1.0::double else 0.0 end) filter (length({col}) > 20)")
 
 
+def movers(source: str) -> str:
+    """Candidates that rose and fell most; ``source`` has ``scored`` and ``before``."""
+    moved = f"(select *, data_readiness - before as change, coalesce(avg_length, 0.0) as avg0 from ({source}) where has_profile)"
+    up = top(
+        f"""'up' as direction, {name(55)} as name, before, data_readiness as after, change,
+  case when nulls <= 10 and avg0 >= 200 then 'High quality + rich content' when nulls <= 10 then 'Excellent completeness'
+    when avg0 >= 200 then 'Rich content' else 'Good data quality' end as reason""",
+        f"(select * from {moved} where change > 0)", f"change desc, {BY_CANDIDATE}", 15,
+    )
+    down = top(
+        f"""'down' as direction, {name(55)} as name, before, data_readiness as after, change,
+  case when nulls > 70 then printf('High NULLs (%.1f%%)', nulls) when avg0 < 50 then printf('Short content (%.1f chars)', avg0)
+    when nulls > 50 then printf('Many NULLs (%.1f%%)', nulls) else 'Data quality issues' end as reason""",
+        f"(select * from {moved} where change < 0)", f"change, {BY_CANDIDATE}", 15,
+    )
+    return f"select * from ({up}) union all by name select * from ({down})"
+
+
+def mean(col: str) -> str:
+    return f"cast(sum(cast({col} as decimal(18, 6))) as double) / nullif(count({col}), 0)"
+
+
+def kind_of(col: str) -> str:
+    return "numeric" if ":" in col else "other" if col in ("o_orderdate", "l_shipdate", "ts") else "text"
+
+
+def extremes(col: str) -> str:
+    bare = col.split(":")[0]
+    if ":" in col:
+        v = f"cast({bare} as double)"
+        return f"null::bigint as min_length, null::bigint as max_length, null::double as avg_length, {settled(f'min({v})')} as min_value, {settled(f'max({v})')} as max_value"
+    v = f"length(cast({bare} as varchar))"
+    return f"min({v})::bigint as min_length, max({v})::bigint as max_length, {rnd(f'avg({v})', 2)} as avg_length, null::double as min_value, null::double as max_value"
+
+
 def profile_any(col: str) -> str:
     bare, _, number = col.partition(":")
     if number:
@@ -423,6 +459,13 @@ def crawl_type(field: str) -> str:
 
 
 LAKE = f"'{DATABASE}' as database_name, '{SCHEMA}' as schema_name"
+NESTED_EVENTS = f"select event_id, props, {fixtures.NESTED} as nested from events"
+KEY_COUNTS = "\nunion all ".join(
+    f"""select '{c}' as column_name, json_key, count(*) as n
+from (select unnest(json_keys(case when json_valid({c}) and json_type({c}) = 'OBJECT' then {c} else '{{}}' end)) as json_key
+  from ({NESTED_EVENTS})) group by 2"""
+    for c in ("props", "nested")
+)
 LAKE_SCHEMA = COLUMNS | {"embeddings": ["vec_id", "embedding", "label"]}
 LAKE_COLUMNS = (
     "("
@@ -613,6 +656,14 @@ from (select count(distinct database_name) as databases, count(*) as tables from
     "json_path_types": """select json_key as path, case json_type(props, '$.' || json_key) when 'UBIGINT' then 'INTEGER'
     when 'BIGINT' then 'INTEGER' else json_type(props, '$.' || json_key) end as type, count(*) as n
 from (select props, unnest(json_keys(props)) as json_key from events) group by 1, 2""",
+    "json_path_types_nested": f"""select ltrim(regexp_replace(substring(fullkey, 2), '\\[\\d+\\]', '.[]', 'g'), '.') as path,
+  case type when 'UBIGINT' then 'INTEGER' when 'BIGINT' then 'INTEGER' when 'NULL' then 'NULL_VALUE' when 'DOUBLE' then 'DECIMAL'
+    else type end as type, count(*) as n
+from (select case when json_valid(nested) then nested else 'null' end as j from ({NESTED_EVENTS})) e, json_tree(e.j) t
+where fullkey <> '$' group by 1, 2""",
+    "json_key_counts": KEY_COUNTS,
+    "measured_json_profile": f"""select {LAKE}, 'events' as table_name, column_name, 'VARIANT' as data_type,
+  array_to_string(list(json_key order by n desc, json_key)[1:20], ',') as top_keys from ({KEY_COUNTS}) group by column_name""",
     "adaptive_sample": "\nunion all ".join(
         adaptive(t, c) for t, c in (("documents", "text"), ("pages", "html"), ("benchmark", "text"))
     ),
@@ -718,6 +769,22 @@ from (select {K5}, f.business_potential, f.metadata_quality, f.governance_risk,
       source from with_stats) w using ({K3}, feature, c))""",
     "top_candidates": f"select {SCORED} from top",
     "confirm": f"select {K5}, is_confirmed from scored",
+    "confirm_tables": f"""select {K3}, feature, {settled("mean_nulls")} as null_percentage, {settled("mean_length")} as avg_length,
+  {settled("data_readiness")} as data_readiness,
+  {settled("business_potential + data_readiness + metadata_quality + governance_risk")} as total_score,
+  coalesce(mean_nulls, 100.0) <= 50 and data_readiness >= 3.5 and not (feature = 'search'
+    and (coalesce(nullif(mean_length, 0.0) < 30, false) or coalesce(not prose, false))) as is_confirmed
+from (select {K3}, feature, mean_nulls, mean_length, prose, coalesce(ready, first_readiness) as data_readiness, business_potential,
+    metadata_quality, governance_risk
+  from (select * exclude (null_percentage, avg_length) from first_scored where column_name is null) left join (
+    select {K3}, feature, {mean("null_percentage")} as mean_nulls, {mean("avg_length")} as mean_length,
+      avg(case when is_natural_language then 1.0::double when not is_natural_language then 0.0 end) >= 0.5 as prose,
+      avg({MEASURED}) as ready
+    from (select m.*, p.null_percentage, p.avg_length, p.max_length as longest, c.character_maximum_length as max_length, p.is_natural_language
+      from (select distinct {K3}, feature, unnest(coalesce(numeric_columns, text_columns)) as column_name
+          from candidates where column_name is null) m
+        join fx_profiles p using ({K4}) left join live_columns c using ({K4}))
+    group by {K3}, feature) using ({K3}, feature))""",
     "confirm_reasons": f"select {K5}, {REASONS} as reasons from scored",
     "confirmed_only": f"select {SCORED} from scored where is_confirmed",
     "priority_tier": f"select {K5}, priority from scored",
@@ -760,23 +827,11 @@ from (select count(*) as total, count(*) filter (has_profile) as analyzed,
 from (select feature, count(*) as total, count(*) filter (has_profile) as analyzed,
   count(*) filter (data_readiness >= 4) as high_quality, {rnd("avg(data_readiness)", 2)} as average_readiness
   from scored group by feature)""",
-    "score_movers": "select * from ("
-    + top(
-        f"""'up' as direction, {name(55)} as name, 3.0::double as before, data_readiness as after, change,
-  case when nulls <= 10 and avg0 >= 200 then 'High quality + rich content' when nulls <= 10 then 'Excellent completeness'
-    when avg0 >= 200 then 'Rich content' else 'Good data quality' end as reason""",
-        "(select *, data_readiness - 3.0 as change, coalesce(avg_length, 0.0) as avg0 from scored "
-        "where has_profile and data_readiness > 3)", f"change desc, {BY_CANDIDATE}", 15,
-    )
-    + ") union all by name select * from ("
-    + top(
-        f"""'down' as direction, {name(55)} as name, 3.0::double as before, data_readiness as after, change,
-  case when nulls > 70 then printf('High NULLs (%.1f%%)', nulls) when avg0 < 50 then printf('Short content (%.1f chars)', avg0)
-    when nulls > 50 then printf('Many NULLs (%.1f%%)', nulls) else 'Data quality issues' end as reason""",
-        "(select *, data_readiness - 3.0 as change, coalesce(avg_length, 0.0) as avg0 from scored "
-        "where has_profile and data_readiness < 3)", f"change, {BY_CANDIDATE}", 15,
-    )
-    + ")",
+    "score_movers": movers("select *, 3.0::double as before from scored"),
+    "score_movers_since": movers(f"""select s.*, case when s.governance_risk < 5 then s.data_readiness else f.first_readiness end as before
+from scored s join (select {K3}, feature, coalesce(column_name, '') as c, first_readiness from first_scored) f
+  on s.database_name = f.database_name and s.schema_name = f.schema_name and s.table_name = f.table_name
+    and s.feature = f.feature and coalesce(s.column_name, '') = f.c"""),
     "score_shift_summary": f"""select *, total - with_data as without_data, {share("high", "with_data")} as high_rate,
   {share("low", "with_data")} as low_rate
 from (select count(*) as total, count(*) filter (has_profile) as with_data,
@@ -842,6 +897,11 @@ union all select {K3}, null as column_name, feature, reason from search""",
         for t, cols in COLUMNS.items()
         for c in cols
     ),
+    "incremental_by_file": "\nunion all ".join(
+        f"""select {LAKE}, '{t}' as table_name, {counts(c.split(":")[0])}, '{kind_of(c)}' as kind, 6::bigint as files, 6::bigint as files_read, true as is_near,
+  {extremes(c)} from {t}"""
+        for t in UNIQUE_KEYS for c in COLUMNS[t]
+    ),
     "merge_candidates": "select * from stored union all select * from fresh",
     "add_candidates": f"select * from stored union all select {K5}, reason from candidates",
     "run_history": """select '2001-01-01' as run_at, 'fresh' as mode, 'db_0,DB_3' as filter,
@@ -880,5 +940,9 @@ SELECTS["catalog_run_results"] = "\nunion all ".join(
 )
 
 
+#: Statements over many shared definitions, of which each is worked out once.
+ONCE = {SELECTS["new_candidates"], SELECTS["rescored_from_metadata"]}
+
+
 def oracle_sql() -> dict[str, str]:
     return {key: statement(select) for key, select in SELECTS.items()}

@@ -14,12 +14,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fitgauge.checks.fixtures import AS_OF, Data
+from fitgauge.checks.fixtures import AS_OF, NESTED, Data
 from fitgauge.functions import classify
 from fitgauge.functions.names import COLUMN_KEYS, TABLE_KEYS, fqn, name_like_any, name_matches_any, type_family
 from fitgauge.functions.points import data_readiness, metadata_readiness
 from fitgauge.operators import candidates as c
 from fitgauge.operators import estimate as e
+from fitgauge.operators import file_states as fs
 from fitgauge.operators import incremental as inc
 from fitgauge.operators import profile as p
 from fitgauge.operators import reports as r
@@ -63,6 +64,10 @@ UNIQUE = {
     "documents": ["doc_id"], "pages": ["page_id"], "benchmark": ["item_id"], "events": ["event_id"],
     "conversations": ["conv_id", "turn"],
 }
+#: Tables that are profiled by file, with the columns that deal their rows out to files.
+UNIQUE_KEYS = {
+    "customer": ["c_custkey"], "orders": ["o_orderkey"], "part": ["p_partkey"], "events": ["event_id"], "documents": ["doc_id"],
+}
 CUSTOM_PII = (("money", ("^amount", "score")), ("place", ("^geo_", "address")))
 INCLUDED = replace(DEFAULTS, include_databases=("db_0", "DB_3"), exclude_databases=("DB_0",))
 EXCLUDED = replace(DEFAULTS, exclude_databases=("db_0", "DB_3"))
@@ -553,6 +558,29 @@ def json_path_types(d: Data) -> DataFrame:
     return p.json_path_types(d.table("events"), "props")
 
 
+def _nested(d: Data) -> DataFrame:
+    return d.table("events").select("event_id", "props", F.expr(NESTED).alias("nested"))
+
+
+@query
+def json_path_types_nested(d: Data) -> DataFrame:
+    return p.json_path_types(_nested(d), "nested")
+
+
+@query
+def json_key_counts(d: Data) -> DataFrame:
+    return p.json_key_counts(_nested(d), ["props", "nested"])
+
+
+@query
+def measured_json_profile(d: Data) -> DataFrame:
+    """The most frequent keys of each semi-structured column, in the form of the estimated profile."""
+    columns = d.spark.createDataFrame([(DATABASE, SCHEMA, "events", c, "VARIANT") for c in ("props", "nested")], [*COLUMN_KEYS, "data_type"])
+    keys = p.json_key_counts(_nested(d), ["props", "nested"])
+    named = keys.select(*(F.lit(v).alias(k) for k, v in zip(TABLE_KEYS, (DATABASE, SCHEMA, "events"))), "column_name", "json_key", "n")
+    return e.estimated_json_profile(columns, keys=named)
+
+
 @query
 def adaptive_sample(d: Data) -> DataFrame:
     """The size comes from row and byte counts taken before the sample is read."""
@@ -781,6 +809,15 @@ def top_candidates(d: Data) -> DataFrame:
     return s.top_candidates(scored(d)).select(SCORED)
 
 
+@query
+def confirm_tables(d: Data) -> DataFrame:
+    """Table-level candidates by the mean of their member columns."""
+    rolled = s.rolled_up(scored(d).drop("is_confirmed", "confirmation_reasons", "priority"), d.profiles, live_columns(d))
+    shown = s.confirm(rolled).filter("column_name is null").select(
+        *TABLE_KEYS, "feature", "profile.null_percentage", "profile.avg_length", "data_readiness", "total_score", "is_confirmed")
+    return settle(shown, ["null_percentage", "avg_length", "data_readiness", "total_score"])
+
+
 @query
 def confirm(d: Data) -> DataFrame:
     return scored(d).select(*COLUMN_KEYS, "feature", "is_confirmed")
@@ -852,6 +889,17 @@ def score_movers(d: Data) -> DataFrame:
     return r.score_movers(scored(d))
 
 
+@query
+def score_movers_since(d: Data) -> DataFrame:
+    """Two runs store their scores, the first guesses and then those without risky names; what moved since the last run before."""
+    path = f"{store.work_dir(d.spark)}/scores"
+    first = s.score_candidate(found(d), d.profiles)
+    store.save_scores(first, path, datetime(2001, 1, 1))
+    store.save_scores(s.rescored(first).filter("governance_risk < 5"), path, datetime(2001, 2, 1))
+    store.save_scores(s.rescored(first), path, AS_OF)
+    return r.score_movers(scored(d), earlier=store.scores_before(d.spark, path, AS_OF))
+
+
 @query
 def score_shift_summary(d: Data) -> DataFrame:
     return r.score_shift_summary(scored(d))
@@ -982,6 +1030,30 @@ def incremental_profile(d: Data) -> DataFrame:
     return done.select(*COLUMN_KEYS, "total_rows", "non_null_count", "max_length", "analysis_type")
 
 
+@query
+def incremental_by_file(d: Data) -> DataFrame:
+    """Each table is written as four files and profiled; after two more files a second run reads only those. Values from sketches
+    are compared with exact ones around them."""
+    work = store.work_dir(d.spark)
+    tables = {t: d.table(t).withColumn("at", F.xxhash64(*UNIQUE_KEYS[t]) % 3) for t in UNIQUE_KEYS}
+    places = {(DATABASE, SCHEMA, t): f"{work}/{t}" for t in tables}
+    for share, parts in ("at = 0", 4), ("at <> 0", 2):
+        for t, df in tables.items():
+            df.filter(share).drop("at").repartition(parts).write.mode("append").parquet(f"{work}/{t}")
+        done = fs.profile_by_file(d.spark, places, f"{work}/states")
+    states = store.read_or_empty(d.spark, f"{work}/states", fs.STATE_SCHEMA, parts=True)
+    read = states.groupBy("table_name", "column_name").agg(F.count("*").alias("files_read"))
+    exact = union([
+        p.quantile_bounds(d.table(t), settings=DEFAULTS).withColumn("table_name", F.lit(t)) for t in tables])
+    done = done.join(read, ["table_name", "column_name"]).join(exact, ["table_name", "column_name"], "left")
+    near = F.lit(True)
+    for name in ("median", "p95"):
+        value = F.coalesce(F.col(f"{name}_value"), F.col(f"{name}_length"))
+        near &= F.coalesce(value.between(F.col(f"{name}_low") - 0.01, F.col(f"{name}_high") + 0.01), F.lit(True))
+    exact_fields = [*TABLE_KEYS, "column_name", "kind", "total_rows", "non_null_count", "null_percentage", "min_length", "max_length", "avg_length", "min_value", "max_value"]
+    return settle(done.withColumn("is_near", near).select(*exact_fields, "files", "files_read", "is_near"), ["min_value", "max_value"])
+
+
 @query
 def merge_candidates(d: Data) -> DataFrame:
     return inc.merge_candidates(_stored(d), found(d)).select(*COLUMN_KEYS, "feature", "reason")

@@ -14,7 +14,7 @@ from fitgauge.functions.names import (
     is_text_like,
 )
 from fitgauge.settings import DEFAULTS, Settings
-from fitgauge.sources.catalog import latest_version
+from fitgauge.sources.catalog import latest_version, top_rows
 
 
 def guessed_length(declared: Column, settings: Settings = DEFAULTS) -> Column:
@@ -75,8 +75,18 @@ def estimated_text_profile(rich: DataFrame, settings: Settings = DEFAULTS) -> Da
     )
 
 
-def estimated_json_profile(extract: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Semi-structured candidates; keys need data, so the list is empty. ``json_columns`` limits the rows."""
+def estimated_json_profile(extract: DataFrame, settings: Settings = DEFAULTS, keys: DataFrame | None = None) -> DataFrame:
+    """Semi-structured candidates with their most frequent keys; ``json_columns`` limits the rows.
+
+    ``keys`` holds measured counts (``COLUMN_KEYS``, ``json_key``, ``n``; see ``json_key_counts``); ``top_json_keys`` of them are listed for each
+    column, ties by name. Without it the catalog alone is known, and the lists are empty.
+    """
     limit = settings.json_columns
     listed = extract if limit is None else extract.orderBy(*COLUMN_KEYS).limit(limit)
-    return listed.select(*COLUMN_KEYS, "data_type", F.array().cast("array<string>").alias("top_keys"))
+    nothing = F.array().cast("array<string>")
+    if keys is None:
+        return listed.select(*COLUMN_KEYS, "data_type", nothing.alias("top_keys"))
+    best = top_rows(keys, COLUMN_KEYS, [F.col("n").desc(), F.col("json_key")], settings.top_json_keys)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "json_key"))), lambda x: x["json_key"])
+    found = best.groupBy(*COLUMN_KEYS).agg(ordered.alias("found_keys"))
+    return listed.join(found, COLUMN_KEYS, "left").select(*COLUMN_KEYS, "data_type", F.coalesce("found_keys", nothing).alias("top_keys"))

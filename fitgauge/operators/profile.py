@@ -21,6 +21,7 @@ from fitgauge.functions import classify
 from fitgauge.functions.names import TABLE_KEYS
 from fitgauge.operators.quantiles import Target, key, narrowed, quantile_map, two_level
 from fitgauge.settings import DEFAULTS, Settings
+from fitgauge.sources.folders import work_dir
 from fitgauge.sources.tables import choose_sample_size, sample_order, sample_rows
 
 QUANTILES = (0.5, 0.95)
@@ -204,6 +205,18 @@ def _profiled(
     return wide.selectExpr(f"inline(array({', '.join(m.result() for m in measures)}))")
 
 
+def quantile_bounds(df: DataFrame, margin: float = 0.02, settings: Settings = DEFAULTS) -> DataFrame:
+    """Exact values a little below and above the median and the 95th percentile of every column, to judge estimates by."""
+    around = [min(max(q + sign * margin, 0.0), 1.0) for q in QUANTILES for sign in (-1, 1)]
+    measures = [Measure(f.name, column_kind(f.dataType), f"c{i}") for i, f in enumerate(df.schema.fields)]
+    targets = [Target(m.tag, m.value, tuple(around)) for m in measures]
+    found = quantile_map(df, narrowed(df, targets, settings) if df.count() > settings.rank_values else targets)
+    fields = ("median_low", "median_high", "p95_low", "p95_high")
+    rows = [
+        F.struct(F.lit(m.name).alias("column_name"), *(F.expr(f"found['{key(m.tag, q)}']").alias(f) for q, f in zip(around, fields))) for m in measures]
+    return found.select(F.inline(F.array(*rows)))
+
+
 def numeric_profile(
     df: DataFrame, columns: Sequence[str], settings: Settings = DEFAULTS, *, rows: int | None = None
 ) -> DataFrame:
@@ -417,43 +430,55 @@ def json_top_keys(
     return keys.select(F.lit(column).alias("column_name"), "json_key")
 
 
-def _children(entry: str) -> str:
+def json_key_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Top-level keys of the objects in several JSON columns, and in how many values each stands; one scan for all columns."""
+    entries = [f"transform(json_object_keys({quoted(c)}), k -> struct({i} as place, k as json_key))" for i, c in enumerate(columns)]
+    listed = ", ".join(f"coalesce({e}, array())" for e in entries)
+    found = df.select(F.expr(f"explode(concat({listed}))").alias("e")).select("e.*")
+    counted = found.groupBy("place", "json_key").agg(F.count("*").alias("n"))
+    name = F.array(*map(F.lit, columns))[F.col("place")]
+    return counted.select(name.alias("column_name"), "json_key", "n")
+
+
+def _children(path: str, value: str) -> str:
     """Members of an object and elements of an array, each with its path, in SQL."""
-    joined = f"if({entry}.path = '', {{0}}, concat({entry}.path, '.', {{0}}))"
-    members = f"map_entries(try_variant_get({entry}.value, '$', 'map<string,variant>'))"
-    elements = f"try_variant_get({entry}.value, '$', 'array<variant>')"
+    joined = f"if({path} = '', {{0}}, concat({path}, '.', {{0}}))"
+    members = f"map_entries(try_variant_get({value}, '$', 'map<string,variant>'))"
+    elements = f"try_variant_get({value}, '$', 'array<variant>')"
     return (
         f"concat(coalesce(transform({members}, m -> struct({joined.format('m.key')} as path, m.value as value)), array()), "
         f"coalesce(transform({elements}, x -> struct({joined.format(repr('[]'))} as path, x as value)), array()))"
     )
 
 
-def _levels(df: DataFrame, column: str, depth: int) -> DataFrame:
-    levels = df.select(F.struct(F.lit("").alias("path"), F.try_parse_json(column).alias("value")).alias("root"))
-    levels = levels.select(F.expr(_children("root")).alias("level0"))
-    for i in range(1, depth):
-        below = f"flatten(transform(level{i - 1}, e -> {_children('e')}))"
-        levels = levels.select("*", F.expr(below).alias(f"level{i}"))
-    return levels
+CONTAINERS = ("OBJECT", "ARRAY")
 
 
 def json_path_types(df: DataFrame, column: str, depth: int | None = None) -> DataFrame:
     """Paths and types inside a JSON column, with their counts, down to the deepest level or to ``depth``.
 
-    Every text is parsed once and the column is read once; each level is made from the one above it. Without ``depth``, the
-    column is read before to find a number of levels of which the last is empty in every row.
+    The column is read and parsed once, which stores its objects and arrays. Each level is made from the stored objects and arrays of the
+    one above, and only where there are any, so that a few deep values cost no more than themselves. A level is
+    counted by a partial aggregate; its objects and arrays are written without a shuffle.
     """
-    if depth is None:
-        depth = 3
-        while not _levels(df, column, depth).where(F.size(f"level{depth - 1}") > 0).isEmpty():
-            depth *= 2
-    levels = _levels(df, column, depth)
-    every = F.concat(*[F.col(f"level{i}") for i in range(depth)])
-    found = levels.select(F.explode(every).alias("entry")).select(
-        F.col("entry.path").alias("path"), json_type(F.col("entry.value")).alias("type")
-    )
-    counted = found.groupBy("path", "type").agg(F.count("*").alias("n"))
-    return counted.orderBy(F.col("n").desc(), "path", "type")
+    work = work_dir(df.sparkSession)
+
+    def stored(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{work}/{name}")
+        return df.sparkSession.read.schema(rows.schema).parquet(f"{work}/{name}")
+
+    roots = df.select(F.lit("").alias("path"), F.try_parse_json(column).alias("value"))
+    level = stored(roots.where(json_type(F.col("value")).isin(*CONTAINERS)), "level0")
+    counts, n = [], 0
+    while True:
+        found = level.select(F.expr(f"inline({_children('path', 'value')})")).withColumn("type", json_type(F.col("value")))
+        counts.append(stored(found.groupBy("path", "type").agg(F.count("*").alias("n")), f"counts{n}"))
+        n += 1
+        if n == depth or counts[-1].where(F.col("type").isin(*CONTAINERS)).isEmpty():
+            break
+        level = stored(found.where(F.col("type").isin(*CONTAINERS)).select("path", "value"), f"level{n}")
+    every = reduce(DataFrame.unionByName, counts).groupBy("path", "type").agg(F.sum("n").alias("n"))
+    return every.orderBy(F.col("n").desc(), "path", "type")
 
 
 def json_extract_text(df: DataFrame, column: str, path: str, keep: Sequence[str], name: str) -> DataFrame:

@@ -109,13 +109,19 @@ def quality_by_feature(scored: DataFrame, settings: Settings = DEFAULTS) -> Data
     return counts.withColumn("analysis_rate", _share(F.col("analyzed"), F.col("total")))
 
 
-def score_movers(scored: DataFrame, n: int = 15, settings: Settings = DEFAULTS) -> DataFrame:
-    """Largest changes against the baseline readiness, up and down."""
+def score_movers(scored: DataFrame, n: int = 15, settings: Settings = DEFAULTS, earlier: DataFrame | None = None) -> DataFrame:
+    """Largest changes of readiness, up and down: against the scores of an earlier run (``store.scores_before``), or else against the
+    baseline readiness. Candidates that an earlier run did not have have not moved."""
     nulls = F.coalesce(F.col("profile.null_percentage"), F.lit(100.0))
     average = F.coalesce(F.col("profile.avg_length"), F.lit(0.0))
-    moved = scored.filter(_analyzed()).withColumn(
-        "change", F.col("data_readiness") - settings.baseline_readiness
-    )
+    moved = scored.filter(_analyzed())
+    if earlier is None:
+        moved = moved.withColumn("before", F.lit(settings.baseline_readiness))
+    else:
+        past = earlier.select(*(F.col(k).alias(f"past_{k}") for k in CANDIDATE_KEYS), F.col("data_readiness").alias("before"))
+        same = [F.col(k).eqNullSafe(F.col(f"past_{k}")) for k in CANDIDATE_KEYS]
+        moved = moved.join(past, reduce(lambda a, b: a & b, same))
+    moved = moved.withColumn("change", F.col("data_readiness") - F.col("before"))
     # Wording of the reasons.
     rose = (
         F.when((nulls <= 10) & (average >= 200), "High quality + rich content")
@@ -135,7 +141,7 @@ def score_movers(scored: DataFrame, n: int = 15, settings: Settings = DEFAULTS)
             F.lit(direction).alias("direction"),
             "rank",
             _name(55),
-            F.lit(settings.baseline_readiness).alias("before"),
+            "before",
             F.col("data_readiness").alias("after"),
             "change",
             reason.alias("reason"),

@@ -119,6 +119,41 @@ def rescored_from_metadata(scored_with_stats: DataFrame, settings: Settings = DE
     return _replace_readiness(scored_with_stats, F.col("source").isNotNull(), value, settings)
 
 
+def rolled_up(scored: DataFrame, profiles: DataFrame, columns: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Gives table-level candidates the mean of their member columns: null share, lengths and readiness, so that they can be confirmed.
+
+    Members are the columns a candidate names; those without a profile don't count, and a candidate without any stays as it is. It is
+    natural language if half of its members are; readiness is the mean of what each member would get as a candidate. Not
+    part of ``rescored``: without this step table-level candidates are never confirmed.
+    """
+    kind = dict(scored.dtypes)["profile"]
+    keys = [*TABLE_KEYS, "feature"]
+    named = F.concat(F.coalesce("numeric_columns", F.array()), F.coalesce("text_columns", F.array()))
+    members = scored.filter("column_name is null").select(*keys, F.explode(named).alias("column_name")).distinct()
+    declared = first_match(columns, COLUMN_KEYS, ["ordinal_position", "data_type"]).select(*COLUMN_KEYS, "character_maximum_length")
+    found = candidate_profile(members, profiles).filter("profile is not null").join(declared, COLUMN_KEYS, "left")
+    p = F.col("profile")
+    ready = data_readiness(F.lit(True), p["null_percentage"], p["avg_length"], p["max_length"], F.col("character_maximum_length"), settings)
+
+    def exact_mean(name: str) -> Column:
+        return F.avg(F.col(name).cast("decimal(18,6)")).cast("double")  # whatever the order of the rows
+
+    mean = found.withColumn("ready", ready).groupBy(*(F.col(k).alias(f"of_{k}") for k in keys)).agg(
+        F.struct(
+            F.sum("profile.total_rows_sampled"), F.sum("profile.non_null_count"), exact_mean("profile.null_percentage"),
+            exact_mean("profile.avg_length"), F.max("profile.max_length"),
+            F.avg(F.col("profile.is_natural_language").cast("double")) >= 0.5, F.lit(None).cast("boolean"),
+        ).cast(kind).alias("mean"),
+        F.avg("ready").alias("ready"),
+    )
+    same = F.col("column_name").isNull()
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"of_{k}"))
+    joined = scored.join(mean, same, "left")
+    joined = joined.withColumns({"profile": F.coalesce("mean", "profile"), "data_readiness": F.coalesce("ready", "data_readiness")})
+    return joined.withColumn("total_score", total_score(settings)).select(*scored.columns)
+
+
 def candidate_order() -> list[Column]:
     return [F.col("total_score").desc(), *[F.col(k).asc_nulls_first() for k in CANDIDATE_KEYS]]
 

@@ -96,6 +96,7 @@ class Settings:
     json_key_sample: int = 100
     json_key_limit: int | None = None
     json_columns: int | None = None
+    top_json_keys: int = 20
     content_sample: int = 100
     content_values: int = 10
     content_min_length: int = 20

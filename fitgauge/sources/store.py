@@ -7,7 +7,6 @@ overwrites what it reads and a rerun after a lost executor or driver is safe.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
 from datetime import datetime
@@ -22,6 +21,7 @@ from fitgauge.functions.times import instant
 from fitgauge.operators.profile import LENGTH_FIELDS, VALUE_FIELDS
 from fitgauge.settings import DEFAULTS, Settings
 from fitgauge.sources.catalog import latest_version
+from fitgauge.sources.folders import until_end, work_dir  # noqa: F401
 
 INVENTORY_SCHEMA = (
     "database_name string, schema_name string, table_name string, column_name string, "
@@ -48,29 +48,13 @@ PROFILE_SCHEMA = T.StructType(
     + [T.StructField(n, T.StringType()) for n in ("status", "error", "analysis_type")]
     + [T.StructField("analyzed_at", T.TimestampType())]
 )
+SCORE_SCHEMA = (
+    "database_name string, schema_name string, table_name string, column_name string, feature string, data_readiness double, "
+    "total_score double, run_at timestamp"
+)
 HISTORY_SCHEMA = "run_at timestamp, mode string, database_name string, filter string"
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared folder, for tables that cut a job in two.
-
-    Only a local session without the setting falls back to the machine's own temporary folder.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and spark.sparkContext.master.startswith("local"):
-        shared = tempfile.mkdtemp(prefix="fitgauge-")
-    if shared is None:
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return until_end(spark, f"{shared.rstrip('/')}/fitgauge-{uuid.uuid4().hex}")
-
-
-def until_end(spark: SparkSession, path: str) -> str:
-    """The path, whose files go when the application ends."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
-
-
 def read_or_empty(
     spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet", *, parts: bool = False
 ) -> DataFrame:
@@ -189,3 +173,16 @@ def run_history(spark: SparkSession, path: str) -> DataFrame:
 
 def databases_analyzed(spark: SparkSession, path: str) -> DataFrame:
     return read_or_empty(spark, path, HISTORY_SCHEMA).select("database_name").distinct()
+
+
+def save_scores(scored: DataFrame, path: str, run_at: datetime) -> None:
+    """Adds the readiness and total of every candidate as of a run."""
+    names = [f.split(" ")[0] for f in SCORE_SCHEMA.split(", ")][:-1]
+    save_part(scored.select(*names, instant(run_at).alias("run_at")), path)
+
+
+def scores_before(spark: SparkSession, path: str, run_at: datetime) -> DataFrame:
+    """Of every candidate the scores of the last run before ``run_at`` that had it; a run stored twice counts once."""
+    stored = read_or_empty(spark, path, SCORE_SCHEMA, parts=True).filter(F.col("run_at") < instant(run_at))
+    keys = [*COLUMN_KEYS, "feature"]
+    return latest_version(stored, keys, [F.col("run_at").desc(), F.col("data_readiness"), F.col("total_score")])
