@@ -642,10 +642,14 @@ def test_pigeonhole_plans_cover_every_pair(max_bits):
         assert sorted(b for g in groups for b in g) == list(range(64))
         _, thresholds = simhash_dedup.allocate(2000, both, groups, max_bits)
         assert sum(thresholds) == max_bits - parts + 1 and min(thresholds) >= -1
-        masks = simhash_dedup.masks([(g, t) for g, t in zip(groups, thresholds) if t >= 0])
+        probed = [(set(g), t) for g, t in zip(groups, thresholds)]
         for _ in range(300):
-            difference = sum(1 << int(b) for b in rng.choice(64, max_bits, replace=False))
-            assert any(not m & difference for m in masks)
+            difference = set(rng.choice(64, max_bits, replace=False).tolist())
+            assert any(len(difference & g) <= t for g, t in probed)
+    masks = simhash_dedup.masks(simhash_dedup.plan(2000, both, max_bits))  # of the plan that is used
+    for _ in range(300):
+        difference = sum(1 << int(b) for b in rng.choice(64, max_bits, replace=False))
+        assert any(not m & difference for m in masks)
 
 
 def test_representatives(spark, odd):
