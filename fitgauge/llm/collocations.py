@@ -4,10 +4,10 @@ Only the longest windows are counted: each word with the four behind it, lead co
 ends. ``ROLLUP`` over lang and the lead columns sums the shorter prefixes, so that no phrase length is exploded by itself.
 The lead columns come from whole texts in their order, batch by batch, and need no sort.
 
-Most windows of five words occur once. A window therefore ends before a pair of words that can't be frequent, and a word that can't be frequent
-is counted without its name: words and pairs are counted before in a table of hashed counters, whose totals are never below a pair's own
-count. A phrase with the least count holds no such pair, so no count of it changes, whatever the size of the table; a small table only
-cuts fewer windows.
+Most windows of five words occur once. A window therefore ends before a pair or a triple of words that can't be frequent, and a word that can't be
+frequent is counted without its name: words and pairs, then triples of those pairs that are left, are counted before in tables of hashed
+counters, whose totals are never below a phrase's own count. A phrase with the least count holds no such pair or triple, so no count of it
+changes, whatever the size of the tables; small ones only cut fewer windows.
 """
 
 from __future__ import annotations
@@ -25,9 +25,13 @@ from fitgauge.llm.shared import stored
 LONGEST = 5
 WORDS = [f"w{i}" for i in range(1, LONGEST + 1)]
 #: Texts of so many bytes are counted at a time.
-SLICE_BYTES = 16 << 20
-#: 2 ** 26 counters for pairs and as many for words: 16 MB of bits on the driver and on every executor.
+SLICE_BYTES = 4 << 20
+#: 2 ** 26 counters for pairs, as many for words and as many for triples: 24 MB of bits on the driver and on every executor.
 TABLE_BITS = 26
+#: Different windows that a task holds before it hands them on.
+TASK_ROWS = 600_000
+#: Counters that are sent and summed together.
+BUCKET = 1 << 15
 #: Bytes that end a piece, bytes between words.
 BREAKS, BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b" \t"
 KIND = np.zeros(256, np.uint8)
@@ -88,56 +92,124 @@ class _Pairs:
             self.pair[:-1] = np.where(piece[1:] == piece[:-1], both, -1)
 
 
-def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for langs, texts in _slices(batch):
-            p = _Pairs(langs, texts)
-            counter, n = np.unique(np.r_[p.pair[p.pair >= 0], p.single], return_counts=True)
-            for a in range(0, len(counter), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(counter[a : a + 100_000]), pa.array(n[a : a + 100_000])], names=["counter", "n"])
+    def triple(self, goes_on: np.ndarray) -> np.ndarray:
+        """The counter of the triple that a word begins; -1 unless both its pairs go on."""
+        out = np.full(len(self.code), -1, np.int64)
+        if len(out) > 2:
+            h = self.pair[:-2].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ self.pair[1:-1].astype(np.uint64)
+            out[:-2] = np.where(goes_on[:-2] & goes_on[1:-1], _mixed(h), -1)
+        return out
 
 
-def frequent_pairs(docs: DataFrame, least: int) -> np.ndarray:
-    """The bits of counters whose words or pairs occur ``least`` times together; 2 ** (TABLE_BITS + 1) bits, whatever the input."""
-    counted = docs.select("lang", "text").mapInArrow(_count_pairs, "counter bigint, n bigint").groupBy("counter").agg(F.sum("n").alias("n"))
-    often = counted.where(F.col("n") >= least)
-    bucket, bit = (F.col("counter") / 32768).cast("int"), F.col("counter") % 32768
-    bits = np.zeros(1 << TABLE_BITS - 2, np.uint8)
-    for row in often.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(bit).alias("bits")).toLocalIterator():
-        bits[row.bucket * 4096 : (row.bucket + 1) * 4096] = np.frombuffer(bytes(row.bits), np.uint8)
-    return bits
+def often(bits: np.ndarray, counter: np.ndarray) -> np.ndarray:
+    """Whether the counters' bits are set; no counter (-1) has none."""
+    at = np.maximum(counter, 0)
+    return (counter >= 0) & (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _words_and_pairs(p: _Pairs) -> np.ndarray:
+    return np.r_[p.pair[p.pair >= 0], p.single]
+
+
+def _triples(bits: Broadcast):
+    def of(p: _Pairs) -> np.ndarray:
+        found = p.triple(often(bits.value, p.pair))
+        return found[found >= 0]
 
+    return of
 
-def _windows(bits: Broadcast):
+
+def _count(counters):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = bits.value
+        """Counts of a slice, packed by bucket: the places of counters in it, two bytes each, and their counts, four bytes each."""
+        for batch in batches:
+            for langs, texts in _slices(batch):
+                counter, n = np.unique(counters(_Pairs(langs, texts)), return_counts=True)
+                bucket, starts = np.unique(counter // BUCKET, return_index=True)
+                ends = np.r_[starts, len(counter)]
+                packed = [
+                    pa.BinaryArray.from_buffers(pa.binary(), len(bucket), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32).tobytes()), pa.py_buffer(x.tobytes())])
+                    for x in ((counter % BUCKET).astype(np.uint16), n.astype(np.uint32))
+                ]
+                for a in range(0, len(bucket), 1000):
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[a : a + 1000].astype(np.int32)), *(x[a : a + 1000] for x in packed)], names=["bucket", "at", "n"])
+
+    return count
 
-        def often(counter: np.ndarray) -> np.ndarray:
-            return (table[np.maximum(counter, 0) >> 3] >> (counter & 7).astype(np.uint8) & 1).astype(bool)
 
+def _often(least: int):
+    def sum_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The bits of counters that reach ``least``, for sorted buckets; one bucket is summed at a time."""
+        bucket, total = None, np.zeros(BUCKET, np.int64)
+
+        def bits() -> pa.RecordBatch:
+            packed = np.packbits(total >= least, bitorder="little").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([packed], pa.binary())], names=["bucket", "bits"])
+
+        for batch in batches:
+            for b, at, n in zip(batch.column("bucket").to_pylist(), batch.column("at"), batch.column("n")):
+                if b != bucket:
+                    if bucket is not None:
+                        yield bits()
+                    bucket, total = b, np.zeros(BUCKET, np.int64)
+                total[np.frombuffer(at.as_buffer(), np.uint16)] += np.frombuffer(n.as_buffer(), np.uint32)  # places of a slice differ
+        if bucket is not None:
+            yield bits()
+
+    return sum_buckets
+
+
+def frequent(docs: DataFrame, counters, least: int, size: int) -> np.ndarray:
+    """The bits of those of ``size`` counters that reach ``least`` over all documents."""
+    counted = docs.select("lang", "text").mapInArrow(_count(counters), "bucket int, at binary, n binary")
+    summed = counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_often(least), "bucket int, bits binary")
+    bits = np.zeros(max(BUCKET, size) >> 3, np.uint8)
+    for row in summed.toLocalIterator():
+        bits[row.bucket * BUCKET >> 3 : (row.bucket + 1) * BUCKET >> 3] = np.frombuffer(bytes(row.bits), np.uint8)
+    return bits
+
+
+def _grouped(tables: list[pa.Table]) -> pa.Table:
+    keys = ["lang", *WORDS]
+    return pa.concat_tables(tables).group_by(keys).aggregate([("n", "sum")]).select([*keys, "n_sum"]).rename_columns([*keys, "n"])
+
+
+def _windows(pairs: Broadcast, triples: Broadcast):
+    def windows(p: _Pairs) -> pa.Table:
+        goes_on = often(pairs.value, p.pair)
+        after = often(triples.value, p.triple(goes_on))
+        n, none, alive = len(p.code), len(p.words), often(pairs.value, p.single)
+        columns = [p.lang, np.where(alive, p.code, none)]
+        for j in range(1, LONGEST):
+            alive = alive & (goes_on if j == 1 else np.r_[after[j - 2 :], np.zeros(j - 2, bool)][:n])
+            columns.append(np.where(alive, np.r_[p.code[j:], np.zeros(j, np.int64)][:n], none))
+        found = _grouped([pa.table([*(pa.array(c.astype(np.int32)) for c in columns), pa.array(np.ones(n, np.int64))], names=["lang", *WORDS, "n"])])
+        named = pa.concat_arrays([p.words, pa.array([""])])
+        texts = [p.langs.take(found["lang"].combine_chunks()), *(named.take(found[w].combine_chunks()) for w in WORDS)]
+        return pa.table([*texts, found["n"]], names=["lang", *WORDS, "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Windows of all slices of a task together, as far as ``TASK_ROWS`` allow."""
+        held: list[pa.Table] = []
         for batch in batches:
             for langs, texts in _slices(batch):
-                p = _Pairs(langs, texts)
-                goes_on = (p.pair >= 0) & often(p.pair)
-                n, none, alive = len(p.code), len(p.words), often(p.single)
-                columns = [p.lang, np.where(alive, p.code, none)]
-                for j in range(1, LONGEST):
-                    alive = alive & np.r_[goes_on[j - 1 :], np.zeros(j - 1, bool)][:n]
-                    columns.append(np.where(alive, np.r_[p.code[j:], np.zeros(j, np.int64)][:n], none))
-                found = pa.table([pa.array(c.astype(np.int32)) for c in columns] + [pa.array(np.ones(n, np.int64))], names=["lang", *WORDS, "n"])
-                found = found.group_by(["lang", *WORDS]).aggregate([("n", "sum")])
-                named = pa.concat_arrays([p.words, pa.array([""])])
-                for part in found.to_batches(50_000):
-                    yield pa.RecordBatch.from_arrays(
-                        [p.langs.take(part.column("lang")), *(named.take(part.column(w)) for w in WORDS), part.column("n_sum")], names=["lang", *WORDS, "n"])
+                held.append(windows(_Pairs(langs, texts)))
+                if sum(t.num_rows for t in held) > TASK_ROWS:
+                    held = [_grouped(held)]
+                if held[0].num_rows > TASK_ROWS // 2:
+                    yield from held.pop(0).to_batches(50_000)
+        if held:
+            yield from _grouped(held).combine_chunks().to_batches(50_000)
 
     return count
 
 
 def phrase_counts(docs: DataFrame, least: int) -> DataFrame:
     """``lang``, ``m`` (words; 0: all words of the lang), ``phrase``, ``f`` of every phrase of up to five words that occurs ``least`` times."""
-    bits = docs.sparkSession.sparkContext.broadcast(frequent_pairs(docs, least))
-    windows = docs.select("lang", "text").mapInArrow(_windows(bits), "lang string, " + ", ".join(f"{w} string" for w in WORDS) + ", n bigint")
+    context, size = docs.sparkSession.sparkContext, 1 << TABLE_BITS
+    pairs = context.broadcast(frequent(docs, _words_and_pairs, least, 2 * size))
+    triples = context.broadcast(frequent(docs, _triples(pairs), least, size))
+    windows = docs.select("lang", "text").mapInArrow(_windows(pairs, triples), "lang string, " + ", ".join(f"{w} string" for w in WORDS) + ", n bigint")
     summed = windows.rollup("lang", *WORDS).agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))
     m = F.greatest(F.lit(LONGEST) - F.bit_count("level"), F.lit(0))
     last = F.element_at(F.array(F.lit("-"), *map(F.col, WORDS)), m + 1)

@@ -4,6 +4,7 @@ import collections
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -55,11 +56,11 @@ def texts(seed):
 
 @pytest.mark.parametrize("bits,top", [(26, 2000), (4, 3)])
 def test_collocations(spark, monkeypatch, bits, top):
-    """Also with a table of 16 counters, which then cuts next to nothing; and with many slices."""
+    """Also with many slices and with a table that cuts nothing, as one with too few counters does."""
     if bits != 26:
-        monkeypatch.setattr(collocations, "TABLE_BITS", bits)
         monkeypatch.setattr(collocations, "SLICE_BYTES", 500)
-        monkeypatch.setattr(collocations, "frequent_pairs", lambda docs, least: __import__("numpy").full(8, 255, "uint8"))
+        monkeypatch.setattr(collocations, "TASK_ROWS", 300)
+        monkeypatch.setattr(collocations, "frequent", lambda docs, counters, least, size: np.full(size >> 3, 255, np.uint8))
     rows = texts(bits)
     df = spark.createDataFrame(rows, DOCS)
     for name in ("m", "n", "w1", "level", "phrase", "f", "a", "k", "rank"):
@@ -78,3 +79,15 @@ def test_split_words_of_a_slice_of_an_array():
     words, text, piece = collocations.split_words(array)
     assert words.to_pylist() == ["ab", "cÉ", "d", "e", "f"] and list(text) == [0, 0, 0, 3, 3]
     assert [a == b for a, b in zip(piece, piece[1:])] == [True, False, False, True]
+
+
+def test_counters_sum_over_slices(spark, monkeypatch):
+    """A bit is set where all slices together reach the least count; functions in tasks see the module's own slice size."""
+    rows = texts(1)
+    counts = collections.Counter()
+    p = collocations._Pairs(pa.array(["und" if lang is None else lang for *_, lang in rows]), pa.array([t or "" for _, t, _ in rows]))
+    counts.update(p.pair[p.pair >= 0].tolist())
+    counts.update(p.single.tolist())
+    df = spark.createDataFrame(rows, DOCS).repartition(5)
+    bits = collocations.frequent(df, collocations._words_and_pairs, 4, 2 << collocations.TABLE_BITS)
+    assert set(np.flatnonzero(np.unpackbits(bits, bitorder="little")).tolist()) == {c for c, n in counts.items() if n >= 4}
