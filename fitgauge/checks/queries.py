@@ -116,6 +116,11 @@ def lake(d: Data) -> dict[tuple[str, str], DataFrame]:
     return {(SCHEMA, t): d.table(t) for t in ALL_TABLES}
 
 
+def kept(d: Data, name: str, df: DataFrame) -> DataFrame:
+    """A table by way of files, as an operator that reads it twice meets it in a run."""
+    return measured_run.step(d.spark, store.work_dir(d.spark), name, lambda: df)
+
+
 def rich(d: Data) -> DataFrame:
     return c.text_rich_columns(live_columns(d))
 
@@ -859,9 +864,7 @@ def dimension_assessment(d: Data) -> DataFrame:
 
 @query
 def quality_overview(d: Data) -> DataFrame:
-    all_scored = scored(d)
-    errors = inc.analyzable(all_scored).filter("profile is null")
-    return r.quality_overview(all_scored, s.top_candidates(all_scored), errors)
+    return r.quality_overview(scored(d))
 
 
 @query
@@ -922,7 +925,7 @@ def top_opportunities(d: Data) -> DataFrame:
 
 @query
 def schema_profiles(d: Data) -> DataFrame:
-    return r.schema_profiles(scored(d))
+    return r.schema_profiles(kept(d, "scored", scored(d).drop("profile")))
 
 
 @query
@@ -1056,7 +1059,8 @@ def incremental_by_file(d: Data) -> DataFrame:
 
 @query
 def merge_candidates(d: Data) -> DataFrame:
-    return inc.merge_candidates(_stored(d), found(d)).select(*COLUMN_KEYS, "feature", "reason")
+    existing, new = kept(d, "existing", _stored(d)), kept(d, "found", found(d))
+    return inc.merge_candidates(existing, new).select(*COLUMN_KEYS, "feature", "reason")
 
 
 @query

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fitgauge import settings as s
@@ -74,3 +74,10 @@ def fqn(*cols: Column | str, width: int | None = None) -> Column:
 def present(col: Column) -> Column:
     """True where the text is neither null nor blank (any white space)."""
     return F.coalesce(col.rlike(r"\S"), F.lit(False))
+
+
+def joined_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """An equi-join on keys that may be null: null meets null. The keys of ``left`` are kept."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*(f"_right_{k}" for k in keys))

@@ -14,6 +14,7 @@ from fitgauge import settings as s
 from fitgauge.functions.names import (
     COLUMN_KEYS,
     TABLE_KEYS,
+    joined_on,
     name_like_any,
     name_matches_any,
     name_regex_any,
@@ -106,7 +107,7 @@ def table_candidates(columns: DataFrame, settings: Settings = DEFAULTS) -> DataF
     names = _first_names(named, [*TABLE_KEYS, "role"], settings.names_per_candidate)
     forecast = (F.col("role") == "number") & (F.col("time") > 0)
     search = (F.col("role") == "text") & (F.col("text") >= settings.min_search_columns)
-    return names.join(counts, TABLE_KEYS).filter(forecast | search).select(
+    return joined_on(names, counts, TABLE_KEYS).filter(forecast | search).select(
         *TABLE_KEYS,
         F.when(forecast, "forecast").otherwise("search").alias("feature"),
         F.when(forecast, F.format_string("Has timestamp + %d numeric columns", "number"))
@@ -160,7 +161,7 @@ def enhanced_search(rich: DataFrame, settings: Settings = DEFAULTS) -> DataFrame
     counts = rich.groupBy(*TABLE_KEYS).agg(F.count("*").alias("texts"))
     names = _first_names(rich, TABLE_KEYS, settings.names_per_rich_candidate)
     several = counts.filter(F.col("texts") >= settings.min_search_columns)
-    return several.join(names, TABLE_KEYS).select(
+    return joined_on(several, names, TABLE_KEYS).select(
         *TABLE_KEYS,
         F.lit("search").alias("feature"),
         F.format_string("%d text columns", "texts").alias("reason"),

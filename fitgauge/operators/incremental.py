@@ -15,6 +15,7 @@ from fitgauge.functions.names import COLUMN_KEYS, TABLE_KEYS
 from fitgauge.functions.times import instant
 from fitgauge.operators.in_flight import in_flight
 from fitgauge.operators.profile import profile_table
+from fitgauge.operators.score import is_analyzable
 from fitgauge.settings import DEFAULTS, Settings
 from fitgauge.sources.catalog import latest_version
 from fitgauge.sources.store import PROFILE_SCHEMA, load_profile_cache, save_part
@@ -53,10 +54,7 @@ def add_candidates(existing: DataFrame, found: DataFrame) -> DataFrame:
 
 def analyzable(candidates: DataFrame) -> DataFrame:
     """Candidates that name a column whose data can be read."""
-    complete = F.col("feature").isin("llm", "extract")
-    for key in COLUMN_KEYS:
-        complete &= F.col(key).isNotNull()
-    return candidates.filter(complete)
+    return candidates.filter(is_analyzable())
 
 
 def cache_miss(wanted: DataFrame, cache: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fitgauge.functions.classify import fill_sparsity, recommended_functions, text_quality_grade
 from fitgauge.functions.names import COLUMN_KEYS, TABLE_KEYS, fqn
-from fitgauge.operators.score import CANDIDATE_KEYS, candidate_order
+from fitgauge.operators.score import CANDIDATE_KEYS, candidate_order, is_analyzable, is_scorable
 from fitgauge.operators.table_score import ranked
 from fitgauge.settings import DEFAULTS, Settings
 from fitgauge.sources.catalog import top_rows
@@ -35,22 +35,18 @@ def _analyzed() -> Column:
     return F.col("profile").isNotNull()
 
 
-def quality_overview(
-    scored: DataFrame, full_scans: DataFrame, errors: DataFrame, settings: Settings = DEFAULTS
-) -> DataFrame:
+def quality_overview(scored: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Counts of all candidates in one pass: measured, good, poor, chosen for full scans, and readable ones that have no profile."""
     readiness = F.col("data_readiness")
     counts = scored.agg(
         F.count("*").alias("total"),
         F.count_if(_analyzed()).alias("analyzed"),
         F.count_if(readiness >= settings.high_quality).alias("high_quality"),
         F.count_if(readiness <= settings.low_quality).alias("low_quality"),
+        F.least(F.count_if(is_scorable()), F.lit(settings.top_candidates)).cast("bigint").alias("full_scans"),
+        F.count_if(is_analyzable() & ~_analyzed()).alias("errors"),
     )
-    return counts.select(
-        "*",
-        _share(F.col("analyzed"), F.col("total")).alias("analysis_rate"),
-        full_scans.agg(F.count("*")).scalar().alias("full_scans"),
-        errors.agg(F.count("*")).scalar().alias("errors"),
-    )
+    return counts.withColumn("analysis_rate", _share(F.col("analyzed"), F.col("total")))
 
 
 def over_provisioned(scored: DataFrame, n: int = 20) -> DataFrame:

@@ -158,13 +158,27 @@ def candidate_order() -> list[Column]:
     return [F.col("total_score").desc(), *[F.col(k).asc_nulls_first() for k in CANDIDATE_KEYS]]
 
 
+def _names_column() -> Column:
+    named = F.lit(True)
+    for key in COLUMN_KEYS:
+        named &= F.col(key).isNotNull()
+    return named
+
+
+def is_scorable() -> Column:
+    """Whether a candidate can be chosen for a full scan."""
+    return F.col("total_score").isNotNull() & _names_column()
+
+
+def is_analyzable() -> Column:
+    """Whether a candidate names a column whose data can be read."""
+    return F.col("feature").isin("llm", "extract") & _names_column()
+
+
 def top_candidates(scored: DataFrame, n: int | None = None, settings: Settings = DEFAULTS) -> DataFrame:
     """Best column-level candidates; runs as one top-n operator, without a full sort."""
     n = settings.top_candidates if n is None else n
-    scorable = F.col("total_score").isNotNull()
-    for key in COLUMN_KEYS:
-        scorable &= F.col(key).isNotNull()
-    return scored.filter(scorable).orderBy(*candidate_order()).limit(n)
+    return scored.filter(is_scorable()).orderBy(*candidate_order()).limit(n)
 
 
 def _checks(settings: Settings) -> dict[str, Column]:

@@ -11,7 +11,6 @@ from fitgauge.operators import candidates as c
 from fitgauge.operators import reports as r
 from fitgauge.operators import score
 from fitgauge.operators import table_score as ts
-from fitgauge.operators.incremental import analyzable
 from fitgauge.settings import DEFAULTS, Settings
 from fitgauge.sources import catalog, store
 
@@ -87,7 +86,6 @@ def catalog_run(
     pii = c.pii_columns(now.columns, settings)
     domain, documents = c.domain_tables(now.columns, settings), c.document_columns(now.columns, settings)
     top = score.top_candidates(found, settings=settings)
-    unmeasured = analyzable(found).filter("profile is null")
     return {
         "readiness": scores,
         "readiness_summary": ts.readiness_summary(scores, now.constraints, settings),
@@ -108,7 +106,7 @@ def catalog_run(
         "enhanced_counts": r.enhanced_counts(
             c.enhanced_llm(rich), c.enhanced_search(rich, settings), domain, documents, pii
         ),
-        "quality_overview": r.quality_overview(found, top, unmeasured, settings),
+        "quality_overview": r.quality_overview(found, settings),
         "quality_by_feature": r.quality_by_feature(found, settings),
         "over_provisioned": r.over_provisioned(found),
         "high_quality": r.high_quality(found, settings=settings),

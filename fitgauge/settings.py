@@ -108,7 +108,6 @@ class Settings:
     rank_values: int = 4_000_000
     quantile_sketch: int = 1000
     profile_fan_in: int = 256
-    plain_sample_rows: int = 1_000_000
     jobs_in_flight: int = 8
     files_per_job: int = 1000
 

@@ -1,5 +1,6 @@
 """Profiles: the two ways to compute them agree, and with numpy, on skewed, empty and null data."""
 
+import hashlib
 import math
 from dataclasses import replace
 
@@ -104,13 +105,29 @@ def test_natural_language_needs_spaces(spark):
     assert [r.checked_values for r in found] == [10, 10, 0]
 
 
-def test_sample_is_the_same_with_and_without_the_bound(spark):
+def test_samples_of_files_and_of_other_tables_are_the_same(spark, tmp_path):
     df = spark.range(0, 50000, 1, 7).withColumn("v", F.col("id") * 2)
-    plain = [r.id for r in sample_rows(df, 300, ["id"]).collect()]
-    bound = [r.id for r in sample_rows(df, 300, ["id"], replace(DEFAULTS, plain_sample_rows=100)).collect()]
-    assert plain == bound and len(set(plain)) == 300
-    one_key = df.withColumn("id", F.lit(1))
-    assert sample_rows(one_key, 300, ["id"], replace(DEFAULTS, plain_sample_rows=100)).count() == 300
+    order = sorted(range(50000), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    df.write.parquet(f"{tmp_path}/t")
+    stored = spark.read.parquet(f"{tmp_path}/t")
+    for n in (0, 1, 300, 5000):
+        for rows in (df, stored, stored.select("id"), stored.filter("id >= 0")):
+            assert {r.id for r in sample_rows(rows, n, ["id"]).collect()} == set(order[:n])
+    assert sample_rows(stored, 60000, ["id"]).count() == 50000
+    for one_key in (df.withColumn("id", F.lit(1)), stored.withColumn("id", F.lit(1)), stored.withColumn("id", F.lit(None).cast("long"))):
+        assert sample_rows(one_key, 300, ["id"]).count() == 300
+
+
+def test_only_files_with_sampled_rows_are_read(spark, tmp_path):
+    """Three of a hundred files, and of those only the row groups that can hold a chosen key."""
+    rows = spark.range(0, 20000, 1, 100).withColumn("text", F.repeat(F.lit("x"), 50))
+    rows.write.option("parquet.block.size", 1024).parquet(f"{tmp_path}/t")
+    stored = spark.read.parquet(f"{tmp_path}/t")
+    sample = sample_rows(stored, 3, ["id"])
+    plan = sample._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("part-") <= 3 * 4 and "PushedFilters: [In(id" in plan and "PartitionFilters: [" in plan
+    scanned = stored.filter(F.col("_metadata.file_path").isin([r.f for r in sample.select(F.col("_metadata.file_path").alias("f")).distinct().collect()]))
+    assert scanned.rdd.getNumPartitions() <= 3 and sample.count() == 3
 
 
 def test_all_columns_are_read_together(data):

@@ -322,3 +322,62 @@ def test_sample_size():
     assert choose_sample_size(100, 100 * 50_000) == 1000
     assert choose_sample_size(100, 100 * 10_000_000) == 100
     assert choose_sample_size(0, 0) == 10000
+
+
+def test_table_candidates_of_a_null_database_are_kept(spark):
+    from fitgauge.operators import candidates as c
+
+    rows = [(None, "S", "T", f"C{i}", i, t, 500, None) for i, t in enumerate(("DATE", "NUMBER", "VARCHAR", "VARCHAR"))]
+    columns = spark.createDataFrame(
+        rows, "database_name string, schema_name string, table_name string, column_name string, ordinal_position int, data_type string, "
+        "character_maximum_length bigint, column_comment string")
+    assert {(r.database_name, r.feature) for r in c.table_candidates(columns).collect()} == {(None, "forecast"), (None, "search")}
+    assert [r.text_columns for r in c.enhanced_search(columns).collect()] == [["C0", "C1", "C2", "C3"]]
+
+
+def test_table_level_confirmation_needs_measured_members(spark):
+    from fitgauge.operators import score as s
+
+    keys = "database_name string, schema_name string, table_name string, "
+    found = spark.createDataFrame(
+        [("D", "S", t, None, "search", None, None, None, "", None, [f"C{i}" for i in range(3)]) for t in ("good", "poor", "unknown")],
+        keys + "column_name string, feature string, data_type string, max_length bigint, comment string, reason string, numeric_columns array<string>, text_columns array<string>")
+    profiles = spark.createDataFrame(
+        [("D", "S", t, f"C{i}", 100, 100 - n, float(n), a, 900, True, None) for t, n, a in (("good", 4, 250.0), ("poor", 80, 20.0)) for i in range(2)],
+        keys + "column_name string, total_rows_sampled bigint, non_null_count bigint, null_percentage double, avg_length double, max_length bigint, "
+        "is_natural_language boolean, is_valid_structure boolean")
+    columns = spark.createDataFrame(
+        [("D", "S", t, f"C{i}", i, "VARCHAR", 1000) for t in ("good", "poor", "unknown") for i in range(3)],
+        keys + "column_name string, ordinal_position int, data_type string, character_maximum_length bigint")
+    first = s.score_candidate(found, profiles)
+    assert not any(r.is_confirmed for r in s.confirm(s.rescored(first)).collect())
+    rolled = {r.table_name: r for r in s.confirm(s.rolled_up(first, profiles, columns)).collect()}
+    assert [rolled[t].is_confirmed for t in ("good", "poor", "unknown")] == [True, False, False]
+    assert rolled["good"].profile.null_percentage == 4.0 and rolled["good"].data_readiness == 5.0
+    assert rolled["unknown"].profile is None and rolled["unknown"].data_readiness == 3.0
+
+
+def test_key_counts_fill_the_estimated_profile(spark):
+    from fitgauge.operators import estimate as e, profile as p
+
+    df = spark.createDataFrame([('{"a": 1, "b": 2}', '{"x": {}}'), ('{"b": 1, "c d": 0}', "[1]"), ("oops", None), ("{}", '{"x": 1}')], "j string, k string")
+    counts = {(r.column_name, r.json_key): r.n for r in p.json_key_counts(df, ["j", "k"]).collect()}
+    assert counts == {("j", "a"): 1, ("j", "b"): 2, ("j", "c d"): 1, ("k", "x"): 2}
+    keys = p.json_key_counts(df, ["j", "k"]).selectExpr("'D' as database_name", "'S' as schema_name", "'T' as table_name", "*")
+    columns = spark.createDataFrame([("D", "S", "T", c, "VARIANT") for c in "jkl"], "database_name string, schema_name string, table_name string, column_name string, data_type string")
+    got = {r.column_name: r.top_keys for r in e.estimated_json_profile(columns, keys=keys).collect()}
+    assert got == {"j": ["b", "a", "c d"], "k": ["x"], "l": []}
+    assert all(r.top_keys == [] for r in e.estimated_json_profile(columns).collect())
+
+
+def test_json_paths_go_as_deep_as_the_data(spark):
+    from fitgauge.operators import profile as p
+
+    deep = "7"
+    for i in range(40):
+        deep = f'{{"k{i}": {deep}}}' if i % 3 else f"[{deep}]"
+    df = spark.createDataFrame([(deep,), ('{"a": 1}',), ("no json",), (None,), ('"text"',), ("{}",)], "j string")
+    found = {(r.path, r.type): r.n for r in p.json_path_types(df, "j").collect()}
+    assert len(found) == 41 and found["a", "INTEGER"] == 1
+    assert max(path.count(".") for path, _ in found) == 39
+    assert p.json_path_types(df.limit(0), "j").collect() == []
