@@ -63,17 +63,9 @@ def cache_miss(wanted: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def _stored_form(df: DataFrame, key: TableKey, analysis: str, at: datetime) -> DataFrame:
-    constants = dict(zip(TABLE_KEYS, key))
-    full = df.withColumns(
-        {
-            **{k: F.lit(v) for k, v in constants.items()},
-            "status": F.lit("success"),
-            "error": F.lit(None).cast("string"),
-            "analysis_type": F.lit(analysis),
-            "analyzed_at": instant(at),
-        }
-    )
-    return full.select([F.col(f.name).cast(f.dataType) for f in PROFILE_SCHEMA.fields])
+    given = {**dict(zip(TABLE_KEYS, key)), "status": "success", "error": None, "analysis_type": analysis}
+    named = {k: F.lit(v) for k, v in given.items()} | {"analyzed_at": instant(at)}
+    return df.select([named.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in PROFILE_SCHEMA.fields])
 
 
 def error_rows(
@@ -117,14 +109,14 @@ def table_profile(
     except PySparkException as error:
         return failed(columns, f"table not found: {error.getCondition()}")
     present = [c for c in columns if c in df.columns]
-    rows = failed([c for c in columns if c not in df.columns], "column not found")
+    gone = [c for c in columns if c not in df.columns]
     if not present:
-        return rows
+        return failed(gone, "column not found")
     try:
-        profiled = profile_table(df, present, settings, rows=df.count())
+        rows = _stored_form(profile_table(df, present, settings, rows=df.count()), key, analysis, at)
     except JOB_FAILURES as error:
-        return failed(present, f"table not readable: {cause(error)}").unionByName(rows)
-    return _stored_form(profiled, key, analysis, at).unionByName(rows)
+        rows = failed(present, f"table not readable: {cause(error)}")
+    return rows.unionByName(failed(gone, "column not found")) if gone else rows
 
 
 def profile_tables(

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from fitgauge.functions import classify
 from fitgauge.functions.names import TABLE_KEYS
-from fitgauge.operators.quantiles import Target, key, narrowed, quantile_map, two_level
+from fitgauge.operators.quantiles import Target, key, narrowed, over, quantile_map, quantile_sql
 from fitgauge.settings import DEFAULTS, Settings
 from fitgauge.sources.folders import work_dir
 from fitgauge.sources.tables import choose_sample_size, sample_order, sample_rows
@@ -192,17 +192,19 @@ def _profiled(
     bits = settings.sketch_bits if distinct else None
     partial = ["count(*) as part_rows", *[x for m in measures for x in m.partial(bits)]]
     merge = ["coalesce(sum(part_rows), 0) as total_rows", *[x for m in measures for x in m.merge(bits)]]
-    wide = two_level(df, partial, merge, settings)
-    found = F.lit(None).cast("map<string,double>")
-    if quantiles:
-        targets = [m.target for m in measures]
-        if rows > settings.rank_values:
-            # texts have few different lengths, so these are counted as they are
-            numbers = narrowed(df, [m.target for m in measures if m.kind == "numeric"], settings)
-            targets = [m.target for m in measures if m.kind != "numeric"] + numbers
-        found = quantile_map(df, targets).scalar()
-    wide = wide.withColumn("found", found)
-    return wide.selectExpr(f"inline(array({', '.join(m.result() for m in measures)}))")
+    targets = [m.target for m in measures]
+    if quantiles and rows > settings.rank_values:
+        # texts have few different lengths, so these are counted as they are
+        numbers = narrowed(df, [m.target for m in measures if m.kind == "numeric"], settings)
+        targets = [m.target for m in measures if m.kind != "numeric"] + numbers
+    results = ", ".join(m.result() for m in measures)
+
+    def text(table: str) -> str:
+        found = f"({quantile_sql(targets, table)})" if quantiles else "cast(null as map<string, double>)"
+        parts = f"select {', '.join(partial)} from {table} group by pmod(spark_partition_id(), {settings.profile_fan_in})"
+        return f"select inline(array({results})) from (select *, {found} as found from (select {', '.join(merge)} from ({parts})))"
+
+    return over(df, text)
 
 
 def quantile_bounds(df: DataFrame, margin: float = 0.02, settings: Settings = DEFAULTS) -> DataFrame:

@@ -11,7 +11,8 @@ different bins, hence every round narrows it. Only counts and ends come to the d
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,9 +23,10 @@ from fitgauge.settings import DEFAULTS, Settings
 #: Bins of one round; those of values that are no finite numbers lie behind all others.
 BINS = 4096
 OUTSIDE = 8 * BINS
-#: Quarters of octaves between the smallest and the largest share of a range that a double can hold.
-OCTAVES = 1100
-#: Of the rounds of a range, every third counts by orders of magnitude, so that long-tailed values end as soon as even ones.
+#: Quarters of octaves, on either side of the bin of zero; no double is smaller than 2 ** -OCTAVES.
+OCTAVES, ZERO = 1100, 2 * BINS + 2000
+#: Every third round counts by sign and order of magnitude, so that long-tailed values end as soon as even ones: it leaves a range whose ends
+#: differ by a fifth at most, and each of the others divides it by ``BINS``.
 LOG_ROUND = 3
 
 
@@ -78,7 +80,8 @@ class Target:
         share = f"(({self.value}) * 0.5D - {literal(self.low * 0.5)}) / {literal(self.high * 0.5 - self.low * 0.5)}"
         inner = f"cast(floor({share} * {BINS}) as int)"
         if turn % LOG_ROUND == LOG_ROUND - 1:
-            inner = f"if({share} <= 0D, 0, 1 + cast(floor(({OCTAVES} + log2({share})) * 4) as int))"
+            size = f"1 + cast(floor(({OCTAVES} + log2(abs({self.value}))) * 4) as int)"
+            inner = f"if({self.value} = 0D, {ZERO}, if({self.value} > 0D, {ZERO} + {size}, {ZERO} - ({size})))"
         return (
             f"case when isnan({self.value}) then {OUTSIDE + 1} when {self.value} = double('infinity') then {OUTSIDE} "
             f"when {self.value} = double('-infinity') then -1 else {inner} end"
@@ -167,8 +170,25 @@ def key(column: str, quantile: float) -> str:
     return f"{column}@{quantile!r}"
 
 
-def quantile_map(df: DataFrame, targets: Sequence[Target]) -> DataFrame:
-    """One row with ``found``, a map from ``key(column, quantile)`` to the exact value; columns without values have no entry.
+def over(df: DataFrame, text: Callable[[str], str]) -> DataFrame:
+    """A statement over a DataFrame, given the name to read it by. One text is analyzed once, where a chain of calls is analyzed anew with
+    each of them, which for many columns takes longer than small tables do."""
+    name = f"fitgauge_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(name)
+    try:
+        return df.sparkSession.sql(text(name))
+    finally:
+        df.sparkSession.catalog.dropTempView(name)
+
+
+def _list(values: Sequence, kind: str) -> str:
+    """A target's own value, in SQL."""
+    shown = ", ".join("null" if v is None else f"'{_escaped(v)}'" if isinstance(v, str) else str(v).lower() for v in values)
+    return f"cast(array({shown}) as array<{kind}>)[t]"
+
+
+def quantile_sql(targets: Sequence[Target], rows: str) -> str:
+    """A query with one row and one column, a map from ``key(column, quantile)`` to the exact value; columns without values have no entry.
 
     One scan of the columns that are not settled, and one shuffle of the distinct values in their ranges.
     """
@@ -177,21 +197,30 @@ def quantile_map(df: DataFrame, targets: Sequence[Target]) -> DataFrame:
     fixed = f"array({fixed})" if known else "cast(array() as array<struct<key:string,value:double>>)"
     targets = [x for x in targets if x.settled is None]
     if not targets:
-        return df.sparkSession.range(1).select(F.expr(f"map_from_entries({fixed})").alias("found"))
-    counts = _pairs(df, targets, [f"{x.value} as v" for x in targets]).groupBy("t", "v").agg(F.count("*").alias("n"))
-    counts = _running(counts, "v").withColumns({
-        "total": F.coalesce(_of([x.total for x in targets], "bigint"), F.col("among")), "below": _of([x.below for x in targets], "bigint")})
+        return f"select map_from_entries({fixed}) as found"
+    pairs = ", ".join(f"if({x.in_range} is null, null, struct({i} as t, {x.value} as v))" for i, x in enumerate(targets))
     entries = []
     for q in sorted({q for x in targets for q in x.quantiles}):
-        place = F.lit(q) * (F.col("total") - 1)
-        at = [F.min(F.when((F.col("upto") > r) & (F.col("upto") - F.col("n") <= r), F.col("v"))) for r in (F.floor(place) - F.col("below"), F.ceil(place) - F.col("below"))]
-        share = F.max(place - F.floor(place))
-        value = F.when((at[0] == at[1]) | (share == 0), at[0]).otherwise((1 - share) * at[0] + share * at[1])
-        name = F.concat(_of([x.column for x in targets], "string"), F.lit(key("", q)))
-        entries.append(F.when(_of([q in x.quantiles for x in targets], "boolean"), F.struct(name.alias("key"), value.alias("value"))))
-    # one row for each target, then one in all
-    found = counts.groupBy("t").agg(F.array_compact(F.array(*entries)).alias("entries"))
-    return found.agg(F.map_from_entries(F.concat(F.flatten(F.collect_list("entries")), F.expr(fixed))).alias("found"))
+        place = f"({q!r}D * (total - 1))"
+        low, high = (f"min(if(upto > {r} - below and upto - n <= {r} - below, v, null))" for r in (f"floor({place})", f"ceil({place})"))
+        share = f"max({place} - floor({place}))"
+        value = f"if({low} = {high} or {share} = 0, {low}, (1 - {share}) * {low} + {share} * {high})"
+        name = f"concat({_list([x.column for x in targets], 'string')}, '{key('', q)}')"
+        entries.append(f"if({_list([q in x.quantiles for x in targets], 'boolean')}, struct({name} as key, {value} as value), null)")
+    return f"""
+        select map_from_entries(concat(flatten(collect_list(entries)), {fixed})) as found from (
+            select t, array_compact(array({", ".join(entries)})) as entries from (
+                select *, coalesce({_list([x.total for x in targets], "bigint")}, among) as total, {_list([x.below for x in targets], "bigint")} as below from (
+                    select *, sum(n) over (partition by t order by v rows between unbounded preceding and current row) as upto,
+                        sum(n) over (partition by t) as among from (
+                        select pair.t, pair.v, count(*) as n from (select explode(array({pairs})) as pair from {rows})
+                        where pair is not null group by pair.t, pair.v)))
+            group by t)"""
+
+
+def quantile_map(df: DataFrame, targets: Sequence[Target]) -> DataFrame:
+    """One row with ``found``, the map of ``quantile_sql``."""
+    return over(df, lambda rows: quantile_sql(targets, rows))
 
 
 def _escaped(text: str) -> str:

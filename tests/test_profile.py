@@ -157,7 +157,7 @@ def test_narrowed_quantiles_are_exact(spark, scale):
         "odd": np.r_[rng.normal(size=n), [np.nan] * 60, [np.inf] * 150, [-np.inf] * 2200, [5e-324] * 40, [1e308, -1e308]],
     }[scale]
     df = spark.createDataFrame([(float(v),) for v in values], "x double").repartition(5)
-    for rank_values in (3, 500, 10**6):
+    for rank_values in (3, 10**6):
         row = p.numeric_profile(df, ["x"], replace(DEFAULTS, rank_values=rank_values)).first()
         order = np.sort(values)  # NaN is the largest
         for q, got in ((0.5, row.median_value), (0.95, row.p95_value)):
