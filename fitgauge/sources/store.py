@@ -79,7 +79,7 @@ def save(df: DataFrame, path: str, *, run_mode: str = "fresh", fmt: str = "parqu
 def save_part(df: DataFrame, path: str) -> None:
     """Adds rows to a store as a part with a folder of its own, so that several jobs can add to one store at the same time: writers
     of one folder would clear each other's unfinished files. Readers see a part once it is whole."""
-    df.coalesce(1).write.parquet(f"{path}/part-{uuid.uuid4().hex}")
+    df.coalesce(1).write.parquet(f"{path}/part={uuid.uuid4().hex}")
 
 
 def write_outputs(

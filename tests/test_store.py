@@ -11,7 +11,7 @@ from fitgauge.functions.names import COLUMN_KEYS
 from fitgauge.operators import incremental as inc
 from fitgauge.operators.candidates import all_candidates
 from fitgauge.plans import measured_run
-from fitgauge.sources import catalog, crawl, store
+from fitgauge.sources import catalog, crawl, folders, store
 from fitgauge.streaming.snapshots import publish_snapshots
 
 AT = datetime(2024, 1, 1)
@@ -89,7 +89,7 @@ def test_inventory_survives_quotes_and_line_breaks(spark, tmp_path):
 
 
 def test_work_dir_is_the_shared_folder(monkeypatch):
-    monkeypatch.setattr(store, "until_end", lambda _, path: path)
+    monkeypatch.setattr(folders, "until_end", lambda _, path: path)
 
     def session(shared, master):
         conf = SimpleNamespace(get=lambda key, default: shared if key == "spark.checkpoint.dir" else default)
