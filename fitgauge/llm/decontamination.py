@@ -18,6 +18,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from fitgauge.llm.shared import packed, unpacked
+
 WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
 #: Items in a block of the index.
@@ -269,9 +271,12 @@ def _indexes(benchmark: DataFrame, size: int, index_words: int) -> Iterator[Inde
             df = frequencies
         else:
             df = frequencies.join(words.where(chunk == c).select(F.col("term").alias("t")).distinct(), F.col("term") == F.col("t")).select("term", "df")
-        rows = own.toPandas()
+        # null ids as None: as floats, ids would be rounded
+        rows = own.select(F.col("item_id").cast("long"), "question", "answer").toArrow().to_pandas(integer_object_nulls=True)
         if len(rows):
-            yield build(rows, {r.term: r.df for r in df.collect()}, n_items, max(n_words / n_items, 1e-9), size)
+            index = build(rows, {r.term: r.df for r in df.collect()}, n_items, max(n_words / n_items, 1e-9), size)
+            if len(index.items):  # items without words have no postings
+                yield index
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.8, shingle_words: int = 5,
@@ -282,7 +287,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap
     ``benchmark`` has ``item_id`` and either ``question`` and ``answer`` or ``text``. A passage has to score ``threshold`` and
     to contain the share ``overlap`` of the ``shingle_words``-word sequences of both question and answer (shorter ones: of the
     whole). Case and punctuation do not count. Null and empty texts, and items without words, match nothing; repeated rows
-    repeat; items with equal texts are all reported; a null ``doc_id`` stays null. Empty tables give an empty result. An index
+    repeat; items with equal texts are all reported; a null ``doc_id`` or ``item_id`` stays null. Empty tables give an empty result. An index
     holds at most about ``index_words`` words and goes to the executors with the tasks; a larger benchmark makes several.
     """
     schema = "doc_id long, text_key long, item_id long, score double, question_overlap double, answer_overlap double"
@@ -296,11 +301,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap
                 for low in range(0, len(texts), 1000):
                     part = texts.slice(low, 1000)
                     hits = contaminated(index, [terms(t) for t in part.to_pylist()], threshold, overlap)
-                    out = [(low + text, int(index.items[item]), *best) for text, items in hits.items() for item, best in items.items()]
+                    out = [(low + text, index.items[item], *best) for text, items in hits.items() for item, best in items.items()]
                     if out:
                         place = pa.array([o[0] for o in out])
                         yield pa.RecordBatch.from_arrays(
-                            [b.column("doc_id").take(place), b.column("text_key").take(place), *(pa.array([o[i] for o in out]) for i in range(1, 5))],
+                            [b.column("doc_id").take(place), b.column("text_key").take(place), pa.array([None if o[1] is None else int(o[1]) for o in out], pa.int64()),
+                             *(pa.array([o[i] for o in out], pa.float64()) for i in range(2, 5))],
                             ["doc_id", "text_key", "item_id", "score", "question_overlap", "answer_overlap"])
 
         hits = rows.mapInArrow(run, schema)
@@ -309,8 +315,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without a leak, with all their columns."""
+    """The rows of ``docs`` without a leak, with all their columns, whatever their names.
+
+    Rows with equal id and text, null ids too, stay or go together; null and empty texts stay. Without items all rows stay.
+    """
     hit = leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    own = docs.withColumn("_own_key", F.xxhash64("text"))
+    own = packed(docs).withColumn("_own_key", F.xxhash64("text"))
     same = (F.col("_own_key") == F.col("_key")) & own["doc_id"].cast("long").eqNullSafe(F.col("_id"))
-    return own.join(hit, same, "left_anti").drop("_own_key")
+    return unpacked(own.join(hit, same, "left_anti").drop("_own_key"), docs.columns)

@@ -23,7 +23,7 @@ from math import comb, log2
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fitgauge.llm.components import components
-from fitgauge.llm.shared import shared_root, stored
+from fitgauge.llm.shared import packed, unpacked, shared_root, stored
 
 BITS = 64
 #: Relative cost of a row that is shuffled and of a comparison in the join.
@@ -395,8 +395,9 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     Rows are told apart by their position, so ``docs`` has to be a table that gives rows in the same order when read again.
     """
     gone = line_groups(docs, **({"shared_words": True, "whole": True} | options)).where("not kept").groupBy(F.col("row").alias("_gone_row")).agg(F.collect_set("line_no").alias("_gone"))
-    own = docs.withColumn("_row", F.monotonically_increasing_id())
+    inner = packed(docs)
+    own = inner.withColumn("_row", F.monotonically_increasing_id())
     joined = own.join(gone, F.col("_row") == F.col("_gone_row"), "left")
     lines = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_gone", i))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    return joined.withColumn("text", text).select(*docs.columns)
+    return unpacked(joined.withColumn("text", text).select(*inner.columns), docs.columns)

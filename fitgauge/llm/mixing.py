@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fitgauge.llm.shared import text_bytes
+from fitgauge.llm.shared import packed, text_bytes, unpacked
 
 #: Means above this are drawn as a sum of independent parts, so that exp(-mean) stays a normal number.
 LARGEST_MEAN = 256
@@ -53,7 +53,7 @@ def replicated(docs: DataFrame, rates: DataFrame, seed: int = 42, by: str = "sou
     """Each document as often as its Poisson count says, in one global random order.
 
     ``rates`` has ``by`` and ``rate`` (null sources have a row too); a source without rate is left out. Adds ``copy`` (from
-    1) and ``shuffle_key`` (bigint, the order) to the columns of ``docs``, replacing columns of those names. The count
+    1) and ``shuffle_key`` (bigint, the order) to the columns of ``docs``, replacing columns of those names; columns of all other names stay. The count
     depends on seed and ``doc_id`` alone: repeated rows get equal counts, a null id counts as empty. Empty and null texts
     are documents like others. An empty table gives an empty result.
     """
@@ -61,10 +61,11 @@ def replicated(docs: DataFrame, rates: DataFrame, seed: int = 42, by: str = "sou
     few = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     named = F.broadcast(named) if few else named
     docs = docs.drop("copy", "shuffle_key")
+    columns, docs = docs.columns, packed(docs, by)
     drawn = docs.join(named, docs[by].eqNullSafe(F.col("_group"))).withColumn(
         "_count", poisson_count(F.col("_rate"), seed, F.col("doc_id")))
     copies = drawn.where("_count > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_count"))))
     key = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy"), F.lit("order"))
     key = F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
     copies = copies.select(*(F.col(f"`{c}`") for c in docs.columns), "copy", key.alias("shuffle_key"))
-    return copies.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key", "doc_id", "copy")
+    return unpacked(copies.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key", "doc_id", "copy"), columns)

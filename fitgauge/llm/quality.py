@@ -15,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
-from fitgauge.llm.shared import stored
+from fitgauge.llm.shared import packed, stored, unpacked
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SYMBOLS = b"#*$%&|<>"
@@ -281,10 +281,14 @@ def assessed(docs: DataFrame, tail: float = TAIL, share: float = SHARE, group_ro
 
 
 def accepted(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that ``assessed`` keeps, with all their columns."""
+    """The rows of ``docs`` that ``assessed`` keeps, with all their columns, whatever their names.
+
+    Rows with equal id, text, language and source are kept or rejected together, null ids, languages and sources too; null and
+    empty texts are rejected. An empty table gives an empty result.
+    """
     rejected = assessed(docs, **options).where("not kept").select(
         F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("lang").alias("_lang"), F.col("source").alias("_source")).distinct()
-    own = docs.withColumn("_own_key", F.xxhash64("text"))
+    own = packed(docs).withColumn("_own_key", F.xxhash64("text"))
     same = (F.col("_own_key") == F.col("_key")) & own["doc_id"].cast("long").eqNullSafe(F.col("_id"))
     same = same & own["lang"].cast("string").eqNullSafe(F.col("_lang")) & own["source"].cast("string").eqNullSafe(F.col("_source"))
-    return own.join(rejected, same, "left_anti").drop("_own_key")
+    return unpacked(own.join(rejected, same, "left_anti").drop("_own_key"), docs.columns)

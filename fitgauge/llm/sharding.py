@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from fitgauge.llm.shared import stored, text_bytes
+from fitgauge.llm.shared import packed, unpacked, stored, text_bytes
 
 #: Bits of the key that one round tells apart, and rounds for each of the three 60-bit key columns.
 STEP_BITS, STEPS = 12, 5
@@ -128,7 +128,8 @@ def sharded(docs: DataFrame, shards: int = 40, tolerance: float = 0.0, part_byte
     divided only where a cut falls into it. Repeated rows are told apart by their position, so ``docs`` has to be a table
     that gives rows in the same order when it is read again. An empty table gives an empty result.
     """
-    docs = with_keys(docs.drop("shard", "slot"))
+    docs = docs.drop("shard", "slot")
+    columns, docs = docs.columns, with_keys(packed(docs))
     sizes = stored(docs.select("_size", *KEYS), "sizes")
     total = sizes.agg(F.sum("_size")).first()[0] or 0
     parts = max(1, -(-total // (shards * part_bytes)))
@@ -139,4 +140,4 @@ def sharded(docs: DataFrame, shards: int = 40, tolerance: float = 0.0, part_byte
     placed = docs.withColumn("_part", _place(cuts).cast("int")).withColumn("_row", F.row_number().over(order) - 1)
     base = F.lit(0).cast("long") if parts == 1 else F.element_at(F.array(*map(F.lit, first)), F.col("_part") + 1).cast("long")
     placed = placed.withColumns({"shard": F.floor(F.col("_part") / parts).cast("int"), "slot": base + F.col("_row")})
-    return placed.drop("_size", *KEYS, "_part", "_row")
+    return unpacked(placed.drop("_size", *KEYS, "_part", "_row"), columns)

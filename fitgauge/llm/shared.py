@@ -33,6 +33,35 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Columns of documents; operators name their helper columns differently.
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+PACKED = "_packed"
+
+
+def _named(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def packed(docs: DataFrame, *read: str) -> DataFrame:
+    """``docs`` with the columns that are neither those of documents nor ``read`` in one struct, where no name of theirs meets
+    that of a helper column. A table without such columns stays as it is."""
+    own = {c.lower() for c in (*DOCUMENT, *read)}
+    others = [c for c in docs.columns if c.lower() not in own]
+    if not others:
+        return docs
+    kept = [F.col(_named(c)) for c in docs.columns if c.lower() in own]
+    return docs.select(*kept, F.struct(*(F.col(_named(c)) for c in others)).alias(PACKED))
+
+
+def unpacked(found: DataFrame, columns: list[str]) -> DataFrame:
+    """``found``, made from ``packed``, with the ``columns`` of the table before in their order, then those that were added."""
+    if PACKED not in found.columns:
+        return found
+    inner = set(found.schema[PACKED].dataType.names)
+    added = [c for c in found.columns if c != PACKED and c not in columns]
+    return found.select(*(F.col(f"{PACKED}.{_named(c)}" if c in inner else _named(c)) for c in columns), *added)
+
+
 def text_bytes(column: str = "text") -> Column:
     """UTF-8 length of a text; null counts as none."""
     return F.coalesce(F.octet_length(F.col(column)), F.lit(0)).cast("long")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from fitgauge.llm.components import components
-from fitgauge.llm.shared import stored
+from fitgauge.llm.shared import packed, stored, unpacked
 
 BITS = 64
 #: Relative cost of a probe (a row that is shuffled) and of a comparison inside a bucket.
@@ -262,15 +262,16 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, max_bits: int = 4,
 
 
 def representatives(docs: DataFrame, shingle_words: int = 4, max_bits: int = 4) -> DataFrame:
-    """One document of each group, all columns: that with the least ``doc_id``, of several the least text key.
+    """One document of each group, all columns, whatever their names: that with the least ``doc_id``, of several the least text key.
 
-    Rows without ``doc_id`` come after all others. Where several rows have both equal, one of them stays.
+    Rows without ``doc_id`` come after all others. Where several rows have both equal, one of them stays. Null and wordless texts
+    are one group. An empty table gives an empty result.
     """
     rows = near_duplicates(docs, shingle_words, max_bits)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first")
     kept = rows.groupBy("component_fp").agg(first).select(
         F.col("first.doc_id").alias("_kept_id"), F.col("first.text_key").alias("_kept_key"))
-    keyed = docs.withColumns({"_own_id": F.col("doc_id").cast("long"), "_own_key": F.xxhash64("text")})
+    keyed = packed(docs).withColumns({"_own_id": F.col("doc_id").cast("long"), "_own_key": F.xxhash64("text")})
     same = F.col("_own_id").eqNullSafe(F.col("_kept_id")) & (F.col("_own_key") == F.col("_kept_key"))
     chosen = keyed.join(kept, same, "left_semi").dropDuplicates(["_own_id", "_own_key"])
-    return chosen.drop("_own_id", "_own_key")
+    return unpacked(chosen.drop("_own_id", "_own_key"), docs.columns)

@@ -25,6 +25,13 @@ VERSION = "WARC/1.1"
 RECORD = "record_id string, warc_type string, target_uri string, refers_to string, headers array<struct<name: string, value: string>>, block binary"
 FIELDS = ["record_id", "warc_type", "target_uri", "refers_to", "headers", "block"]
 TYPES = [pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())])), pa.binary()]
+#: Type of the rows that stand for bytes of a file that are no whole record; no record has it.
+DAMAGED = "damaged"
+VERSION_LINE = re.compile(rb"WARC/\d+\.\d+\r\n")
+CHUNK_SIZE = re.compile(rb"[ \t]*([0-9A-Fa-f]+)[ \t]*(?:;.*)?", re.S)
+GZIP = b"\x1f\x8b\x08"
+#: Bytes of a damaged gzip member that are unpacked at a time, and of records that are handed on together.
+STEP_BYTES, BATCH_BYTES = 1 << 14, 1 << 24
 CHARSET = re.compile(rb"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.I)
 TITLE = re.compile(r"<title[^>]*>(.*?)(?:</title|\Z)", re.I | re.S)
 LANGUAGE = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
@@ -73,10 +80,10 @@ def payload(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
 def _dechunked(body: bytes) -> bytes:
     out, place = [], 0
     while (end := body.find(b"\r\n", place)) >= 0:
-        try:
-            size = int(body[place:end].split(b";")[0], 16)
-        except ValueError:
+        stated = CHUNK_SIZE.fullmatch(body, place, end)
+        if not stated:
             return body
+        size = int(stated[1], 16)
         if not size:
             break
         out.append(body[end + 2 : end + 2 + size])
@@ -85,14 +92,17 @@ def _dechunked(body: bytes) -> bytes:
 
 
 def decoded(body: bytes, headers: list[tuple[str, str]]) -> tuple[str, str]:
-    """The page as text, and its charset: from the headers, else from the page's start, else UTF-8."""
+    """The page as text, and its charset: from the headers, else from the page's start, else UTF-8. A charset that is unknown, or is
+    none for pages, counts as UTF-8; what can't be decoded or encoded again becomes a replacement character."""
     stated = next((v for n, v in headers if n.lower() == "content-type"), "").encode()
     found = CHARSET.search(stated) or CHARSET.search(body[:2048])
     name = found[1].decode().lower() if found else "utf-8"
-    try:
-        return body.decode(name, "replace"), name
-    except LookupError:
-        return body.decode("utf-8", "replace"), "utf-8"
+    if name != "utf-8":
+        try:
+            return body.decode(name, "replace").encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace"), name
+        except (LookupError, ValueError, OverflowError):
+            pass
+    return body.decode("utf-8", "replace"), "utf-8"
 
 
 def _record(record_id: str, kind: str, uri: str, refers_to: str, headers: list[tuple[str, str]], content_type: str, block: bytes) -> tuple:
@@ -178,51 +188,109 @@ def written(headers: list[dict], block: bytes) -> bytes:
     return f"{VERSION}\r\n{head}\r\n".encode() + block + b"\r\n\r\n"
 
 
-def read(data: bytes) -> Iterator[tuple]:
-    """The records of a file's bytes, plain or gzipped record by record; reading ends at the first that is damaged."""
-    if data[:2] == b"\x1f\x8b":
-        parts = []
-        while data[:2] == b"\x1f\x8b":
-            member = zlib.decompressobj(31)
+def _unpacked(data: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """Stretches of a gzipped file: the bytes of members end to end, and the packed bytes behind them that are no whole member.
+
+    What came out of a broken member belongs to the first; search goes on at the next start of a member behind it.
+    """
+    parts, place = [], 0
+    while place < len(data):
+        member, packed = zlib.decompressobj(31), memoryview(data)[place:]
+        whole = False
+        if data.startswith(GZIP, place):
+            used = 0
             try:
-                parts.append(member.decompress(data))
+                while used < len(packed) and not member.eof:
+                    parts.append(member.decompress(packed[used : used + STEP_BYTES]))
+                    used += STEP_BYTES
             except zlib.error:
-                break
-            if not member.eof:
-                break
-            data = member.unused_data
-        data = b"".join(parts)
-    place = 0
-    while data.startswith(b"WARC/", place):
-        end = data.find(b"\r\n\r\n", place)
-        if end < 0:
-            return
+                pass
+            whole = member.eof
+        if whole:
+            place += min(used, len(packed)) - len(member.unused_data)
+            continue
+        after = data.find(GZIP, place + 1)
+        after = len(data) if after < 0 else after
+        yield b"".join(parts), data[place:after]
+        parts, place = [], after
+    if parts:
+        yield b"".join(parts), b""
+
+
+def _damaged(data: bytes) -> tuple:
+    return None, DAMAGED, None, None, [], data
+
+
+def _records(data: bytes) -> Iterator[tuple]:
+    place, bad = 0, 0
+    while place < len(data):
+        end = data.find(b"\r\n\r\n", place) if VERSION_LINE.match(data, place) else -1
+        if end >= 0 and VERSION_LINE.search(data, place + 1, end + 2):
+            end = -1  # cut within its headers, those of the next record follow
         headers = []
-        for line in data[place:end].decode("utf-8", "replace").split("\r\n")[1:]:
+        for line in data[place:end].decode("utf-8", "replace").split("\r\n")[1:] if end >= 0 else ():
             name, _, value = line.partition(":")
             headers.append({"name": name.strip(), "value": value.strip()})
         by_name = {h["name"].lower(): h["value"] for h in headers}
         size = by_name.get("content-length", "")
-        if not size.isdigit() or end + 4 + int(size) > len(data):
-            return
-        block = data[end + 4 : end + 4 + int(size)]
-        yield by_name.get("warc-record-id"), by_name.get("warc-type"), by_name.get("warc-target-uri"), by_name.get("warc-refers-to"), headers, block
-        place = end + 4 + int(size) + 4
+        close = end + 4 + int(size) if end >= 0 and re.fullmatch(r"[0-9]{1,18}", size) else len(data) + 1
+        # behind a block stand two line ends, or the file's end
+        if close <= len(data) and data[close : close + 4] in (b"\r\n\r\n", b"\r\n", b""):
+            if data[bad:place].strip():
+                yield _damaged(data[bad:place])
+            yield (by_name.get("warc-record-id"), by_name.get("warc-type"), by_name.get("warc-target-uri"), by_name.get("warc-refers-to"), headers,
+                   data[end + 4 : close])
+            place = bad = min(close + 4, len(data))
+        else:
+            after = VERSION_LINE.search(data, place + 1)
+            place = after.start() if after else len(data)
+    if data[bad:].strip():
+        yield _damaged(data[bad:])
+
+
+def read(data: bytes) -> Iterator[tuple]:
+    """The records of a file's bytes, plain or gzipped in members, in their order.
+
+    Reading goes on behind a damaged record, where the next whole one starts, and behind a broken member at the next member. Each
+    stretch of bytes that is left out, white space aside, is a row of type ``DAMAGED`` with those bytes as its block, so that nothing
+    is lost unseen.
+    """
+    if not data.startswith(GZIP[:2]):
+        yield from _records(data)
+        return
+    for whole, broken in _unpacked(data):
+        yield from _records(whole)
+        if broken:
+            yield _damaged(broken)
 
 
 def parsed(files: DataFrame) -> DataFrame:
-    """The records of WARC files (``content``, as the binary file source gives them)."""
+    """The records of WARC files (``content``, as the binary file source gives them); other columns are ignored.
+
+    Damaged stretches are rows of type ``DAMAGED``, which have no derivatives. A null or empty file has no records, repeated files
+    repeat theirs, and an empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column("content"):
-                yield _rows(list(read(content.as_buffer().to_pybytes() if content.is_valid else b"")))
+                rows, size = [], 0
+                for record in read(content.as_buffer().to_pybytes() if content.is_valid else b""):
+                    rows.append(record)
+                    size += len(record[5])
+                    if size > BATCH_BYTES:
+                        yield _rows(rows)
+                        rows, size = [], 0
+                yield _rows(rows)
 
     return files.select("content").mapInArrow(run, RECORD)
 
 
 def archived(records: DataFrame) -> DataFrame:
-    """Adds ``member``: the record as a gzip member. Members end to end are a WARC file."""
+    """Adds ``member``: the record as a gzip member. Members end to end are a WARC file.
+
+    Null headers and blocks count as empty; extra columns are left out, repeated records repeat, and an empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -29,7 +29,9 @@ def documents(spark, rows):
 
 def clashing(df):
     """The table with extra columns of names that operators use themselves."""
-    for name in ("shard", "slot", "copy", "fp", "kept", "spans", "row", "rate", "u", "v", "node", "root", "text_key", "component_id"):
+    for name in ("shard", "slot", "copy", "fp", "kept", "spans", "row", "rate", "u", "v", "node", "root", "text_key", "component_id",
+                 "_id", "_key", "_own_id", "_own_key", "_kept_id", "_kept_key", "_lang", "_source", "_group", "_rate", "_count", "_gone", "_gone_row",
+                 "_row", "_part", "_size", "_k1", "_k2", "_k3", "_packed", "shuffle_key", "group", "a`b.c"):
         df = df.withColumn(name, F.lit("x"))
     return df
 
@@ -122,9 +124,39 @@ def test_leaks_match_brute_force(spark, small, texts):
     for options in ({}, {"index_words": 300}):
         got = {(r.doc_id, r.item_id) for r in decontamination.leaks(clashing(small), benchmark, **options).collect()}
         assert got == expected and expected
-    left = decontamination.clean(small, benchmark)
+    left = decontamination.clean(clashing(small), benchmark)
     assert {r.doc_id for r in left.collect()} == {d for d, _ in texts} - {d for d, _ in expected}
-    assert left.columns == small.columns
+    assert left.columns == clashing(small).columns
+
+
+def test_items_of_odd_ids(spark):
+    """Null and very large ids, repeated items, null parts and items without words; a document holds all of them."""
+    question = "what do the seven green lanterns by the old harbour say to ships that come in at night"
+    least, large = "slow down and keep to the left of the third pier", 2 ** 53 + 1
+    items = spark.createDataFrame(
+        [(None, question, least), (large, question, least), (large, question, least), (7, None, None), (8, "?", "!"), (9, None, least), (None, None, least)],
+        "item_id long, question string, answer string")
+    docs = documents(spark, [(1, f"{question} {least}", "a"), (None, f"so {question} {least} then", "a"), (3, None, None), (4, "", "a")])
+    for words in (decontamination.INDEX_WORDS, 10):
+        got = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, items, index_words=words).collect()}
+        assert got == {(d, i) for d in (1, None) for i in (None, large, 9)}
+        assert {r.doc_id for r in decontamination.clean(docs, items, index_words=words).collect()} == {3, 4}
+    assert decontamination.clean(docs, items.limit(0)).count() == 4
+
+
+def test_columns_of_helper_names_pass_through(spark, odd):
+    """Each operator that returns documents keeps columns of any names with their values."""
+    table = clashing(odd.where("length(text) < 9000 or text is null"))
+    extra = table.columns
+    rows = table.count()
+    for made, added in (
+            (sharding.sharded(table, 3), ["shard", "slot"]), (mixing.replicated(table, mixing.tempered_rates(table)), ["copy", "shuffle_key"]),
+            (simhash_dedup.representatives(table), []), (quality.accepted(table), []), (line_dedup.deduplicated(table), [])):
+        assert made.columns == [c for c in extra if c not in added] + added
+        names = [c for c in extra if c not in (*table.columns[:5], *added, "n_chars")]
+        for r in made.collect():
+            assert all(r[n] == "x" for n in names if n not in ("doc_id", "text", "lang", "source"))
+    assert line_dedup.deduplicated(table).count() == sharding.sharded(table, 3).count() == rows
 
 
 def test_wand_finds_all_above_the_threshold():
@@ -410,7 +442,53 @@ def test_warc_of_odd_rows(spark):
     assert len(rows) == 6 and all(r.block == b"" for r in rows if r.warc_type == "conversion")
     assert warc.derived(warc.responses(pages.limit(0))).count() == 0
     assert warc.derived(warc.derived(warc.responses(pages))).count() == 0  # no response among them
-    assert list(warc.read(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort")) == [] and list(warc.read(b"\x1f\x8bbroken")) == []
+    for broken in (b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort", b"\x1f\x8bbroken", b"no record"):
+        assert [(r[1], r[5]) for r in warc.read(broken)] == [(warc.DAMAGED, broken)]
+
+
+def a_record(i):
+    block = f"block {i}\r\n\r\nWARC/ is no record\n".encode() * 60
+    return warc.written([{"name": "WARC-Type", "value": "response"}, {"name": "WARC-Record-ID", "value": f"<{i}>"},
+                         {"name": "Content-Length", "value": str(len(block))}], block)
+
+
+def test_warc_files_are_read_on_behind_damage(spark):
+    plain = [a_record(i) for i in range(6)]
+    members = [gzip.compress(r) for r in plain]
+
+    def ids(data):
+        return [r[0] or r[1] for r in warc.read(data)]
+
+    every = [f"<{i}>" for i in range(6)]
+    assert ids(b"".join(plain)) == ids(b"".join(members)) == ids(gzip.compress(b"".join(plain))) == every
+    expected = [*every[:2], warc.DAMAGED, *every[3:]]
+    for hole in (plain[2][:-300], plain[2].replace(b"Content-Length: ", b"Content-Length: -"), plain[2].replace(b"Content-Length: ", b"Content-Length: 9"),
+                 plain[2][:20], plain[2].replace(b"WARC/1.1", b"WRAC/1.1")):
+        data = b"".join([*plain[:2], hole, *plain[3:]])
+        assert ids(data) == expected
+        assert next(r[5] for r in warc.read(data) if r[1] == warc.DAMAGED) == hole
+    broken = members[2][:20] + b"\0\0\0" + members[2][23:]
+    assert ids(b"".join([*members[:2], broken, *members[3:]])) == expected
+    assert ids(b"".join(members)[:-9]) == [*every, warc.DAMAGED] and ids(b"junk\n" + b"".join(plain)) == [warc.DAMAGED, *every]
+    files = spark.createDataFrame([(bytearray(b"".join([*plain[:2], plain[2][:40], *plain[3:]])), "x")], "content binary, block string")
+    assert warc.derived(warc.parsed(files)).count() == 10
+
+
+@pytest.mark.parametrize("charset", ["idna", "undefined", "utf-7", "unicode_escape", "rot13", "hex", "punycode", "no-such", "utf-16", "latin-1"])
+def test_warc_pages_of_any_charset(charset):
+    page = b"<p>plain +2AA- \\ud800 \xff words</p>"
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset={charset}\r\n\r\n".encode() + page
+    for record in warc.derivatives("<urn:x>", "http://h/", {}, block):
+        record[5].decode()
+    if charset in ("idna", "undefined", "rot13", "hex", "no-such"):
+        assert record[5].decode() == "plain +2AA- \\ud800 \ufffd words"
+
+
+@pytest.mark.parametrize("size", ["-6", "+3", "0x3", "1_0", "", "zz"])
+def test_warc_chunk_sizes_that_are_none(size):
+    body = f"{size}\r\nabc\r\n0\r\n\r\n".encode()
+    assert warc._dechunked(body) == body
+    assert warc._dechunked(b"3;name=x\r\nabc\r\n00\r\n\r\n") == b"abc" and warc._dechunked(b" 3 \r\nab") == b"ab"
 
 
 # --- 5 quality rules
