@@ -109,6 +109,7 @@ class Settings:
     quantile_sketch: int = 1000
     profile_fan_in: int = 256
     jobs_in_flight: int = 8
+    tables_per_crawl: int = 32
     files_per_job: int = 1000
 
     # classifiers

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping
 from functools import reduce
+from itertools import islice
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fitgauge.operators.in_flight import in_flight
 from fitgauge.settings import DEFAULTS, Settings
 from fitgauge.sources.catalog import COLUMN_FIELDS, TABLE_FIELDS, not_system_schema
+from fitgauge.sources.folders import work_dir
 
 Tables = Mapping[tuple[str, str], DataFrame]
+Batch = list[tuple[tuple[str, str], DataFrame]]
 
 # Catalog names of Spark types.
 TYPE_NAMES = {
@@ -45,42 +50,48 @@ def list_tables(spark: SparkSession, database: str) -> dict[tuple[str, str], Dat
     }
 
 
-def _declared_length(field: T.StructField, settings: Settings) -> int | None:
-    """Declared length of a text column; a plain string can be as long as a text may be."""
-    if isinstance(field.dataType, (T.VarcharType, T.CharType)):
-        return field.dataType.length
-    declared = re.fullmatch(r"(?:var)?char\((\d+)\)", field.metadata.get("__CHAR_VARCHAR_TYPE_STRING", ""))
-    if declared:
-        return int(declared[1])
-    return settings.max_text_length if isinstance(field.dataType, T.StringType) else None
-
-
-def _column_row(
-    database: str, schema: str, table: str, position: int, field: T.StructField, settings: Settings
-) -> tuple:
-    kind = field.dataType
-    name = "string" if isinstance(kind, (T.VarcharType, T.CharType)) else kind.typeName()
-    decimal = isinstance(kind, T.DecimalType)
-    return (
-        database, schema, table, field.name, position, TYPE_NAMES.get(name, name.upper()),
-        _declared_length(field, settings),
-        kind.precision if decimal else None,
-        kind.scale if decimal else None,
-        "YES" if field.nullable else "NO",
-        field.metadata.get("comment"),
-    )
+# Spark's own description of a schema; the type of a nested column stays text.
+DESCRIBED = (
+    "struct<fields array<struct<name string, type string, nullable boolean, "
+    "metadata struct<comment string, __CHAR_VARCHAR_TYPE_STRING string>>>>"
+)
+
+
+def _column_fields(settings: Settings) -> dict[str, Column]:
+    """The catalog's columns from a described ``field``. A plain string can be as long as a text may be."""
+    kind = F.col("field.type")
+    name = F.when(kind.startswith("{"), F.get_json_object(kind, "$.type")).otherwise(F.regexp_extract(kind, r"^[^(]*", 0))
+    name = F.when(name.isin("varchar", "char"), "string").otherwise(name)
+    names = F.create_map(*[F.lit(part) for pair in TYPE_NAMES.items() for part in pair])
+    declared = F.coalesce("field.metadata.__CHAR_VARCHAR_TYPE_STRING", kind)
+    length = F.regexp_extract(declared, r"^(?:var)?char\((\d+)\)$", 1).try_cast("bigint")
+    return {
+        "column_name": F.col("field.name"),
+        "ordinal_position": F.col("position") + 1,
+        "data_type": F.coalesce(F.try_element_at(names, name), F.upper(name)),
+        "character_maximum_length": F.coalesce(length, F.when(name == "string", settings.max_text_length)),
+        "numeric_precision": F.regexp_extract(kind, r"^decimal\((\d+)", 1).try_cast("bigint"),
+        "numeric_scale": F.regexp_extract(kind, r"^decimal\(\d+, *(-?\d+)", 1).try_cast("bigint"),
+        "is_nullable": F.when(F.col("field.nullable"), "YES").otherwise("NO"),
+        "column_comment": F.col("field.metadata.comment"),
+    }
 
 
 def crawl_columns(
     spark: SparkSession, database: str, tables: Tables, settings: Settings = DEFAULTS
 ) -> DataFrame:
-    """One row per column, from schemas only; no data is read."""
-    rows = [
-        _column_row(database, schema, table, i, field, settings)
-        for (schema, table), df in tables.items()
-        for i, field in enumerate(df.schema.fields, 1)
-    ]
-    return not_system_schema(spark.createDataFrame(rows, COLUMN_SCHEMA), settings)
+    """One row per column, from schemas only; no data is read.
+
+    The driver hands on one text for each table, its schema; tasks make the column rows of it.
+    """
+    rows = [(schema, table, df.schema.json()) for (schema, table), df in tables.items()]
+    described = spark.createDataFrame(rows, "schema_name string, table_name string, described string")
+    fields = described.select(
+        F.lit(database).alias("database_name"), "schema_name", "table_name",
+        F.posexplode(F.from_json("described", DESCRIBED)["fields"]).alias("position", "field"),
+    ).withColumns(_column_fields(settings))
+    typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in COLUMN_SCHEMA.fields]
+    return not_system_schema(fields.select(typed), settings)
 
 
 def _measured(df: DataFrame) -> DataFrame:
@@ -99,22 +110,56 @@ def _measured(df: DataFrame) -> DataFrame:
     return counted.withColumn("files", listed.scalar()).select("row_count", "files.*")
 
 
-def crawl_tables(database: str, tables: Tables, settings: Settings = DEFAULTS) -> DataFrame:
-    """One row per table with its exact row count."""
-
-    def one(schema: str, table: str, df: DataFrame) -> DataFrame:
-        return _measured(df).select(
-            F.lit(database).alias("database_name"),
-            F.lit(schema).alias("schema_name"),
-            F.lit(table).alias("table_name"),
-            F.lit("BASE TABLE").alias("table_type"),
-            "row_count",
-            "bytes",
-            F.lit(None).cast("string").alias("table_comment"),
-            "created",
-            "last_altered",
-            F.lit(None).cast("string").alias("clustering_key"),
-        )
+def _table_row(database: str, schema: str, table: str, measured: DataFrame) -> DataFrame:
+    return measured.select(
+        F.lit(database).alias("database_name"),
+        F.lit(schema).alias("schema_name"),
+        F.lit(table).alias("table_name"),
+        F.lit("BASE TABLE").alias("table_type"),
+        "row_count",
+        "bytes",
+        F.lit(None).cast("string").alias("table_comment"),
+        "created",
+        "last_altered",
+        F.lit(None).cast("string").alias("clustering_key"),
+    )
 
-    found = reduce(DataFrame.unionByName, [one(s, t, df) for (s, t), df in tables.items()])
+
+def crawl_tables(database: str, tables: Tables, settings: Settings = DEFAULTS) -> DataFrame:
+    """One row per table with its exact row count.
+
+    ``tables_per_crawl`` tables are measured by one job and committed together, ``jobs_in_flight`` jobs at a time, so that plans
+    stay small however many tables there are. A table that can't be read has a row without counts; the others of its batch are
+    measured again, one by one.
+    """
+    spark = SparkSession.active()
+    root = work_dir(spark)
+    unknown = spark.sql(
+        "select cast(null as bigint) as row_count, cast(null as bigint) as bytes, cast(null as timestamp) as created, "
+        "cast(null as timestamp) as last_altered"
+    )
+    schema = _table_row(database, "", "", unknown).schema
+
+    def measure(batch: Batch, path: str) -> None:
+        rows = [_table_row(database, s, t, _measured(df)) for (s, t), df in batch]
+        reduce(DataFrame.unionByName, rows).coalesce(1).write.mode("overwrite").parquet(path)
+
+    def work(numbered: tuple[int, Batch]) -> None:
+        number, batch = numbered
+        try:
+            measure(batch, f"{root}/batch={number}/table=all")
+        except (PySparkException, Py4JJavaError):
+            for i, one in enumerate(batch):
+                path = f"{root}/batch={number}/table={i}"
+                try:
+                    measure([one], path)
+                except (PySparkException, Py4JJavaError):
+                    _table_row(database, *one[0], unknown).write.mode("overwrite").parquet(path)
+
+    every = iter(tables.items())
+    batches = iter(lambda: list(islice(every, settings.tables_per_crawl)), [])
+    in_flight(spark, enumerate(batches), work, settings.jobs_in_flight, "crawl")
+    if not tables:
+        return spark.createDataFrame([], schema).select(TABLE_FIELDS)
+    found = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(root)
     return not_system_schema(found, settings).select(TABLE_FIELDS)

@@ -1,5 +1,6 @@
 """Stored results: reuse, append, resume, errors, streams."""
 
+from dataclasses import replace
 from datetime import datetime
 from types import SimpleNamespace
 
@@ -11,6 +12,7 @@ from fitgauge.functions.names import COLUMN_KEYS
 from fitgauge.operators import incremental as inc
 from fitgauge.operators.candidates import all_candidates
 from fitgauge.plans import measured_run
+from fitgauge.settings import DEFAULTS
 from fitgauge.sources import catalog, crawl, folders, store
 from fitgauge.streaming.snapshots import publish_snapshots
 
@@ -47,12 +49,12 @@ def test_one_broken_table_does_not_stop_the_others(spark, data, tmp_path):
     def resolve(key):
         return broken if key[2] == "part" else spark.read.parquet(f"{data.sf_dir}/{key[2]}.parquet")
 
-    keys = wanted(spark, ("part", "p_name"), ("region", "r_name"), ("region", "gone"), ("missing", "x"))
+    keys = wanted(spark, ("part", "p_name"), ("region", "r_name"), ("region", "torn"), ("missing", "x"))
     good = inc.incremental_profile(spark, keys, resolve, path, AT)
     assert [r.column_name for r in good.collect()] == ["r_name"]
     rows = {r.column_name: r for r in spark.read.parquet(path).collect()}
-    assert {n: r.status for n, r in rows.items()} == {"p_name": "error", "r_name": "success", "gone": "error", "x": "error"}
-    assert len(rows["p_name"].error) == 200 and rows["gone"].error == "column not found"
+    assert {n: r.status for n, r in rows.items()} == {"p_name": "error", "r_name": "success", "torn": "error", "x": "error"}
+    assert len(rows["p_name"].error) == 200 and rows["torn"].error == "column not found"
     assert rows["x"].error.startswith("table not found")
 
 
@@ -125,6 +127,32 @@ def test_crawl_counts_views_and_empty_tables(spark):
     assert {r.table_name for r in crawl.crawl_columns(spark, "L", tables).collect()} == {"v", "e"}
 
 
+def test_crawl_in_batches_survives_a_damaged_table(spark, tmp_path):
+    for name in ("a", "b", "torn", "c"):
+        spark.range(3).write.parquet(f"{tmp_path}/{name}")
+    tables = {("P", n): spark.read.parquet(f"{tmp_path}/{n}") for n in ("a", "b", "torn", "c")} | {("P", "v"): spark.range(5)}
+    for file in (tmp_path / "torn").glob("*.parquet"):
+        file.write_bytes(b"no footer")
+    expected = {"a": 3, "b": 3, "torn": None, "c": 3, "v": 5}
+    for size in (1, 2, 50):
+        found = crawl.crawl_tables("L", tables, replace(DEFAULTS, tables_per_crawl=size)).collect()
+        assert len(found) == 5 and {r.table_name: r.row_count for r in found} == expected
+        assert {r.table_name for r in found if r.bytes is None} == {"torn", "v"}
+    assert crawl.crawl_tables("L", {}).count() == crawl.crawl_columns(spark, "L", {}).count() == 0
+
+
+def test_crawled_columns_of_all_types(spark):
+    df = spark.sql(
+        "select cast(1 as tinyint) a, 1L b, 1.5BD c, cast(2 as float) d, true e, date'2024-01-01' f, timestamp'2024-01-01' g, "
+        "timestamp_ntz'2024-01-01' h, x'00' i, array(1) j, map('k', 1) k, named_struct('type', 'x') l, parse_json('1') m, 'x' `n.o``p`, null q")
+    found = crawl.crawl_columns(spark, "L", {("P", "t"): df}).orderBy("ordinal_position").collect()
+    assert [r.column_name for r in found] == df.columns and [r.ordinal_position for r in found] == list(range(1, 16))
+    assert [r.data_type for r in found] == [
+        "INTEGER", "INTEGER", "NUMBER", "FLOAT", "BOOLEAN", "DATE", "TIMESTAMP_LTZ", "TIMESTAMP_NTZ", "BINARY", "ARRAY", "OBJECT", "OBJECT",
+        "VARIANT", "VARCHAR", "VOID"]
+    assert (found[2].numeric_precision, found[2].numeric_scale) == (2, 1) and found[1].numeric_precision is None
+
+
 def test_snapshots_add_each_candidate_once(spark, data, tmp_path):
     live = catalog.catalog_columns(data.columns)
     snapshots, published = str(tmp_path / "in"), str(tmp_path / "published")
