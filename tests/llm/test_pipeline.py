@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from conftest import SMALL
@@ -117,12 +118,21 @@ def test_run_gives_the_last_stage(spark, stages):
     assert rows == collections.Counter((r["doc_id"], r["shard"]) for r in stages[5])
 
 
+#: extra columns named like helper columns of the stages
+HELPERS = ("_id", "_key", "_lang", "_source", "_own_id", "_own_key", "_kept_id", "_kept_key", "_group", "_rate", "_count", "_size", "_part", "_row", "_packed",
+           "fp", "kept", "rate", "text_key")
+
+
 def test_pipeline_of_odd_tables(spark, tmp_path):
     schema = spark.read.parquet(f"{SMALL}/documents.parquet").schema
     rows = [(1, None, None, None, None), (None, "", "en", "a", 0), (2, "word " * 20, "en", "a", 100), (2, "word " * 20, "en", "a", 100)]
     text = " ".join(f"w{i}" for i in range(80))
     for i, table in enumerate(([], rows, [*rows, (3, text, None, None, None), (3, text, None, None, None), (None, text + " x", "en", "b", 1)])):
-        spark.createDataFrame(table, schema).write.parquet(str(tmp_path / str(i) / "documents.parquet"))
+        docs = spark.createDataFrame(table, schema)
+        if i:
+            docs = docs.select("*", *(F.lit("x").alias(c) for c in HELPERS))
+        docs.write.parquet(str(tmp_path / str(i) / "documents.parquet"))
         spark.read.parquet(f"{SMALL}/benchmark.parquet").write.parquet(str(tmp_path / str(i) / "benchmark.parquet"))
         found = corpus_pipeline.run(spark, str(tmp_path / str(i))).collect()
         assert {r.doc_id for r in found} <= {3, None} and (i == 2 or not found)
+        assert all(r[c] == "x" for r in found for c in HELPERS)
