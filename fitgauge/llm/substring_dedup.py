@@ -142,7 +142,8 @@ class Words(Kind):
         edges = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)))
         spans = [{"start": int(s), "end": int(e)} for s, e in zip(edges[::2], edges[1::2])]
         stay = np.flatnonzero(~covered) + low
-        start, size = t.state["start"][stay], (t.state["end"] - t.state["start"])[stay]
+        start = t.state["start"][stay]
+        size = t.state["end"][stay] - start  # of this document's words alone: a shard has many documents
         # each kept word and one more byte, which becomes the space behind it
         out = data[spans_of(start, size + 1)]
         if len(stay):

@@ -816,3 +816,24 @@ def test_merged_classes():
 
     for (keys, _), got in zip(shards, merged_values(shards, np.minimum)):
         assert got.tolist() == [every[k.tobytes()] for k in keys]
+
+
+def test_kept_words_take_time_by_their_own_document():
+    """A shard has many documents: no document may go through the words of all."""
+    sizes = []
+
+    class Counted(np.ndarray):
+        def __sub__(self, other):
+            sizes.append(len(self))
+            return np.asarray(self) - np.asarray(other)
+
+    texts = [b"a bc  def", b"", b"one two three four", b"\tx "]
+    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    kind = substring_dedup.Words(35)
+    t = kind.tokens(data, np.cumsum([len(x) + 1 for x in texts]))
+    t.state = {k: v.view(Counted) for k, v in t.state.items()}
+    covered = np.zeros(len(t.state["start"]), bool)
+    covered[1] = True
+    found = [kind.result(data, t, d, covered[a:b]) for d, (a, b) in enumerate(zip(t.doc_start, t.doc_end))]
+    assert found == [(3, [{"start": 1, "end": 2}], b"a def"), (0, [], b""), (4, [], b"one two three four"), (1, [], b"x")]
+    assert max(sizes) <= 4
