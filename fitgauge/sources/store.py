@@ -76,10 +76,12 @@ def save(df: DataFrame, path: str, *, run_mode: str = "fresh", fmt: str = "parqu
     writer.format(fmt).save(path)
 
 
-def save_part(df: DataFrame, path: str) -> None:
+def save_part(df: DataFrame, path: str, *, one_file: bool = True) -> None:
     """Adds rows to a store as a part with a folder of its own, so that several jobs can add to one store at the same time: writers
-    of one folder would clear each other's unfinished files. Readers see a part once it is whole."""
-    df.coalesce(1).write.parquet(f"{path}/part={uuid.uuid4().hex}")
+    of one folder would clear each other's unfinished files. Readers see a part once it is whole. ``one_file`` is for few rows: one
+    task makes them all."""
+    rows = df.coalesce(1) if one_file else df
+    rows.write.parquet(f"{path}/part={uuid.uuid4().hex}")
 
 
 def write_outputs(
@@ -178,7 +180,7 @@ def databases_analyzed(spark: SparkSession, path: str) -> DataFrame:
 def save_scores(scored: DataFrame, path: str, run_at: datetime) -> None:
     """Adds the readiness and total of every candidate as of a run."""
     names = [f.split(" ")[0] for f in SCORE_SCHEMA.split(", ")][:-1]
-    save_part(scored.select(*names, instant(run_at).alias("run_at")), path)
+    save_part(scored.select(*names, instant(run_at).alias("run_at")), path, one_file=False)
 
 
 def scores_before(spark: SparkSession, path: str, run_at: datetime) -> DataFrame:

@@ -213,3 +213,13 @@ def test_formats(spark, data, tmp_path, fmt):
     paths = store.write_outputs({"found": found}, str(tmp_path), formats=[fmt])
     read = spark.read.option("header", True).format(fmt).load(paths[f"found.{fmt}"])
     assert read.count() == found.count()
+
+
+def test_scores_are_stored_by_many_tasks(spark, tmp_path):
+    path, names = str(tmp_path / "scores"), [f.split(" ")[0] for f in store.SCORE_SCHEMA.split(", ")][:-1]
+    text = [F.lit("t").alias(n) for n in names[:3]]
+    rows = spark.range(1000, numPartitions=4).select(
+        *text, F.col("id").cast("string").alias("column_name"), F.lit("llm").alias("feature"), F.lit(3.0).alias("data_readiness"), F.lit(9.0).alias("total_score"))
+    store.save_scores(rows, path, AT)
+    assert len(list((tmp_path / "scores").glob("part=*/*.parquet"))) == 4
+    assert store.scores_before(spark, path, datetime(2024, 2, 1)).count() == 1000
