@@ -1107,7 +1107,7 @@ def write_outputs(d: Data) -> DataFrame:
 def run_mode(d: Data) -> DataFrame:
     """A fresh run, then an append run over more databases; old rows stay, new keys are added."""
     root = store.work_dir(d.spark)
-    whole = scored(d).drop("profile")
+    whole = kept(d, "scored", scored(d).drop("profile"))
     first = catalog.filter_databases(whole, INCLUDED)
     measured_run.publish(d.spark, first, root, datetime(2001, 1, 1))
     done = measured_run.publish(d.spark, whole, root, datetime(2001, 2, 1), run_mode="append")

@@ -7,6 +7,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
+from fitgauge.checks import queries as registered
 from fitgauge.checks.queries import lake
 from fitgauge.functions.names import COLUMN_KEYS
 from fitgauge.operators import incremental as inc
@@ -223,3 +224,25 @@ def test_scores_are_stored_by_many_tasks(spark, tmp_path):
     store.save_scores(rows, path, AT)
     assert len(list((tmp_path / "scores").glob("part=*/*.parquet"))) == 4
     assert store.scores_before(spark, path, datetime(2024, 2, 1)).count() == 1000
+
+
+def test_runs_publish_and_write_what_is_stored(spark, data, monkeypatch):
+    """The scores are made once, however often a run reads them."""
+    seen = []
+    publish, write = measured_run.publish, store.write_outputs
+
+    def published(spark, scored, *args, **options):
+        seen.append(scored)
+        return publish(spark, scored, *args, **options)
+
+    def written(outputs, *args, **options):
+        seen.extend(outputs.values())
+        return write(outputs, *args, **options)
+
+    monkeypatch.setattr(measured_run, "publish", published)
+    monkeypatch.setattr(store, "write_outputs", written)
+    assert registered.QUERIES["run_mode"](spark, data.sf_dir).count()
+    assert len(registered.QUERIES["write_outputs"](spark, data.sf_dir).collect()) == 6
+    assert len(seen) == 4
+    for df in seen:
+        assert {f.split("/")[-2] for f in df.inputFiles()} == {"scored"}
