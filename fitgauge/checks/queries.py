@@ -1089,7 +1089,7 @@ def resume_from_step(d: Data) -> DataFrame:
 def write_outputs(d: Data) -> DataFrame:
     """Row counts read back from every format."""
     root = store.work_dir(d.spark)
-    ready = scored(d).drop("profile")
+    ready = kept(d, "scored", scored(d).drop("profile"))
     outputs = {"confirmed": s.confirmed_only(ready), "top": s.top_candidates(ready)}
     paths = store.write_outputs(outputs, root, formats=("parquet", "json", "csv"))
 
