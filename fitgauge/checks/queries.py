@@ -1038,9 +1038,10 @@ def incremental_by_file(d: Data) -> DataFrame:
     """Each table is written as four files and profiled; after two more files a second run reads only those. Values from sketches
     are compared with exact ones around them."""
     work = store.work_dir(d.spark)
-    tables = {t: d.table(t).withColumn("at", F.xxhash64(*UNIQUE_KEYS[t]) % 3) for t in UNIQUE_KEYS}
+    # a sixth of the rows for each of the six files
+    tables = {t: d.table(t).withColumn("at", F.pmod(F.xxhash64(*UNIQUE_KEYS[t]), F.lit(6))) for t in UNIQUE_KEYS}
     places = {(DATABASE, SCHEMA, t): f"{work}/{t}" for t in tables}
-    for share, parts in ("at = 0", 4), ("at <> 0", 2):
+    for share, parts in ("at < 4", 4), ("at >= 4", 2):
         for t, df in tables.items():
             df.filter(share).drop("at").repartition(parts).write.mode("append").parquet(f"{work}/{t}")
         done = fs.profile_by_file(d.spark, places, f"{work}/states")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fitgauge.checks import queries as registered
 from fitgauge.checks.queries import lake
 from fitgauge.functions.names import COLUMN_KEYS
+from fitgauge.operators import file_states
 from fitgauge.operators import incremental as inc
 from fitgauge.operators.candidates import all_candidates
 from fitgauge.plans import measured_run
@@ -246,3 +247,19 @@ def test_runs_publish_and_write_what_is_stored(spark, data, monkeypatch):
     assert len(seen) == 4
     for df in seen:
         assert {f.split("/")[-2] for f in df.inputFiles()} == {"scored"}
+
+
+def test_files_of_a_table_are_alike_in_size(spark, data, monkeypatch):
+    places, profiled = {}, file_states.profile_by_file
+
+    def noted(spark, tables, *args):
+        places.update(tables)
+        return profiled(spark, tables, *args)
+
+    monkeypatch.setattr(file_states, "profile_by_file", noted)
+    registered.QUERIES["incremental_by_file"](spark, data.sf_dir)
+    assert len(places) == 5
+    for key, place in places.items():
+        rows = [r["count"] for r in spark.read.parquet(place).groupBy(F.input_file_name()).count().collect()]
+        assert len(rows) == 6 and sum(rows) == data.table(key[2]).count()
+        assert max(rows) <= 0.25 * sum(rows)
