@@ -75,18 +75,6 @@ class Target:
             return self.value
         return f"if({self.value} between {literal(self.low)} and {literal(self.high)}, {self.value}, null)"
 
-    def bin(self, turn: int) -> str:
-        """The bin of a value that is not null. Values that are no finite numbers have bins of their own at the ends."""
-        share = f"(({self.value}) * 0.5D - {literal(self.low * 0.5)}) / {literal(self.high * 0.5 - self.low * 0.5)}"
-        inner = f"cast(floor({share} * {BINS}) as int)"
-        if turn % LOG_ROUND == LOG_ROUND - 1:
-            size = f"1 + cast(floor(({OCTAVES} + log2(abs({self.value}))) * 4) as int)"
-            inner = f"if({self.value} = 0D, {ZERO}, if({self.value} > 0D, {ZERO} + {size}, {ZERO} - ({size})))"
-        return (
-            f"case when isnan({self.value}) then {OUTSIDE + 1} when {self.value} = double('infinity') then {OUTSIDE} "
-            f"when {self.value} = double('-infinity') then -1 else {inner} end"
-        )
-
     def result(self) -> float:
         """The interpolated value of a settled quantile."""
         low, high = self.settled
@@ -94,10 +82,22 @@ class Target:
         return low if low == high or math.isnan(low) or not share else (1 - share) * low + share * high
 
 
-def _pairs(df: DataFrame, targets: Sequence[Target], entry: Sequence[str]) -> DataFrame:
-    """One row of ``t`` (the target's place) and the fields of ``entry`` for each row and target whose value is in its range."""
-    entries = [f"if({x.in_range} is null, null, struct({i} as t, {e}))" for i, (x, e) in enumerate(zip(targets, entry))]
-    return df.select(F.expr(f"explode(array({', '.join(entries)}))").alias("pair")).where("pair is not null").select("pair.*")
+def _doubles(values: Sequence[float]) -> str:
+    """A range's own number, in SQL."""
+    return f"array({', '.join(map(literal, values))})[t]"
+
+
+def _bin(turn: int, low: str, width: str) -> str:
+    """The bin of ``v``, which is not null, in SQL; ``low`` and ``width`` are halves. Values that are no finite numbers have bins of their
+    own at the ends."""
+    inner = f"cast(floor((v * 0.5D - {low}) / {width} * {BINS}) as int)"
+    if turn % LOG_ROUND == LOG_ROUND - 1:
+        size = f"1 + cast(floor(({OCTAVES} + log2(abs(v))) * 4) as int)"
+        inner = f"if(v = 0D, {ZERO}, if(v > 0D, {ZERO} + {size}, {ZERO} - ({size})))"
+    return (
+        f"case when isnan(v) then {OUTSIDE + 1} when v = double('infinity') then {OUTSIDE} "
+        f"when v = double('-infinity') then -1 else {inner} end"
+    )
 
 
 def _running(counts: DataFrame, by: str) -> DataFrame:
@@ -107,30 +107,43 @@ def _running(counts: DataFrame, by: str) -> DataFrame:
     return counts.withColumns({"upto": F.sum("n").over(running), "among": F.sum("n").over(target)})
 
 
-def _of(values: Sequence, kind: str) -> Column:
-    """A target's own value."""
-    return F.array(*(F.lit(v).cast(kind) for v in values))[F.col("t")]
+def _of(values: Sequence, kind: str, at: str) -> Column:
+    """The own value of a target or a range, whose place is ``at``."""
+    return F.array(*(F.lit(v).cast(kind) for v in values))[F.col(at)]
 
 
 def _narrow(df: DataFrame, targets: Sequence[Target], turn: int) -> list[Target]:
-    """One scan that counts each target's range in bins and keeps the bins that hold the ranks below and above its quantile."""
-    pairs = _pairs(df, targets, [f"{x.bin(turn)} as bin, {x.value} as v" for x in targets])
+    """One scan that counts each target's range in bins and keeps the bins that hold the ranks below and above its quantile.
+
+    Targets with one range share its counts. What differs between ranges stands in arrays, so that the code for a row stays short however
+    many columns there are: the JVM does not compile long methods.
+    """
+    ranges = list(dict.fromkeys((x.value, x.low, x.high, x.counted) for x in targets))
+    entries = ", ".join(f"struct({i} as t, {value} as v)" for i, (value, *_) in enumerate(ranges))
+    pairs = df.select(F.expr(f"explode(array({entries}))").alias("pair")).select("pair.*").where("v is not null")
+    low, high = ([x[i] for x in ranges] for i in (1, 2))
+    if all(counted for *_, counted in ranges):
+        pairs = pairs.where(f"v between {_doubles(low)} and {_doubles(high)}")
+    bins = _bin(turn, _doubles([a * 0.5 for a in low]), _doubles([b * 0.5 - a * 0.5 for a, b in zip(low, high)]))
+    pairs = pairs.select("t", F.expr(bins).alias("bin"), "v")
     counts = _running(pairs.groupBy("t", "bin").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")), "bin")
-    first, last = (_of([f(x.place) - x.below for x in targets], "bigint") for f in (math.floor, math.ceil))
+    asking = [[str(i) for i, x in enumerate(targets) if (x.value, x.low, x.high, x.counted) == r] for r in ranges]
+    asked = counts.withColumn("x", F.explode(F.expr(f"array({', '.join(f'array({", ".join(a)})' for a in asking)})[t]")))
+    first, last = (_of([f(x.place) - x.below for x in targets], "bigint", "x") for f in (math.floor, math.ceil))
     before = F.col("upto") - F.col("n")
-    held = counts.where((F.col("upto") > first) & (before <= last))
+    held = asked.where((F.col("upto") > first) & (before <= last))
     # two neighbouring ranks lie in one bin, or in two with nothing in between
-    rows = held.groupBy("t").agg(
+    rows = held.groupBy("x").agg(
         F.count("*").alias("bins"), F.sum("n").alias("n"), F.min(before).alias("before"), F.min(F.struct("bin", "low", "high")).alias("lower"),
         F.max(F.struct("bin", "low", "high")).alias("upper"))
     out = list(targets)
     for r in rows.collect():
-        x = replace(targets[r.t], low=r.lower.low, high=r.upper.high, below=targets[r.t].below + r.before, inside=r.n, counted=True)
+        x = replace(targets[r.x], low=r.lower.low, high=r.upper.high, below=targets[r.x].below + r.before, inside=r.n, counted=True)
         if r.bins == 2:
             x = replace(x, settled=(r.lower.high, r.upper.low))
         elif x.low == x.high or math.isnan(x.low):
             x = replace(x, settled=(x.low, x.low))
-        out[r.t] = x
+        out[r.x] = x
     return out
 
 

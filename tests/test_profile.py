@@ -8,10 +8,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fitgauge.operators import profile as p
+from fitgauge.operators import profile as p, quantiles
 from fitgauge.settings import DEFAULTS
 from fitgauge.sources.tables import sample_rows
 
+running = quantiles._running
 TINY = replace(DEFAULTS, rank_values=20, columns_per_scan=2, profile_fan_in=3)
 
 
@@ -166,6 +167,17 @@ def test_narrowed_quantiles_are_exact(spark, scale):
             assert close(got, low if low == high else (1 - place % 1) * low + place % 1 * high), (rank_values, q)
 
 
+def test_narrowing_counts_a_column_once_by_code_of_one_length(spark, monkeypatch):
+    """Both quantiles of a column share its pairs, and the bins' code doesn't repeat for each column: the JVM leaves long methods uncompiled."""
+    plans = []
+    monkeypatch.setattr(quantiles, "_running", lambda counts, by: plans.append(counts) or running(counts, by))
+    df = spark.range(500).select(*(((F.col("id") * (i + 7)) % 499).cast("double").alias(f"x{i}") for i in range(9)))
+    found = quantiles.narrowed(df, [quantiles.Target(c, c, (0.5, 0.95)) for c in df.columns], replace(DEFAULTS, rank_values=20))
+    plan = plans[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("isnan(") == 1
+    assert plans[0].agg(F.sum("n")).first()[0] == 9 * 500 and len(found) == 18
+
+
 def test_parts_can_be_left_out(skewed):
     full = {r.column_name: r.asDict() for r in p.profile_table(skewed).collect()}
     for settings in (DEFAULTS, TINY):
