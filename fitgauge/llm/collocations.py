@@ -8,6 +8,9 @@ Most windows of five words occur once. A window therefore ends before a pair or
 frequent is counted without its name: words and pairs, then triples of those pairs that are left, are counted before in tables of hashed
 counters, whose totals are never below a phrase's own count. A phrase with the least count holds no such pair or triple, so no count of it
 changes, whatever the size of the tables; small ones only cut fewer windows.
+
+Tasks meet mostly the same windows. They are sent packed, in parts by hash, and summed before ``ROLLUP`` reads them, which so has each
+window once however many tasks there are.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ TABLE_BITS = 26
 TASK_ROWS = 600_000
 #: Counters that are sent and summed together.
 BUCKET = 1 << 15
+#: Parts, by hash, in which the windows of a task are sent.
+PARTS = 64
 #: Bytes that end a piece, bytes between words.
 BREAKS, BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b" \t"
 KIND = np.zeros(256, np.uint8)
@@ -169,9 +174,46 @@ def frequent(docs: DataFrame, counters, least: int, size: int) -> np.ndarray:
     return bits
 
 
+KEYS = ["lang", *WORDS]
+
+
 def _grouped(tables: list[pa.Table]) -> pa.Table:
-    keys = ["lang", *WORDS]
-    return pa.concat_tables(tables).group_by(keys).aggregate([("n", "sum")]).select([*keys, "n_sum"]).rename_columns([*keys, "n"])
+    return pa.concat_tables(tables).group_by(KEYS).aggregate([("n", "sum")]).select([*KEYS, "n_sum"]).rename_columns([*KEYS, "n"])
+
+
+def _parted(found: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Windows packed by part: one row for all those of a part."""
+    h = np.zeros(found.num_rows, np.uint64)
+    for name in KEYS:
+        coded = found[name].combine_chunks().dictionary_encode()
+        h = h * np.uint64(0x9E3779B97F4A7C15) ^ np.array([zlib.crc32(w.encode()) for w in coded.dictionary.to_pylist()], np.uint64)[coded.indices.to_numpy()]
+    part = _mixed(h) * PARTS >> TABLE_BITS
+    order = np.argsort(part, kind="stable")
+    found, (parts, starts) = found.take(pa.array(order)).combine_chunks(), np.unique(part[order], return_index=True)
+    for p, a, b in zip(parts, starts, [*starts[1:], found.num_rows]):
+        packed = pa.BufferOutputStream()
+        with pa.ipc.new_stream(packed, found.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+            stream.write_table(found.slice(a, b - a))
+        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([packed.getvalue().to_pybytes()], pa.binary())], names=["part", "windows"])
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each window once with its sum over all tasks, for sorted parts; one part is summed at a time."""
+    part, held, rows, most = None, [], 0, TASK_ROWS
+    for batch in batches:
+        for p, packed in zip(batch.column("part").to_pylist(), batch.column("windows")):
+            if p != part and held:
+                yield from _grouped(held).combine_chunks().to_batches(50_000)
+                held, rows, most = [], 0, TASK_ROWS
+            part = p
+            held.append(pa.ipc.open_stream(packed.as_buffer()).read_all())
+            rows += held[-1].num_rows
+            if rows > most:
+                held = [_grouped(held)]
+                rows = held[0].num_rows
+                most = max(TASK_ROWS, 2 * rows)
+    if held:
+        yield from _grouped(held).combine_chunks().to_batches(50_000)
 
 
 def _windows(pairs: Broadcast, triples: Broadcast):
@@ -189,7 +231,7 @@ def _windows(pairs: Broadcast, triples: Broadcast):
         return pa.table([*texts, found["n"]], names=["lang", *WORDS, "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Windows of all slices of a task together, as far as ``TASK_ROWS`` allow."""
+        """Windows of all slices of a task together, as far as ``TASK_ROWS`` allow, packed by part."""
         held: list[pa.Table] = []
         for batch in batches:
             for langs, texts in _slices(batch):
@@ -197,9 +239,9 @@ def _windows(pairs: Broadcast, triples: Broadcast):
                 if sum(t.num_rows for t in held) > TASK_ROWS:
                     held = [_grouped(held)]
                 if held[0].num_rows > TASK_ROWS // 2:
-                    yield from held.pop(0).to_batches(50_000)
+                    yield from _parted(held.pop(0))
         if held:
-            yield from _grouped(held).combine_chunks().to_batches(50_000)
+            yield from _parted(_grouped(held))
 
     return count
 
@@ -209,7 +251,8 @@ def phrase_counts(docs: DataFrame, least: int) -> DataFrame:
     context, size = docs.sparkSession.sparkContext, 1 << TABLE_BITS
     pairs = context.broadcast(frequent(docs, _words_and_pairs, least, 2 * size))
     triples = context.broadcast(frequent(docs, _triples(pairs), least, size))
-    windows = docs.select("lang", "text").mapInArrow(_windows(pairs, triples), "lang string, " + ", ".join(f"{w} string" for w in WORDS) + ", n bigint")
+    sent = docs.select("lang", "text").mapInArrow(_windows(pairs, triples), "part int, windows binary")
+    windows = sent.repartition("part").sortWithinPartitions("part").mapInArrow(_merged, ", ".join(f"{k} string" for k in KEYS) + ", n bigint")
     summed = windows.rollup("lang", *WORDS).agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))
     m = F.greatest(F.lit(LONGEST) - F.bit_count("level"), F.lit(0))
     last = F.element_at(F.array(F.lit("-"), *map(F.col, WORDS)), m + 1)

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from fitgauge.llm import collocations
 
@@ -70,6 +71,20 @@ def test_collocations(spark, monkeypatch, bits, top):
         assert sorted(map(tuple, got.collect())) == brute(rows, least, top)
 
 
+def test_windows_are_handed_on_once(spark, monkeypatch):
+    """However many tasks and slices meet a window, ``ROLLUP`` reads it once."""
+    monkeypatch.setattr(collocations, "TASK_ROWS", 8)
+    rows = texts(3)[:40]
+    df = spark.createDataFrame(rows * 6, DOCS).repartition(12)
+    seen = []
+    rollup = DataFrame.rollup
+    monkeypatch.setattr(DataFrame, "rollup", lambda df, *by: seen.append(df) or rollup(df, *by))
+    got = sorted(map(tuple, collocations.collocations(df, 2).collect()))
+    assert got == brute(rows * 6, 2, 2000)
+    windows = seen[0]
+    assert windows.count() == windows.select("lang", *collocations.WORDS).distinct().count() > 0
+
+
 def test_empty_table(spark):
     assert collocations.collocations(spark.createDataFrame([], DOCS)).collect() == []
 
