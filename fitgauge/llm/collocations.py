@@ -10,7 +10,7 @@ counters, whose totals are never below a phrase's own count. A phrase with the l
 changes, whatever the size of the tables; small ones only cut fewer windows.
 
 Tasks meet mostly the same windows. They are sent packed, in parts by hash, and summed before ``ROLLUP`` reads them, which so has each
-window once however many tasks there are.
+window once however many tasks there are, until a part outgrows what a task may hold.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ TASK_ROWS = 600_000
 #: Counters that are sent and summed together.
 BUCKET = 1 << 15
 #: Parts, by hash, in which the windows of a task are sent.
-PARTS = 64
+PARTS = 256
 #: Bytes that end a piece, bytes between words.
 BREAKS, BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b" \t"
 KIND = np.zeros(256, np.uint8)
@@ -198,20 +198,23 @@ def _parted(found: pa.Table) -> Iterator[pa.RecordBatch]:
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each window once with its sum over all tasks, for sorted parts; one part is summed at a time."""
-    part, held, rows, most = None, [], 0, TASK_ROWS
+    """Windows summed over all tasks, for sorted parts; one part is summed at a time. A window comes once as far as ``TASK_ROWS`` allow;
+    ``ROLLUP`` sums again what a larger part hands on in between."""
+    part, held, rows = None, [], 0
     for batch in batches:
         for p, packed in zip(batch.column("part").to_pylist(), batch.column("windows")):
             if p != part and held:
                 yield from _grouped(held).combine_chunks().to_batches(50_000)
-                held, rows, most = [], 0, TASK_ROWS
+                held, rows = [], 0
             part = p
             held.append(pa.ipc.open_stream(packed.as_buffer()).read_all())
             rows += held[-1].num_rows
-            if rows > most:
+            if rows > TASK_ROWS:
                 held = [_grouped(held)]
                 rows = held[0].num_rows
-                most = max(TASK_ROWS, 2 * rows)
+                if rows > TASK_ROWS // 2:
+                    yield from held.pop().combine_chunks().to_batches(50_000)
+                    rows = 0
     if held:
         yield from _grouped(held).combine_chunks().to_batches(50_000)
 
