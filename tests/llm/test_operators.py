@@ -325,6 +325,55 @@ def test_shared_words_find_what_edits_allow(spark):
     assert len(set(by_bits.values())) > 1.3 * len(least)
 
 
+def edited(rng, text, edits):
+    """``text`` with characters replaced, put in and left out."""
+    chars = list(text)
+    for _ in range(edits):
+        at = int(rng.integers(0, len(chars)))
+        chars[at : at + 1] = rng.choice(list("abcdéß中😀 "), int(rng.integers(0, 3)))
+    return "".join(chars)
+
+
+def test_bound_of_edit_distance(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for n in (0, 1, 7, 8, 9, 40, 150, 300):
+        for edits in (0, 1, n // 20, n // 8, n // 3):
+            a = "".join(rng.choice(list("abcdéß中😀 "), n))
+            b = edited(rng, a, edits) if a else "x" * edits
+            rows += [(a, b), (a, b[n // 6 :]), (a, b[: n // 2] + "some other words " + b[n // 2 :]), (a, b[::-1])]
+    df = spark.createDataFrame(rows, "a_norm string, b_norm string").withColumn("most", F.floor(F.greatest(F.length("a_norm"), F.length("b_norm")) * 0.2).cast("int"))
+    got = df.select("*", line_dedup._most_apart(F.col("a_norm"), F.col("b_norm"), F.col("most")).alias("bound")).collect()
+    decided = 0
+    for r in got:
+        d = distance(r.a_norm, r.b_norm)
+        assert r.bound >= min(d, r.most + 1)
+        decided += r.bound <= r.most
+        if r.a_norm == r.b_norm:
+            assert r.bound == 0
+    assert decided > 40
+    kept = line_dedup._similar(df.drop("most").withColumns({"a": F.col("a_norm"), "b": F.col("b_norm")}), 0.8).collect()
+    near = [(r.a_norm, r.b_norm) for r in got if distance(r.a_norm, r.b_norm) <= r.most]
+    assert sorted((r.a, r.b) for r in kept) == sorted(near)
+
+
+def test_connected_lines_are_not_compared_again(spark, monkeypatch):
+    """Near copies of one line: few of their pairs are compared, and they are one group still."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(40)]
+    texts = []
+    for i in range(60):
+        own = list(words)
+        own[i % 40] = f"other{i}"
+        texts.append(" ".join(own))
+    compared, similar = [], line_dedup._similar
+    monkeypatch.setattr(line_dedup, "_similar", lambda pairs, *options: (compared.append(pairs.count()), similar(pairs, *options))[1])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = line_dedup.line_groups(df, shared_words=True, whole=True).collect()
+    assert len(found) == 60 and {r.group_doc_id for r in found} == {0}
+    assert sum(compared) < 5 * 60  # of 1770 pairs
+
+
 def test_numbers_symbols_and_marks_count(spark):
     texts = ["Order 17: 250 units", "Order 93: 8 units", "order  17: 250\tunits", "2024-01-31", "2024-01-31", "=====", "=====", " \t ", "कि", "का"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
