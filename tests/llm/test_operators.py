@@ -374,6 +374,40 @@ def test_connected_lines_are_not_compared_again(spark, monkeypatch):
     assert sum(compared) < 5 * 60  # of 1770 pairs
 
 
+def test_hot_words_are_met_in_pairs(spark):
+    """Lines of few common words: hardly any two meet that are not near copies, and each near copy meets its line."""
+    rng = np.random.default_rng(11)
+    vocabulary = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(150)]
+    texts = []
+    for _ in range(300):
+        words = list(rng.choice(vocabulary, 20, replace=False))
+        texts.append(" ".join(words))
+        words[int(rng.integers(0, 20))] = str(rng.choice(vocabulary))
+        texts.append(" ".join(words))
+    lines = line_dedup.occurrences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), line_dedup.whole_line)
+    rows = line_dedup.worded(lines, 0.8, 1)
+
+    def met(hot):
+        own = line_dedup._keyed(rows, hot).select("bucket", F.col("k1").alias("k"))
+        pairs = own.join(own.select(F.col("bucket").alias("met"), F.col("k").alias("l")), (F.col("bucket") == F.col("met")) & (F.col("k") < F.col("l")))
+        return {tuple(r) for r in pairs.select("k", "l").collect()}, pairs.count()
+
+    alone, paired = met(128), met(0)  # no word is hot, all are
+    keys = [r.k1 for r in lines.orderBy("doc_id").collect()]
+    copies = {tuple(sorted(keys[i : i + 2])) for i in range(0, 600, 2) if texts[i] != texts[i + 1]}
+    assert copies <= alone[0] and copies <= paired[0]
+    assert paired[1] < alone[1] / 2
+    parts = [line_dedup._keyed(rows, 0, part, 3) for part in range(3)]
+    whole = collections.Counter(tuple(r) for r in line_dedup._keyed(rows, 0).collect())
+    assert whole == sum((collections.Counter(tuple(r) for r in x.collect()) for x in parts), collections.Counter())
+
+
+def test_line_shuffles_go_and_the_setting_stays(spark):
+    before = spark.conf.get(line_dedup.DROPPED, None)
+    line_dedup.line_groups(spark.createDataFrame([(1, "some line of text here"), (2, "some line of texts here")], "doc_id long, text string"), shared_words=True)
+    assert spark.conf.get(line_dedup.DROPPED, None) == before
+
+
 def test_numbers_symbols_and_marks_count(spark):
     texts = ["Order 17: 250 units", "Order 93: 8 units", "order  17: 250\tunits", "2024-01-31", "2024-01-31", "=====", "=====", " \t ", "कि", "का"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
